@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from citesieve.functions.models import PairScorer
 from citesieve.functions.text import clean_text, premise, token_count
 from citesieve.functions.vectors import softmax
+from citesieve.session import compute_once
 
 KEYS = ["batch_id", "row"]
 DEFAULT_THRESHOLD = 0.8
@@ -315,8 +316,8 @@ def screen_classifier(papers: DataFrame, criteria: list[dict], scorer: PairScore
                        .when(~F.coalesce("_valid", F.lit(False)), "screening_failed").otherwise("screened"))
     scored = F.zip_with(criteria_array(criteria, overrides, default), "_scores", lambda c, s: outcome_struct(
         c.withField("entailment", s[0]).withField("contradiction", s[1]).withField("neutral", s[2])))
-    df = df.withColumn("criteria", F.when(F.col("_status") == "screened", scored))
-    df = decide(df)
+    df = decide(compute_once(df, {"_status": F.col("_status"), "input_issues": F.col("input_issues"),
+                                  "criteria": F.when(F.col("_status") == "screened", scored)}))
     unscored = F.when(F.col("_status") == "screening_failed", "invalid_classifier_scores").otherwise(F.col("_status"))
     return df.select(
         *base, F.col("_status").alias("screening_status"), F.coalesce("reason", unscored).alias("reason"), "decision",
@@ -328,7 +329,7 @@ def decide(df: DataFrame) -> DataFrame:
     """Add decision and review-order columns from ``criteria``; a null array means not processed."""
     df = df.withColumn("_d", F.when(F.col("criteria").isNotNull(), aggregate_criteria(F.col("criteria"))))
     df = df.withColumn("_o", F.when(F.col("criteria").isNotNull(), review_order(F.col("criteria"), F.col("_d")["decision"])))
-    return df.withColumns({
+    return compute_once(df, {
         "decision": F.col("_d")["decision"], "reason": F.col("_d")["reason"],
         "decision_confidence": F.col("_d")["decision_confidence"],
         "review_group": F.coalesce(F.col("_o")["review_group"], F.lit("needs_processing")),

@@ -56,7 +56,7 @@ def label_events(spark: SparkSession, sf: str) -> DataFrame:
     """Label events: the user is the paper, the event type the decision, ``error`` clears it."""
     kind = F.col("event_type")
     return table(spark, sf, "events").select(
-        "event_id", "ts", F.lit("b0").alias("batch_id"), F.col("user_id").alias("row"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("b0").alias("batch_id"), F.col("user_id").alias("row"),
         F.when(kind == "view", "Include").when(kind == "click", "Exclude").when(kind == "signup", "Maybe")
         .when(kind == "purchase", "Likely include").alias("decision"))
 
@@ -65,7 +65,7 @@ def review_events(spark: SparkSession, sf: str) -> DataFrame:
     """Panel review events: role by parity of the event, decision by event type."""
     kind = F.col("event_type")
     return table(spark, sf, "events").select(
-        "event_id", "ts", F.lit("b0").alias("batch_id"), F.col("user_id").alias("row"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("b0").alias("batch_id"), F.col("user_id").alias("row"),
         F.when(F.col("event_id") % 2 == 0, "second_reviewer").otherwise("judge").alias("role"),
         F.when(kind.isin("view", "purchase"), "Include").otherwise("Exclude").alias("decision"),
         F.when(kind == "error", "").otherwise(F.concat(F.lit("because "), kind)).alias("reason"),

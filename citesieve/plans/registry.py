@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["screening"]
+AREAS = ["screening", "review", "panel", "linkage"]
 
 
 def _areas():

@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 
 from citesieve.operators import screening as s
 from citesieve.plans import fixtures as fx
+from citesieve.plans.register import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def register(name: str, oracle: str | None = None):
-    def wrap(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = oracle
-        return function
-
-    return wrap
+QUERIES, ORACLES, register = registry()
 
 
 def screened(spark: SparkSession, sf: str) -> DataFrame:

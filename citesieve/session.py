@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,35 @@ def config_rows(df: DataFrame, max_rows: int = CONFIG_ROWS) -> list[dict]:
     if len(rows) > max_rows:
         raise ValueError(f"Configuration tables are limited to {max_rows} rows")
     return [row.asDict(recursive=True) for row in rows]
+
+
+def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small configuration table built inside the JVM (no Python worker, no RDD)."""
+    names = [part.split()[0] for part in schema.split(",")]
+    kinds = [part.split()[1] for part in schema.split(",")]
+    structs = [F.struct(*[F.lit(row.get(n)).cast(k).alias(n) for n, k in zip(names, kinds)]) for row in rows]
+    one = spark.range(0, 1, 1, 1)
+    if not structs:
+        return spark.createDataFrame([], schema)
+    return one.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a small aggregate that several branches of one plan read, so its inputs are scanned once.
+
+    Blocks lost with an executor are recomputed from lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def compute_once(df: DataFrame, columns: dict) -> DataFrame:
+    """Add or replace columns behind a one-row generator.
+
+    The optimizer pushes a predicate on a derived column below the projection that derives it, and
+    then evaluates (and expands) the derivation again in the filter. Long decision expressions are
+    therefore produced by ``inline``, which predicates on its output do not cross. Predicates on
+    the other columns still reach the scan.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return made.select(*[c for c in df.columns], *[c for c in columns if c not in df.columns])

@@ -24,8 +24,10 @@ def connect(sf: str):
 
 
 def rows_of(pdf):
+    import pandas as pd
+
     pdf = pdf[sorted(pdf.columns)]
-    rows = [tuple(None if v is None or v != v else v for v in r) for r in pdf.itertuples(index=False, name=None)]
+    rows = [tuple(None if v is None or v is pd.NA or v != v else v for v in r) for r in pdf.itertuples(index=False, name=None)]
     return list(pdf.columns), sorted(rows, key=repr)
 
 
@@ -65,7 +67,7 @@ def main(sf: str, names: list[str]) -> int:
         try:
             message = compare(spark, con, sf, function, oracles.get(name))
         except Exception as error:
-            message = f"FAIL {type(error).__name__}: {str(error)[:1500]}"
+            message = f"FAIL {type(error).__name__}: {str(error)[:500]}"
         failed += not message.startswith(("ok", "rows"))
         print(f"{time.time() - start:6.1f}s {name}: {message}", flush=True)
     print("failed:", failed)
