@@ -99,14 +99,14 @@ def candidates(spark, sf):
 def inventory(spark, sf):
     """Files derived from the documents: some missing, some with a fault, some changed since."""
     turn = F.col("doc_id") % 7
-    return fx.table(spark, sf, "documents").filter(turn != 6).select(
-        F.concat(F.lit("in/"), "doc_id", F.lit(".pdf")).alias("filename"), F.sha2("text", 256).alias("sha256"),
+    return fx.table(spark, sf, "documents").select(
+        F.concat(F.when(turn == 6, "moved/").otherwise("in/"), "doc_id", F.lit(".pdf")).alias("filename"), F.sha2("text", 256).alias("sha256"),
         F.when(turn == 5, "invalid_signature").alias("file_error"))
 
 
 SQL_FILES = """files AS (
-  SELECT doc_id, 'in/' || doc_id || '.pdf' AS filename, sha256(text) AS sha256, CASE WHEN doc_id % 7 = 5 THEN 'invalid_signature' END AS file_error
-  FROM documents WHERE doc_id % 7 <> 6)"""
+  SELECT CASE WHEN doc_id % 7 <> 6 THEN doc_id END AS doc_id, doc_id || '.pdf' AS filename, sha256(text) AS sha256, CASE WHEN doc_id % 7 = 5 THEN 'invalid_signature' END AS file_error
+  FROM documents)"""
 
 
 @register("import_preview", fx.sql(fx.SQL_PAPERS, SQL_MATCH, SQL_FILES, select="""

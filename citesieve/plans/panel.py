@@ -89,7 +89,7 @@ def payload(spark, sf):
 
 
 @register("check_review_events", fx.sql(*PANEL, """faults AS (
-  SELECT v.*, d.decision AS first, CASE WHEN fingerprint <> 'run1' THEN 'wrong_fingerprint' WHEN role = 'judge' AND reason = '' THEN 'judge_needs_reason'
+  SELECT v.*, d.decision AS first, CASE WHEN fingerprint <> 'run1' THEN 'wrong_fingerprint' WHEN role = 'judge' AND v.reason = '' THEN 'judge_needs_reason'
            WHEN p."row" IS NULL THEN 'paper_not_found' WHEN p.abstract = '' THEN 'not_ready' END AS fault
   FROM rev v LEFT JOIN papers p ON v."row" = p."row" LEFT JOIN decided d ON v."row" = d."row"),
 stated AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["screening", "review", "panel", "linkage"]
+AREAS = ["screening", "review", "panel", "linkage", "text", "search"]
 
 
 def _areas():
