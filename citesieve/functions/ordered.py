@@ -65,3 +65,16 @@ def dense_index(df: DataFrame, keys: list[str], identity: list[str], out: str, b
     local = part.withColumn("_position", F.row_number().over(inside) - 1)
     return (local.join(offsets, [*keys, "_bucket"])
             .select(*df.columns, (F.col("_position") + F.col("_offset")).alias(out), f"{out}_size"))
+
+
+def prefix_sum(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column, out: str,
+               inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value`` along ``order`` inside each key; ``bucket`` is a column monotone in the order."""
+    part = df.withColumn("_value", value)
+    totals = part.groupBy(*keys, bucket).agg(F.sum("_value").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, bucket, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    local = part.withColumn("_run", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return local.join(carried, [*keys, bucket]).select(*df.columns, (F.col("_run") + F.col("_carry")).alias(out))

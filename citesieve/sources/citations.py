@@ -1,11 +1,217 @@
-"""Citation files."""
+"""Citation files: CSV and RIS, read as distributed lines and numbered as in the file.
 
-from pyspark.sql import DataFrame
+A line's place is its block offset in the file and its order inside the block, so files are read
+in parallel blocks; running counts carry one number per block.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesieve.functions.text import clean_text
+from citesieve.functions.ordered import prefix_sum
+from citesieve.functions.text import clean_text, normalize_doi
+from citesieve.session import shared
+
+# Fixed values.
+TEMPLATE = ["title", "abstract", "authors", "year", "doi", "journal", "url", "source_id"]
+MAX_RECORDS = 50_000
+RIS_TITLE, RIS_ABSTRACT = ["TI", "T1", "CT"], ["AB", "N2"]
+RIS_YEAR, RIS_JOURNAL, RIS_SOURCE = ["PY", "Y1", "DA"], ["JF", "JO", "T2", "JA"], ["ID", "AN"]
+
+SEPARATOR = "\x01"
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, place, line) of text files, the byte-order mark removed."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    return lines.withColumn("line", F.regexp_replace("line", "\\A\ufeff", ""))
+
+
+def csv_values(record: Column) -> Column:
+    """Values of one CSV record: pieces between quotes alternate outside and inside; a pair of quotes is one."""
+    pieces = F.split(record, '"')
+    n = F.size(pieces)
+    joined = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, p).when(
+        (p == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.replace(p, F.lit(","), F.lit(SEPARATOR))))
+    return F.split(F.array_join(joined, ""), SEPARATOR)
+
+
+def csv_malformed(record: Column) -> Column:
+    """An unclosed quote, or text next to a quoted value."""
+    pieces = F.split(record, '"')
+    n = F.size(pieces)
+    bad = F.exists(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: (x["i"] % 2 == 0) & (x["p"] != "") & (
+        ((x["i"] > 0) & ~F.startswith(x["p"], F.lit(","))) | ((x["i"] < n - 1) & ~F.endswith(x["p"], F.lit(",")))))
+    return (n % 2 == 0) | bad
+
+
+def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, values, malformed): record 0 is the header; blank lines count."""
+    lines = read_lines(spark, path)
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    marked = prefix_sum(lines, ["file"], ["place"], "block", quotes, "_open", inclusive=False)
+    starts = F.when(F.col("_open") % 2 == 0, 1).otherwise(0)
+    numbered = prefix_sum(marked, ["file"], ["place"], "block", starts, "_record")
+    records = numbered.groupBy("file", (F.col("_record") - 1).alias("record")).agg(
+        F.array_sort(F.collect_list(F.struct("block", "place", "line"))).alias("_l"))
+    text = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
+    return records.select("file", "record", text.alias("_t")).select(
+        "file", "record", F.transform(csv_values(F.col("_t")), clean_text).alias("values"), csv_malformed(F.col("_t")).alias("malformed"))
+
+
+def check_header(columns: list[str], required: list[str] = ["title", "abstract"]) -> None:
+    """Names must be unique ignoring case and hold the required ones."""
+    named = [c.strip().casefold() for c in columns if c.strip()]
+    if len(named) != len(set(named)):
+        raise ValueError("Column names must be unique (ignoring case)")
+    missing = [c for c in required if c not in named]
+    if missing:
+        raise ValueError(f"Provide the columns {', '.join(missing)}")
+
+
+def check_rows(records: DataFrame, header: list[str]) -> DataFrame:
+    """Records with a value past the header or in an unnamed column, named by row number."""
+    unnamed = [i for i, c in enumerate(header) if not c]
+    beyond = F.exists(F.slice("values", len(header) + 1, 1_000_000), lambda x: x != "")
+    hidden = F.lit(False)
+    for i in unnamed:
+        hidden = hidden | (F.coalesce(F.get("values", F.lit(i)), F.lit("")) != "")
+    reason = (F.when(F.col("malformed"), "malformed_csv").when(beyond, "more_values_than_header")
+              .when(hidden, "value_in_unnamed_column"))
+    return records.withColumn("reject_reason", reason)
+
+
+def enforce_record_limit(df: DataFrame, n: int = MAX_RECORDS) -> DataFrame:
+    """Refuse more than ``n`` rows. Off by default elsewhere: it is an upload rule, not an engine limit."""
+    if len(df.limit(n + 1).select(F.lit(1)).head(n + 1)) > n:
+        raise ValueError(f"Import is limited to {n:,} rows")
+    return df
 
 
 def drop_blank_records(df: DataFrame) -> DataFrame:
     """Drop rows that have neither title nor abstract."""
     return df.filter((clean_text("title") != "") | (clean_text("abstract") != ""))
+
+
+def with_extra_map(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Collect every named column but title and abstract into ``extra`` under its own name."""
+    names = [c for c in (columns or df.columns) if c.strip() and c.strip().casefold() not in ("title", "abstract")]
+    keys, values = F.array(*[F.lit(c) for c in names]), F.array(*[clean_text(F.col(f"`{c}`")) for c in names])
+    return df.withColumn("extra", F.map_from_arrays(keys, values).cast("map<string,string>"))
+
+
+def read_citations_csv(spark: SparkSession, path: str, batch_id: str, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Citation records and rejected rows of a CSV export (all files of ``path`` share one header)."""
+    records = shared(read_csv_records(spark, path))
+    first = records.filter("record = 0").select("values").limit(1).collect()
+    header = list(first[0]["values"]) if first else []
+    check_header(header)
+    checked = check_rows(records.filter("record > 0"), header)
+    lower = [c.casefold() for c in header]
+
+    def value(i: int) -> Column:
+        return F.coalesce(F.get("values", F.lit(i)), F.lit(""))
+
+    columns = [(value(lower.index(c)) if c in lower else F.lit("")).alias(c) for c in TEMPLATE]
+    extra = [(c, i) for i, c in enumerate(header) if c and lower[i] not in ("title", "abstract")]
+    extra_map = (F.map_from_arrays(F.array(*[F.lit(c) for c, _ in extra]), F.array(*[value(i) for _, i in extra]))
+                 if extra else F.create_map().cast("map<string,string>"))
+    good = checked.filter("reject_reason IS NULL").select(
+        F.lit(batch_id).alias("batch_id"), F.col("record").alias("row"), *columns, extra_map.alias("extra"))
+    good = drop_blank_records(good).withColumn("doi", normalize_doi("doi"))
+    if max_records is not None:
+        enforce_record_limit(records.filter("record > 0"), max_records)
+    rejects = checked.filter("reject_reason IS NOT NULL").select(
+        F.lit(batch_id).alias("batch_id"), F.col("record").alias("row"), "reject_reason")
+    return good, rejects
+
+
+# --- RIS -------------------------------------------------------------------------------------
+
+def read_citations_ris(spark: SparkSession, path: str, batch_id: str, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Citation records and rejected ones of RIS files.
+
+    A record runs from its TY line to its ER line; a line without a tag continues the value above it.
+    """
+    order = ["place"]
+    lines = read_lines(spark, path)
+    lines = prefix_sum(lines, ["file"], order, "block", F.lit(1), "line_number").filter(clean_text("line") != "")
+    tag = F.regexp_extract("line", r"^([A-Z0-9]{2})  -(?: ?)(.*)$", 1)
+    lines = lines.withColumns({"tag": tag, "text": F.when(tag != "", F.regexp_extract("line", r"^([A-Z0-9]{2})  -(?: ?)(.*)$", 2)).otherwise(F.col("line"))})
+    lines = prefix_sum(lines, ["file"], order, "block", F.when(F.col("tag") != "", 1).otherwise(0), "tag_ix")
+    lines = prefix_sum(lines, ["file"], order, "block", F.when(F.col("tag") == "TY", 1).otherwise(0), "record")
+    position = F.struct("line_number", "tag", "tag_ix", clean_text("text").alias("text"))
+    records = lines.groupBy("file", "record").agg(F.array_sort(F.collect_list(position)).alias("_l"))
+    tagged = F.filter("_l", lambda x: x["tag"] != "")
+    items = F.transform(tagged, lambda t: F.struct(t["tag"].alias("tag"), t["line_number"].alias("line"), F.array_join(
+        F.transform(F.filter("_l", lambda x: x["tag_ix"] == t["tag_ix"]), lambda x: x["text"]), "\n").alias("value")))
+    records = records.withColumn("_items", items).withColumn("_end", F.array_position(F.transform("_items", lambda x: x["tag"]), "ER"))
+    after = F.get("_items", F.col("_end").cast("int"))
+    stray = F.get(F.filter("_l", lambda x: x["tag_ix"] == F.get("_l", F.lit(0))["tag_ix"]), F.lit(0))["line_number"]
+    error = (F.when(F.col("record") == 0, F.struct(F.lit("record_must_start_with_ty").alias("reason"), stray.alias("line")))
+             .when(F.col("_end") == 0, F.struct(F.lit("record_without_er").alias("reason"), F.get("_items", F.lit(0))["line"].alias("line")))
+             .when(after.isNotNull(), F.struct(F.lit("record_must_start_with_ty").alias("reason"), after["line"].alias("line")))
+             .when(F.contains(F.element_at("_items", F.col("_end").cast("int"))["value"], F.lit("\n")),
+                   F.struct(F.lit("record_must_start_with_ty").alias("reason"), (F.element_at("_items", F.col("_end").cast("int"))["line"] + 1).alias("line"))))
+    records = records.withColumn("_error", error).withColumn("_body", F.filter("_items", lambda x: x["tag"] != "ER"))
+    fields = ris_to_record(records)
+    blank = (F.col("title") == "") & (F.col("abstract") == "")
+    fields = fields.withColumn("_error", F.coalesce("_error", F.when(blank, F.struct(
+        F.lit("neither_title_nor_abstract").alias("reason"), F.get("_items", F.lit(0))["line"].alias("line")))))
+    good = fields.filter("_error IS NULL").select(F.lit(batch_id).alias("batch_id"), F.col("record").alias("row"), *TEMPLATE, "extra")
+    if max_records is not None:
+        enforce_record_limit(good, max_records)
+    rejects = fields.filter("_error IS NOT NULL").select(
+        F.lit(batch_id).alias("batch_id"), F.col("record").alias("row"), F.col("_error.reason").alias("reject_reason"),
+        F.col("_error.line").alias("line_number"))
+    return good, rejects
+
+
+def ris_to_record(records: DataFrame) -> DataFrame:
+    """Record fields from ``_body`` (tag, line, value): the first non-blank value of the preferred tags."""
+    def values(tag: str) -> Column:
+        return F.transform(F.filter("_body", lambda x: x["tag"] == tag), lambda x: x["value"])
+
+    def first(tags: list[str]) -> Column:
+        found = F.filter(F.concat(*[values(t) for t in tags]), lambda v: clean_text(v) != "")
+        return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+
+    authors = F.when(F.size(values("AU")) > 0, values("AU")).otherwise(values("A1"))
+    names = F.array_distinct(F.transform("_body", lambda x: x["tag"]))
+    extra = F.map_from_arrays(names, F.transform(names, lambda t: F.array_join(
+        F.transform(F.filter("_body", lambda x: x["tag"] == t), lambda x: x["value"]), "\n")))
+    columns = {
+        "title": first(RIS_TITLE), "abstract": first(RIS_ABSTRACT), "authors": F.array_join(authors, "; "),
+        "year": F.substring_index(first(RIS_YEAR), "/", 1), "doi": normalize_doi(first(["DO"])), "journal": first(RIS_JOURNAL),
+        "url": first(["UR"]), "source_id": first(RIS_SOURCE)}
+    return records.withColumns({**{k: clean_text(v) for k, v in columns.items()}, "extra": extra})
+
+
+# --- reference-manager lists -----------------------------------------------------------------
+
+LIBRARY = ["title", "authors", "year", "doi", "pdf_path"]
+
+
+def read_library_csv(spark: SparkSession, path: str, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Library rows (library_row, title, authors, year, doi, pdf_path) and rejected rows."""
+    records = shared(read_csv_records(spark, path))
+    first = records.filter("record = 0").select("values").limit(1).collect()
+    header = [c.casefold() for c in first[0]["values"]] if first else []
+    if len(set(header)) != len(header):
+        raise ValueError("Column names must be unique")
+    if "pdf_path" not in header or not {"title", "doi"} & set(header):
+        raise ValueError("Provide pdf_path and at least one of title or doi")
+    if max_records is not None:
+        enforce_record_limit(records.filter("record > 0"), max_records)
+    rows = records.filter("record > 0").filter(F.exists("values", lambda x: x != ""))
+    columns = [(F.coalesce(F.get("values", F.lit(header.index(c))), F.lit("")) if c in header else F.lit("")).alias(c) for c in LIBRARY]
+    shown = check_rows(rows, header).select(F.col("record").alias("library_row"), *columns, "reject_reason")
+    needs = (F.col("pdf_path") == "") | ((F.col("title") == "") & (F.col("doi") == ""))
+    shown = shown.withColumn("reject_reason", F.coalesce("reject_reason", F.when(needs, "needs_pdf_path_and_title_or_doi")))
+    return (shown.filter("reject_reason IS NULL").drop("reject_reason"),
+            shown.filter("reject_reason IS NOT NULL").select("library_row", "reject_reason"))
+
+
