@@ -156,8 +156,8 @@ class Completer:
                         row.update(error=str(error) or type(error).__name__, completion="error")
                     row["elapsed_seconds"] = time.perf_counter() - start
                     rows.append(row)
-                yield pd.DataFrame(rows, columns=COMPLETION.fieldNames()).astype(
-                    {"input_tokens": "Int64", "output_tokens": "Int64"})
+                yield pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype=object)
+                                    for name in COMPLETION.fieldNames()})
 
         return run.asNondeterministic()(col(system), col(user), F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens)
 

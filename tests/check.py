@@ -57,7 +57,7 @@ def main(sf: str, names: list[str]) -> int:
 
     spark = get_spark("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                                               "spark.driver.memory": "8g", "spark.sql.warehouse.dir": "/tmp/spark-warehouse"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con, failed = connect(sf), 0
     oracles = entry.oracle_sql()
     for name, function in entry.queries().items():
