@@ -338,8 +338,8 @@ def retry_invalid_fields(results: DataFrame, evidence: DataFrame, chunks: DataFr
 def extract_each(evidence: DataFrame, chunks: DataFrame, todo: DataFrame, fields: list[dict], completer: Completer,
                  cfg: ExtractionConfig = ExtractionConfig()) -> DataFrame:
     """One call per (document, field) of ``todo``."""
-    own = evidence.join(todo, ["doc_id", "field"], "left_semi").select(
-        "doc_id", "field", "chunk_ix", F.col("evidence_ix").alias("place"))
+    own = evidence.join(todo, ["doc_id", "field"], "left_semi").groupBy("doc_id", "field", "chunk_ix").agg(
+        F.min("evidence_ix").alias("place"))
     passages = unit_passages(own, chunks, ["doc_id", "field"])
     work = todo.join(passages, ["doc_id", "field"], "left")
     specs = F.create_map(*[x for f in fields for x in (F.lit(f["label"]), F.struct(

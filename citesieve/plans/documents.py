@@ -90,11 +90,11 @@ def merged(spark, sf):
 
 
 @register("table_text", """
-SELECT l_orderkey, string_agg('q ' || l_linenumber || ' | ' || l_returnflag || l_linestatus, chr(10) ORDER BY l_linenumber) AS text,
-       string_agg('q ' || l_linenumber || chr(9) || l_returnflag || l_linestatus || chr(9) || l_linenumber, chr(10) ORDER BY l_linenumber) AS rows
+SELECT l_orderkey, string_agg('qq ' || l_linenumber || ' | ' || l_returnflag || l_linestatus, chr(10) ORDER BY l_linenumber, l_returnflag || l_linestatus) AS text,
+       string_agg('qq ' || l_linenumber || chr(9) || l_returnflag || l_linestatus || chr(9) || l_linenumber, chr(10) ORDER BY l_linenumber, l_returnflag || l_linestatus) AS rows
 FROM lineitem GROUP BY ALL""")
 def tables(spark, sf):
-    cells = F.concat(F.lit("<tr><td>q "), "l_linenumber", F.lit("</td><TD class='x'> <b>"), "l_returnflag", F.lit("</b>"), "l_linestatus",
+    cells = F.concat(F.lit("<tr><td>qq "), "l_linenumber", F.lit("</td><TD class='x'> <b>"), "l_returnflag", F.lit("</b>"), "l_linestatus",
                      F.lit("</td><td>"), "l_linenumber", F.lit("</td></tr>"))
     html = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cells.alias("r")))).alias("s"))
     body = html.select("l_orderkey", F.concat(F.lit("<table>"), F.array_join(F.transform("s", lambda x: x["r"]), ""), F.lit("</table>")).alias("h"))

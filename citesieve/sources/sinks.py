@@ -54,6 +54,10 @@ RESULT_EXPORT = [
 ]
 
 
+def _labelled(label: str):
+    return lambda c: c["label"] == label
+
+
 def screening_wide(results: DataFrame, criteria: list[dict], extras: list[str] | None = None) -> DataFrame:
     """One row per paper: base, extra, result and twelve columns per criterion, all as guarded text.
 
@@ -89,7 +93,7 @@ def screening_wide(results: DataFrame, criteria: list[dict], extras: list[str] |
     fields = results.schema["criteria"].dataType.elementType.fieldNames()
     numbers = {"confidence_threshold", "confidence", "entailment", "contradiction", "neutral"}
     for c in criteria:
-        found = F.filter("criteria", lambda x, label=c["label"]: x["label"] == label)
+        found = F.filter("criteria", _labelled(c["label"]))
         mine = F.get(found, F.size(found) - 1)
         for name, field in CRITERION_EXPORT:
             value = mine[field] if field in fields else F.lit(None)
