@@ -58,8 +58,7 @@ def criterion_items(results: DataFrame) -> DataFrame:
 
 def labelled_items(results: DataFrame) -> DataFrame:
     """Items with a reviewer class, and whether the model disagrees (``error``)."""
-    return criterion_items(results).filter(F.col("reviewer_class").isNotNull()).withColumn(
-        "error", F.col("model_class") != F.col("reviewer_class"))
+    return with_error(criterion_items(results))
 
 
 def threshold_map(thresholds: dict[str, float]) -> Column:
@@ -72,6 +71,21 @@ def with_current(items: DataFrame, thresholds: dict[str, float]) -> DataFrame:
         F.col("current").isNotNull())
 
 
+def item_count(items: DataFrame) -> Column:
+    """Weight of an item row: ``n`` after :func:`count_items`, else 1."""
+    return F.col("n") if "n" in items.columns else F.lit(1).cast("bigint")
+
+
+def count_items(items: DataFrame) -> DataFrame:
+    """Equal items counted once (label, type, score, classes): all a calibration reads, made in one pass."""
+    return items.groupBy("label", "type", "score", "model_class", "reviewer_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_error(items: DataFrame) -> DataFrame:
+    """Items with a reviewer class, and whether the model disagrees (``error``)."""
+    return items.filter(F.col("reviewer_class").isNotNull()).withColumn("error", F.col("model_class") != F.col("reviewer_class"))
+
+
 def _rates(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "agreements": F.col("accepted") - F.col("disagreements"), "uncertain": F.col("reviewed") - F.col("accepted"),
@@ -82,10 +96,14 @@ def _rates(df: DataFrame) -> DataFrame:
 def threshold_metrics(items: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """Reviewed, accepted, wrong and uncertain predictions per label at the given thresholds."""
     used = with_current(items, thresholds)
-    accepted = F.col("score") >= F.col("current")
+    accepted, n = F.col("score") >= F.col("current"), item_count(items)
+
+    def total(condition: Column) -> Column:
+        return F.sum(F.when(condition, n).otherwise(0))
+
     return _rates(used.groupBy("label").agg(
-        F.first("current").alias("threshold"), F.count(F.lit(1)).alias("reviewed"), F.count_if(accepted).alias("accepted"),
-        F.count_if(accepted & F.col("error")).alias("disagreements")))
+        F.first("current").alias("threshold"), F.sum(n).alias("reviewed"), total(accepted).alias("accepted"),
+        total(accepted & F.col("error")).alias("disagreements")))
 
 
 def _score_counts(items: DataFrame, by: list[str], weight: Column) -> DataFrame:
@@ -121,14 +139,14 @@ def _sweep(counted: DataFrame, by: list[str]) -> DataFrame:
 
 def candidate_thresholds(items: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """0.5, 1, the current threshold and the midpoints between neighbouring scores, per label."""
-    counted = _score_counts(with_current(items, thresholds), ["label"], F.lit(1))
+    counted = _score_counts(with_current(items, thresholds), ["label"], item_count(items))
     return _sweep(counted, ["label"]).select("label", "threshold").distinct()
 
 
 def best_threshold(items: DataFrame, thresholds: dict[str, float], max_disagreement_rate: float = 0.0) -> DataFrame:
     """Per label: the candidate that accepts most within the disagreement limit. Labels with none are absent."""
     used = with_current(items, thresholds)
-    return _best(_score_counts(used, ["label"], F.lit(1)), ["label"], max_disagreement_rate)
+    return _best(_score_counts(used, ["label"], item_count(items)), ["label"], max_disagreement_rate)
 
 
 def _best(counted: DataFrame, by: list[str], max_disagreement_rate: float) -> DataFrame:
@@ -182,11 +200,11 @@ def threshold_stability(items: DataFrame, thresholds: dict[str, float], cfg: Cal
 
 def criterion_diagnostics(all_items: DataFrame, thresholds: dict[str, float], cfg: CalibrationConfig) -> DataFrame:
     """How often a criterion is neutral or uncertain over all its items, with flags once there are enough."""
-    used = with_current(all_items, thresholds)
+    used, n = with_current(all_items, thresholds), item_count(all_items)
     counts = used.groupBy("label").agg(
-        F.first("type", ignorenulls=True).alias("type"), F.count(F.lit(1)).alias("assessed"),
-        F.count_if((F.col("model_class") == "neutral") & (F.col("score") >= F.col("current"))).alias("neutral_count"),
-        F.count_if(F.col("score") < F.col("current")).alias("uncertain_count"))
+        F.first("type", ignorenulls=True).alias("type"), F.sum(n).alias("assessed"),
+        F.sum(F.when((F.col("model_class") == "neutral") & (F.col("score") >= F.col("current")), n).otherwise(0)).alias("neutral_count"),
+        F.sum(F.when(F.col("score") < F.col("current"), n).otherwise(0)).alias("uncertain_count"))
     return with_flags(counts, cfg)
 
 
@@ -212,9 +230,8 @@ def calibrate(results: DataFrame, thresholds: dict[str, float], cfg: Calibration
     ``thresholds`` are those in force by label; ``ready`` of the whole run is ``every(ready)``.
     """
     spark = results.sparkSession
-    everything = criterion_items(results)
-    items = everything.filter(F.col("reviewer_class").isNotNull()).withColumn(
-        "error", F.col("model_class") != F.col("reviewer_class"))
+    everything = shared(count_items(criterion_items(results)))
+    items = with_error(everything)
     labels = literal_rows(spark, [{"position": i, "label": k, "current_threshold": float(v)}
                                   for i, (k, v) in enumerate(thresholds.items())],
                           "position INT, label STRING, current_threshold DOUBLE")
@@ -227,7 +244,7 @@ def calibrate(results: DataFrame, thresholds: dict[str, float], cfg: Calibration
     best = prefixed(best_threshold(items, thresholds, cfg.max_disagreement_rate), "candidate")
     report = (labels.join(current, "label", "left").join(best, "label", "left")
               .join(criterion_diagnostics(everything, thresholds, cfg), "label", "left")
-              .join(threshold_stability(items, thresholds, cfg), "label", "left"))
+              .join(threshold_stability(labelled_items(results), thresholds, cfg), "label", "left"))
     counts = ["current_reviewed", "current_accepted", "current_disagreements", "assessed", "neutral_count", "uncertain_count"]
     report = report.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     report = report.withColumns({

@@ -8,9 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citesieve.session import spread
+
+
+# Tables whose rows carry texts, pages or vectors, so that work per row outweighs a repartition.
+HEAVY = {"documents", "pages", "embeddings"}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 CRITERIA = [
@@ -29,7 +36,11 @@ SCORE_PRIMES = [(31, 17), (53, 29), (71, 43)]
 
 
 def papers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return as_papers(table(spark, sf, "documents"))
+
+
+def as_papers(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("source").alias("batch_id"), (F.col("doc_id") + 1).alias("row"), "doc_id", "lang",
         F.substring_index("text", "\n", 1).alias("title"),
         F.when(F.col("doc_id") % 20 == 0, "").otherwise(F.col("text")).alias("abstract"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["screening", "review", "panel", "linkage", "text", "search", "documents", "completion", "extraction"]
+AREAS = ["screening", "review", "panel", "linkage", "text", "search", "documents", "completion", "extraction", "streams"]
 
 
 def _areas():

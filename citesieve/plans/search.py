@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citesieve.functions.models import Encoder, SparseEncoder
+from citesieve.functions.stemming import english_stemmer
 from citesieve.operators import dense as d
 from citesieve.operators import keyword as kw
 from citesieve.operators import selection as sel
@@ -62,6 +63,13 @@ def stems(spark, sf):
     return kw.stem_search(kw.build_postings(fx.lines(spark, sf)), asked, 5).drop("kind")
 
 
+@register("stemmed_postings")
+def stemmed(spark, sf):
+    """Postings of the default keyword index: English stop words and stems."""
+    return kw.build_postings(fx.lines(spark, sf), stemmer=english_stemmer).groupBy("term").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences"))
+
+
 @register("bm25_search", fx.sql(SQL_LINES, SQL_BM25, select="""
 SELECT item_id AS query_ix, doc_id, chunk_ix, round(score, 6) AS score, (row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, chunk_ix))::INT AS rank
 FROM bm WHERE score > 0 QUALIFY rank <= 5"""))

@@ -90,3 +90,13 @@ def compute_once(df: DataFrame, columns: dict) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     made = df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
     return made.select(*[c for c in df.columns], *[c for c in columns if c not in df.columns])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Cut a source that arrives in fewer splits than there are cores, before heavy work per row.
+
+    A file of one row group is one split and would keep all but one core idle. Sources with
+    enough splits are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
