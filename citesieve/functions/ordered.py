@@ -78,3 +78,14 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], bucket: str, va
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     local = part.withColumn("_run", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     return local.join(carried, [*keys, bucket]).select(*df.columns, (F.col("_run") + F.col("_carry")).alias(out))
+
+
+def bucketed_rank(df: DataFrame, keys: list[str], score: str, ties: list[str], bucket: Column, out: str) -> DataFrame:
+    """Rank 1..n of every row of a key by ``score`` descending, then ``ties``; ``bucket`` is monotone in the score."""
+    part = df.withColumn("_bucket", bucket)
+    counts = part.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(score), *ties)
+    local = part.withColumn("_position", F.row_number().over(inside))
+    return local.join(offsets, [*keys, "_bucket"]).select(*df.columns, (F.col("_position") + F.col("_offset")).cast("int").alias(out))

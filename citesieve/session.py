@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark import StorageLevel
@@ -100,3 +101,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def literal_json(value, schema: str):
+    """A configuration value (lists, dicts, text, numbers) as one literal column, folded to a constant by the optimizer."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)

@@ -42,3 +42,11 @@ def test_dense_index(spark):
         assert sorted(x.ix for x in mine) == list(range(len(mine))) and {x.ix_size for x in mine} == {len(mine)}
     moved = {x.i: x.ix for x in o.dense_index(df.repartition(7), ["k"], ["i"], "ix", 8).collect()}
     assert moved == {x.i: x.ix for x in out}
+
+
+def test_bucketed_rank(spark):
+    df = spark.createDataFrame([(k, i, v / 100.0) for k, i, v, _ in data(4)], "k string, i int, v double")
+    got = {x.i: x.r for x in o.bucketed_rank(df, ["k"], "v", ["i"], F.floor(F.col("v") * 2), "r").collect()}
+    for key in {k for k, *_ in data(4)}:
+        ordered = sorted((-(v / 100.0), i) for k, i, v, _ in data(4) if k == key)
+        assert [got[i] for _, i in ordered] == list(range(1, len(ordered) + 1))
