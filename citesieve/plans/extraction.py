@@ -83,7 +83,7 @@ def field_objects(spark, sf):
     def body(value, status, items):
         return F.concat(F.lit('{"value":'), value, F.lit(f',"status":"{status}","confidence":"high","notes":null,"evidence":'), items, F.lit("}"))
 
-    sound = item("chunk_0", F.upper("q"))
+    sound = item("chunk_0", F.lower("q"))
     text = (F.when(turn == 1, body(good, "extracted", item("chunk_999", F.col("q")))).when(turn == 2, body(good, "extracted", item("chunk_0", F.lit("zzqq zz"))))
             .when(turn == 3, body(wrong, "extracted", sound)).when(turn == 4, body(F.lit("null"), "not_reported", F.lit("[]")))
             .when(turn == 5, body(good, "extracted", F.lit("[]"))).when(turn == 6, body(good, "done", sound))
@@ -126,7 +126,7 @@ def complete(spark, sf):
 SQL_LONG = """done AS (SELECT doc_id FROM judged GROUP BY ALL HAVING bool_and(errors = '')),
 long AS (
   SELECT o.doc_id, o.field AS label, value, CASE WHEN d.doc_id IS NOT NULL THEN status END AS status, CASE WHEN d.doc_id IS NOT NULL THEN 'high' END AS confidence,
-         CASE WHEN d.doc_id IS NOT NULL AND turn <> 4 THEN trim(upper(left(split_part(text, chr(10), 1), 8))) ELSE '' END AS quotes
+         CASE WHEN d.doc_id IS NOT NULL AND turn <> 4 THEN trim(lower(left(split_part(text, chr(10), 1), 8))) ELSE '' END AS quotes
   FROM (SELECT doc_id, field, turn, status, CASE WHEN doc_id IN (SELECT doc_id FROM done) THEN value END AS value FROM resulted) o
   JOIN documents USING (doc_id) LEFT JOIN done d ON o.doc_id = d.doc_id)"""
 
