@@ -41,8 +41,12 @@ def blocks(spark, sf):
     return ch.split_blocks(markdown(spark, sf)).select("doc_id", "block_ix", "kind", "text")
 
 
-@register("section_path", fx.sql(SQL_BLOCKS, select="""
-SELECT doc_id, section, count(*) FILTER (kind = 'paragraph')::INT AS n_blocks FROM counted GROUP BY ALL
+@register("section_path", fx.sql(SQL_BLOCKS, """heads AS (
+  SELECT doc_id, any_value(text) FILTER (text <> 'References') AS h1,
+         (SELECT count(*) FROM counted c WHERE c.doc_id = b.doc_id AND kind = 'paragraph' AND tokens >= 5 AND section NOT IN ('Preamble', 'References')) AS emitted
+  FROM blocks b WHERE kind = 'heading' GROUP BY doc_id)""", select="""
+SELECT doc_id, CASE WHEN section = 'References' AND emitted = 0 THEN h1 || ' > References' ELSE section END AS section,
+       count(*) FILTER (kind = 'paragraph')::INT AS n_blocks FROM counted LEFT JOIN heads USING (doc_id) GROUP BY ALL
 UNION ALL SELECT doc_id, 'Preamble', 0 FROM md WHERE doc_id NOT IN (SELECT doc_id FROM counted WHERE section = 'Preamble')"""))
 def sections(spark, sf):
     return ch.section_path(markdown(spark, sf), cfg=WIDE).select("doc_id", "section", "n_blocks")
