@@ -97,6 +97,13 @@ class Vocabulary:
         return b"".join([of[i] for i in ids if i in of]).decode("utf-8", "replace")
 
 
+def public_vocabulary() -> str:
+    """The vocabulary file that the registered queries use; every operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def load(path: str) -> Vocabulary:
     """The vocabulary of ``path``; a Python worker reads it once and keeps it for its later tasks."""
     kept = sys.__dict__.setdefault("_citesieve_vocabularies", {})

@@ -92,7 +92,7 @@ def fit_budget(lengths, counts, budget: int, exact_words: int = EXACT_WORDS) ->
 
 
 def mix_sources(documents: DataFrame, carry: list[str], weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS,
-                seed: int = 17, buckets: int = BUCKETS) -> DataFrame:
+                seed: int = 17, buckets: int = BUCKETS, staged: bool = False) -> DataFrame:
     """Mix ``documents`` (doc_id, text, source): for each row its columns ``carry`` and size, source_size, target, copies, taken.
 
     A source is taken whole as often as its target allows; the rest of the target is fitted exactly
@@ -102,6 +102,8 @@ def mix_sources(documents: DataFrame, carry: list[str], weights=WEIGHTS, share:
     Null texts have size 0 and take nothing; null sources form the last source. Repeated rows are
     rows of their own. An empty table gives an empty result; a table without words gives targets of 0.
     ``carry`` may name any columns: they travel in one struct and cannot clash with the operator's.
+    ``staged`` writes sizes and carried columns once instead of counting words twice; use it when the
+    carried columns are small.
 
     Per source one task gets the counts by length, at most sqrt(2 * words) rows since different
     lengths add up to the source. Documents never meet by source: a (source, length) group is ranked
@@ -110,7 +112,7 @@ def mix_sources(documents: DataFrame, carry: list[str], weights=WEIGHTS, share:
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = documents.select(F.struct(*carry).alias("row"), F.col("source"), word_count(F.col("text")).alias("size"), draw.alias("draw"))
     sized = sized.withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
-    if "text" not in carry:
+    if staged:
         sized = stage(sized, "mix-sizes")
     cells = stage(sized.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")), "mix-cells")
     lengths = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
