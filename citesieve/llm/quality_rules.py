@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesieve.llm.common import BLANKS, UPPER, stage, words
+from citesieve.session import compute_once
 
 SYMBOLS = "#*$%&|<>"
 #: Rule: (numerator, denominator); its score is the numerator per thousand of the denominator.
@@ -154,4 +155,5 @@ def keep_good(documents: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     """
     metrics = stage(document_metrics(documents, ["doc_id"], stratum), "quality-metrics")
     chosen = select_cutoffs(metrics, labels, F.col("row.doc_id"))
-    return apply_cutoffs(document_metrics(documents, documents.columns, stratum), chosen).where("kept").select("row.*")
+    counted = compute_once(document_metrics(documents, documents.columns, stratum), {c: F.col(c) for c in METRICS})
+    return apply_cutoffs(counted, chosen).where("kept").select("row.*")
