@@ -27,7 +27,7 @@ def _named(distinct: DataFrame, order: list[str]) -> DataFrame:
 def name_texts(documents: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Callable[[Column], Column] = block_digest) -> tuple[DataFrame, DataFrame]:
     """Name every row of ``documents`` (doc_id, text) by its normalised text: equal texts, and only they, share (level, name).
 
-    Returns the rows (rid, doc_id, n_blocks, text_sha256, digests) and the names (rid, level, name).
+    Returns the rows (rid, doc_id, n_blocks, text_sha256) and the names (rid, level, name).
 
     Texts (null: empty; A-Z lower-cased) are cut into blocks of ``block_bytes`` bytes. Distinct
     blocks are sorted into integer names; then adjacent names are paired, distinct pairs are sorted
@@ -49,8 +49,9 @@ def name_texts(documents: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Cal
     placed = rows.select("rid", "n_blocks", F.posexplode("digests").alias("ix", "digest"))
     if names.groupBy("digest").count().where("count > 1").limit(1).count():
         names = stage(named.select("block", "name"), "dedup-names")
-        whole = stage(base.withColumn("n_blocks", count).withColumn("rid", F.monotonically_increasing_id())
-                      .select("rid", "n_blocks", F.posexplode(cut).alias("ix", "block")), "dedup-blocks")
+        rows = stage(base.withColumn("n_blocks", count).select(
+            F.monotonically_increasing_id().alias("rid"), "doc_id", "n_blocks", F.sha2("bytes", 256).alias("text_sha256"), cut.alias("blocks")), "dedup-blocks")
+        whole = rows.select("rid", "n_blocks", F.posexplode("blocks").alias("ix", "block"))
         level_rows = whole.join(names, "block").select("rid", "n_blocks", "ix", "name")
     else:
         level_rows = placed.join(names, "digest").select("rid", "n_blocks", "ix", "name")
@@ -72,7 +73,7 @@ def name_texts(documents: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Cal
     names_of = found[0]
     for part in found[1:]:
         names_of = names_of.union(part)
-    return rows, names_of
+    return rows.select("rid", "doc_id", "n_blocks", "text_sha256"), names_of
 
 
 def exact_dedup(documents: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Callable[[Column], Column] = block_digest) -> DataFrame:
@@ -83,7 +84,7 @@ def exact_dedup(documents: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Ca
     columns are not read, whatever their names. An empty table gives an empty result.
     """
     rows, names = name_texts(documents.select("doc_id", "text"), block_bytes, digest)
-    placed = stage(rows.drop("digests", "n_blocks").join(names, "rid"), "dedup-placed")
+    placed = stage(rows.drop("n_blocks").join(names, "rid"), "dedup-placed")
     groups = stage(placed.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("last"), F.count("*").alias("group_size")), "dedup-groups")
     return placed.join(groups, ["level", "name"]).select(
         "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("last.rid")).alias("kept"), "text_sha256")
