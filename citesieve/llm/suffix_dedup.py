@@ -27,7 +27,6 @@ ROWS = 20_000
 #: Largest kernel group that one task sorts; the windows of a larger one are counted as hashed rows instead.
 GROUP = 100_000
 BUCKETS = 1 << 18
-SLOTS = 64
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BARRIER = -(1 << 30)
@@ -185,8 +184,8 @@ def repeated_parts(documents: DataFrame, length: int = LENGTH, kernel: int = KER
     """(doc_id, mark, low, high): parts of texts covered by repeated strings, one or more rows per anchor that lies in any.
 
     Anchors whose whole neighbourhood occurs twice are settled by that. One anchor of every other
-    neighbourhood goes on to its shard if its kernel has several. Kernels that stand out in
-    fixed-size counts are dealt to many slots by neighbourhood.
+    neighbourhood goes on to its shard if its kernel has several. Rows of a kernel meet in one
+    sorted partition, read in a stream, unless the kernel stands out in fixed-size counts.
     """
     side = length - kernel
     texts = documents.select(*_text_key())
@@ -196,15 +195,19 @@ def repeated_parts(documents: DataFrame, length: int = LENGTH, kernel: int = KER
     mean = found.count() / BUCKETS
     heavy = stage(counts.where(F.col("n") > mean + 8 * mean ** 0.5 + 64).select("bucket", F.lit(True).alias("heavy")), "suffix-heavy")
     dealt = found.withColumn("bucket", bucket).join(heavy, "bucket", "left").drop("bucket")
-    slot = F.when(F.col("heavy"), F.xxhash64("kernel", F.pmod("around", F.lit(SLOTS)))).otherwise(F.col("kernel"))
-    order = Window.partitionBy("slot").orderBy("kernel", "around")
-    seen = dealt.withColumn("slot", slot).select(
-        "doc_id", "mark", "place", "kernel", "around", "heavy", F.lag("around").over(order).alias("prev"), F.lead("around").over(order).alias("next"),
+    order = Window.partitionBy("kernel").orderBy("around")
+    seen = dealt.where("heavy is null").select(
+        "doc_id", "mark", "place", "kernel", "around", F.lag("around").over(order).alias("prev"), F.lead("around").over(order).alias("next"),
         F.first("around").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
     twice = F.coalesce(F.col("prev") == F.col("around"), F.lit(False)) | F.coalesce(F.col("next") == F.col("around"), F.lit(False))
     last = F.col("next").isNull() | (F.col("next") != F.col("around"))
-    several = F.coalesce(F.col("heavy"), F.lit(False)) | F.col("next").isNotNull() | (F.col("first") != F.col("around"))
-    marked = stage(seen.select("doc_id", "mark", "place", "kernel", twice.alias("twice"), (last & several).alias("edge")).where("twice or edge"), "suffix-marked")
+    several = F.col("next").isNotNull() | (F.col("first") != F.col("around"))
+    few = seen.select("doc_id", "mark", "place", "kernel", twice.alias("twice"), (last & several).alias("edge")).where("twice or edge")
+    # a kernel that stands out is counted with partial sums, and the counts are joined back
+    many = dealt.where("heavy").withColumn("id", F.xxhash64("doc_id", "mark", "place"))
+    classes = stage(many.groupBy("kernel", "around").agg(F.count("*").alias("n"), F.min("id").alias("one")), "suffix-classes")
+    told = many.join(classes, ["kernel", "around"]).select("doc_id", "mark", "place", "kernel", (F.col("n") > 1).alias("twice"), (F.col("id") == F.col("one")).alias("edge"))
+    marked = stage(few.union(told), "suffix-marked")
     settled = marked.where("twice").select("doc_id", "mark", F.greatest(F.lit(0), F.col("place") - side).alias("low"), (F.col("place") + length).alias("high"))
 
     edges = marked.where("edge").select("doc_id", "mark", "place", "kernel", "twice")
