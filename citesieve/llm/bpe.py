@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 #: Fixed value: the pattern that cuts a text into pieces before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose code a task remembers; the memory is emptied when it is full.
-REMEMBERED = 200_000
+#: Pieces whose code a worker remembers before they become its older half; the half before that is forgotten.
+REMEMBERED = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -44,6 +44,7 @@ class Vocabulary:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece. The queue holds (rank, place); an entry is stale when its left symbol is gone or the pair there has another rank."""
@@ -83,9 +84,10 @@ class Vocabulary:
             for piece in self.pieces.findall(part):
                 ids = known.get(piece)
                 if ids is None:
-                    ids = self.merge(piece)
+                    ids = self.older.get(piece) or self.merge(piece)
                     if len(known) >= REMEMBERED:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     if len(piece) <= 64:
                         known[piece] = ids
                 out += ids
@@ -122,7 +124,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
 
     Null counts as empty, and an empty text has no ids. Strings of special tokens in a text become
     those tokens. Rows are independent: ties, repeated rows and an empty table need no rule. Every
-    row is encoded inside its task; a task remembers the codes of up to ``REMEMBERED`` short pieces.
+    row is encoded inside its task; a worker remembers the codes of up to twice ``REMEMBERED`` short pieces.
     """
     rest = df.drop(ids)
 
