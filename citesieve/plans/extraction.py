@@ -68,8 +68,7 @@ def specification(spark, sf):
 
 def field_objects(spark, sf):
     """A field object per document and field: sound ones, and one of each fault."""
-    head = F.substring_index("text", "\n", 1)
-    docs = fx.table(spark, sf, "documents").select("doc_id", F.create_map(F.lit("chunk_0"), head).alias("sources"), F.substring(head, 1, 8).alias("q"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.create_map(F.lit("chunk_0"), F.col("text")).alias("sources"), F.right("text", F.lit(8)).alias("q"))
     rows = docs.select("*", F.inline(F.array(*[F.struct(
         F.lit(f["label"]).alias("field"), F.lit(i).alias("i"), F.lit(f["value_type"]).alias("value_type"),
         F.array(*[F.lit(a) for a in f.get("allowed_values", [])]).cast("array<string>").alias("allowed_values")) for i, f in enumerate(FIELDS)])))
@@ -126,7 +125,7 @@ def complete(spark, sf):
 SQL_LONG = """done AS (SELECT doc_id FROM judged GROUP BY ALL HAVING bool_and(errors = '')),
 long AS (
   SELECT o.doc_id, o.field AS label, value, CASE WHEN d.doc_id IS NOT NULL THEN status END AS status, CASE WHEN d.doc_id IS NOT NULL THEN 'high' END AS confidence,
-         CASE WHEN d.doc_id IS NOT NULL AND turn <> 4 THEN trim(lower(left(split_part(text, chr(10), 1), 8))) ELSE '' END AS quotes
+         CASE WHEN d.doc_id IS NOT NULL AND turn <> 4 THEN trim(lower(right(text, 8))) ELSE '' END AS quotes
   FROM (SELECT doc_id, field, turn, status, CASE WHEN doc_id IN (SELECT doc_id FROM done) THEN value END AS value FROM resulted) o
   JOIN documents USING (doc_id) LEFT JOIN done d ON o.doc_id = d.doc_id)"""
 
@@ -179,14 +178,14 @@ def plan_rows(spark, sf):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
     return fx.table(spark, sf, "benchmark").select(
         F.concat(F.lit("q"), "item_id").alias("label"), F.when(F.col("item_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("text")).alias("queries"),
-        F.slice(words, F.lit(1), F.when(F.col("item_id") % 7 == 3, 1).otherwise(3)).alias("keywords"))
+        F.when(F.col("item_id") % 7 == 3, F.slice(words, 1, 1)).otherwise(words).alias("keywords"))
 
 
 @register("parse_plan", r"""
-SELECT item_id, 'q' || item_id AS label, CASE WHEN item_id % 3 = 2 THEN '' ELSE text END AS query, len(list_slice(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')), 1, 3)) AS keywords
+SELECT item_id, 'q' || item_id AS label, CASE WHEN item_id % 3 = 2 THEN '' ELSE text END AS query, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS keywords
 FROM benchmark""")
 def plans(spark, sf):
-    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))), 1, 3)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
     query = F.when(F.col("item_id") % 3 == 2, F.array(F.lit("  "))).otherwise(F.array("text"))
     body = F.to_json(F.create_map(F.concat(F.lit("q"), "item_id"), F.struct(query.alias("queries"), words.alias("keywords"))))
     reply = F.when(F.col("item_id") % 2 == 0, body).otherwise(F.concat(F.lit("Here is the plan:\n"), body, F.lit("\nDone.")))

@@ -52,7 +52,7 @@ def postings(spark, sf):
 
 
 @register("stem_search", fx.sql(SQL_LINES, SQL_STEMS, f"""kws AS (
-  SELECT item_id, unnest(list_slice(list_distinct_kept, 1, 3)) AS term FROM (
+  SELECT item_id, unnest(list_distinct_kept) AS term FROM (
     SELECT item_id, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS list_distinct_kept
     FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{{4,}}') AS ws FROM benchmark))),
 hits AS (SELECT DISTINCT item_id, doc_id, chunk_ix FROM spost JOIN (SELECT * FROM kws WHERE NOT list_contains({STOP}, term)) USING (term))""", select="""
@@ -164,7 +164,7 @@ def hits(spark, sf):
 
 
 SQL_HITS = f"""kws AS (
-  SELECT item_id, array_to_string(list_slice(kept, 1, 3), ' ') AS words, unnest(list_slice(kept, 1, 3)) AS term FROM (
+  SELECT item_id, array_to_string(kept, ' ') AS words, unnest(kept) AS term FROM (
     SELECT item_id, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS kept
     FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{{4,}}') AS ws FROM benchmark))),
 shit AS (SELECT DISTINCT item_id, words, doc_id, chunk_ix, kind FROM spost JOIN (SELECT * FROM kws WHERE NOT list_contains({STOP}, term)) USING (term)),
@@ -250,7 +250,7 @@ final AS (
 
 
 @register("select_evidence", fx.sql(SQL_LINES, SQL_RERANK, SQL_SELECT, select="""
-SELECT doc_id, field, chunk_ix, tier, place, round(coalesce(score, 0), 9) AS rerank_score, coalesce(qs, 'fusion_reserve') AS selected_for FROM final WHERE place <= 12"""))
+SELECT doc_id, field, chunk_ix, tier, place, round(coalesce(score, 0), 9) AS rerank_score, coalesce(qs, 'fusion_reserve') AS selected_for FROM final WHERE place <= 12 OR tier = 0"""))
 def selected(spark, sf):
     scored = all_scored(spark, sf).withColumn("query", F.col("query_ix").cast("string"))
     return sel.select_evidence(scored, 2, 12, 3).select(

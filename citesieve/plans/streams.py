@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from citesieve.plans import fixtures as fx
 from citesieve.plans.register import registry
 from citesieve.plans.review import ORACLES as REVIEW_ORACLES
 from citesieve.plans.screening import ORACLES as SCREEN_ORACLES
+from citesieve.session import shared_folder
 from citesieve.streaming.labels import current_labels, stream_labels
 from citesieve.streaming.screen import stream_screen
 
@@ -18,9 +18,8 @@ QUERIES, ORACLES, register = registry()
 
 
 def work_folder(spark) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A fresh folder in the folder that the cluster shares."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
 
 
 def stream(spark, sf, name):
@@ -51,11 +50,12 @@ def screen(spark, sf):
         "batch_id", "row", "screening_status", "decision", "reason", "decision_confidence", "review_group", "group_rank", "blocking_count", "score_gap")
 
 
-@register("stream_resume")
+@register("stream_resume", fx.sql(f"screened AS ({SCREEN_ORACLES['screen_classifier']})",
+                                  select="SELECT screening_status, count(*) AS n FROM screened GROUP BY screening_status"))
 def resume(spark, sf):
-    """A second run over the same checkpoint screens nothing again."""
+    """A second run over the same checkpoint, and a third over a new one, screen nothing again and lose nothing."""
     folder = work_folder(spark)
-    for _ in range(2):
+    for checkpoint in ("first", "first", "second"):
         stream_screen(fx.as_papers(stream(spark, sf, "documents")), fx.CRITERIA, fx.fixture_scores, f"{folder}/results",
-                      f"{folder}/checkpoint", "run1").awaitTermination()
+                      f"{folder}/{checkpoint}", "run1").awaitTermination()
     return spark.read.parquet(f"{folder}/results").groupBy("screening_status").agg(F.count(F.lit(1)).alias("n"))

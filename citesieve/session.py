@@ -35,17 +35,25 @@ def get_spark(app: str = "citesieve", master: str | None = None, **conf) -> Spar
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder the cluster names, so model calls are never repeated.
 
-    ``spark.checkpoint.dir`` wins. Only when neither it nor a directory on the context is
-    set (single-machine tests) a temporary folder is used.
+    ``spark.checkpoint.dir`` wins. Only a local session may go without one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A cluster must name one; a local session gets a temporary folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger side stays with the shuffle join."""
     if len(df.limit(max_rows + 1).select(F.lit(1)).head(max_rows + 1)) > max_rows:

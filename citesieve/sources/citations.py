@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesieve.functions.ordered import prefix_sum
+from citesieve.functions.ordered import last_before, prefix_sum
 from citesieve.functions.text import clean_text, normalize_doi
-from citesieve.session import shared
 
 # Fixed values.
 TEMPLATE = ["title", "abstract", "authors", "year", "doi", "journal", "url", "source_id"]
@@ -19,8 +18,6 @@ MAX_RECORDS = 50_000
 RIS_TITLE, RIS_ABSTRACT = ["TI", "T1", "CT"], ["AB", "N2"]
 RIS_YEAR, RIS_JOURNAL, RIS_SOURCE = ["PY", "Y1", "DA"], ["JF", "JO", "T2", "JA"], ["ID", "AN"]
 
-SEPARATOR = "\x01"
-
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, place, line) of text files, the byte-order mark removed."""
@@ -30,31 +27,58 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("line", F.regexp_replace("line", "\\A\ufeff", ""))
 
 
+# Fixed value, the quoting rule: a field is quoted if its first character is a quote; elsewhere a quote is data.
+# After the closing quote all up to the next comma belongs to the field.
+QUOTED = '"[^"]*+(?:""[^"]*+)*+"[^,]*+'
+UNCLOSED = '"[^"]*+(?:""[^"]*+)*+$'
+FIELDS = f'(?s)(?:(?:{QUOTED}|[^",][^,]*+)?,)*+'
+
+
 def csv_values(record: Column) -> Column:
-    """Values of one CSV record: pieces between quotes alternate outside and inside; a pair of quotes is one."""
-    pieces = F.split(record, '"')
-    n = F.size(pieces)
-    joined = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, p).when(
-        (p == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.replace(p, F.lit(","), F.lit(SEPARATOR))))
-    return F.split(F.array_join(joined, ""), SEPARATOR)
+    """Values of one CSV record: a pair of quotes inside a quoted value is one quote."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f"(?s),((?:{QUOTED})|[^,]*+)"), F.lit(1))
+    whole = f"(?s)^{QUOTED}$"
+    inner = lambda x: F.replace(F.regexp_extract(x, '(?s)^"([^"]*+(?:""[^"]*+)*+)"', 1), F.lit('""'), F.lit('"'))
+    rest = lambda x: F.regexp_extract(x, '(?s)^"[^"]*+(?:""[^"]*+)*+"(.*)$', 1)
+    return F.transform(fields, lambda x: F.when(F.rlike(x, F.lit(whole)), F.concat(inner(x), rest(x))).otherwise(x))
 
 
 def csv_malformed(record: Column) -> Column:
-    """An unclosed quote, or text next to a quoted value."""
-    pieces = F.split(record, '"')
-    n = F.size(pieces)
-    bad = F.exists(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: (x["i"] % 2 == 0) & (x["p"] != "") & (
-        ((x["i"] > 0) & ~F.startswith(x["p"], F.lit(","))) | ((x["i"] < n - 1) & ~F.endswith(x["p"], F.lit(",")))))
-    return (n % 2 == 0) | bad
+    """An unclosed quote, or text after the closing quote of a value."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f"(?s),((?:{QUOTED})|[^,]*+)"), F.lit(1))
+    return F.exists(fields, lambda x: F.startswith(x, F.lit('"')) & ~F.rlike(x, F.lit('(?s)^"[^"]*+(?:""[^"]*+)*+"$')))
+
+
+def csv_line_states(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``_inside``: whether each line begins inside a quoted value.
+
+    A line maps the state before it to the state after it. Lines that end in one state whatever came
+    before fix it; the others keep it or turn it over. The state of a line is that of the last
+    fixing line, turned as often as lines since then turn it; one number per block is carried.
+    """
+    after_close = f'(?s)^[^"]*+(?:""[^"]*+)*+"[^,]*+(?:,{FIELDS.removeprefix("(?s)")}{UNCLOSED})'
+    from_outside = F.rlike("line", F.lit(f"(?s)^{FIELDS.removeprefix('(?s)')}{UNCLOSED}"))
+    from_inside = F.rlike("line", F.lit('(?s)^[^"]*+(?:""[^"]*+)*+$')) | F.rlike("line", F.lit(after_close))
+    marked = lines.withColumns({"_out": from_outside.cast("int"), "_in": from_inside.cast("int")})
+    turns = F.when((F.col("_out") == 1) & (F.col("_in") == 0), 1).otherwise(0)
+    marked = prefix_sum(marked, ["file"], ["place"], "block", turns, "_turns", inclusive=False)
+    fixed = F.when(F.col("_out") == F.col("_in"), F.struct(F.col("_out").alias("state"), F.col("_turns").alias("turns")))
+    marked = last_before(marked, ["file"], ["place"], F.col("block"), fixed, "_fixed")
+    state = F.when(F.col("_fixed").isNull(), F.col("_turns")).otherwise(F.col("_fixed.state") + F.col("_turns") - F.col("_fixed.turns"))
+    return marked.withColumn("_inside", state % 2 == 1)
 
 
 def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record, values, malformed): record 0 is the header; blank lines count."""
-    lines = read_lines(spark, path)
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    marked = prefix_sum(lines, ["file"], ["place"], "block", quotes, "_open", inclusive=False)
-    starts = F.when(F.col("_open") % 2 == 0, 1).otherwise(0)
-    numbered = prefix_sum(marked, ["file"], ["place"], "block", starts, "_record")
+    """(file, record, values, malformed): record 0 is the header; blank lines count.
+
+    A file that ends inside a quoted value is refused: its last record has no end, and no part of it can be trusted.
+    """
+    marked = csv_line_states(read_lines(spark, path))
+    open_ = F.max_by(F.when(F.col("_inside"), F.col("_in")).otherwise(F.col("_out")), "place")
+    cut = marked.groupBy("file").agg(open_.alias("open")).where("open = 1").limit(1).collect()
+    if cut:
+        raise ValueError(f"{cut[0]['file']} ends inside a quoted value")
+    numbered = prefix_sum(marked, ["file"], ["place"], "block", F.when(F.col("_inside"), 0).otherwise(1), "_record")
     records = numbered.groupBy("file", (F.col("_record") - 1).alias("record")).agg(
         F.array_sort(F.collect_list(F.struct("block", "place", "line"))).alias("_l"))
     text = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
@@ -62,6 +86,20 @@ def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
         "file", "record", F.transform(csv_values(F.col("_t")), clean_text).alias("values"), csv_malformed(F.col("_t")).alias("malformed"))
 
 
+def one_header(records: DataFrame) -> list[str]:
+    """The header that all files share; files that differ are refused."""
+    found = records.filter("record = 0").select("values").distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("The files have different headers; read them one by one")
+    return list(found[0]["values"]) if found else []
+
+
+def batch_of(df: DataFrame, batch_id: str) -> Column:
+    """The batch of a row: ``batch_id``, with the file's name where several files are read, so that rows stay unique."""
+    several = df.select("file").distinct().limit(2).count() > 1
+    return F.concat(F.lit(f"{batch_id}/"), F.element_at(F.split("file", "/"), -1)) if several else F.lit(batch_id)
+
+
 def check_header(columns: list[str], required: list[str] = ["title", "abstract"]) -> None:
     """Names must be unique ignoring case and hold the required ones."""
     named = [c.strip().casefold() for c in columns if c.strip()]
@@ -75,7 +113,7 @@ def check_header(columns: list[str], required: list[str] = ["title", "abstract"]
 def check_rows(records: DataFrame, header: list[str]) -> DataFrame:
     """Records with a value past the header or in an unnamed column, named by row number."""
     unnamed = [i for i, c in enumerate(header) if not c]
-    beyond = F.exists(F.slice("values", len(header) + 1, 1_000_000), lambda x: x != "")
+    beyond = F.size(F.filter("values", lambda x, i: (i >= len(header)) & (x != ""))) > 0
     hidden = F.lit(False)
     for i in unnamed:
         hidden = hidden | (F.coalesce(F.get("values", F.lit(i)), F.lit("")) != "")
@@ -104,11 +142,15 @@ def with_extra_map(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def read_citations_csv(spark: SparkSession, path: str, batch_id: str, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Citation records and rejected rows of a CSV export (all files of ``path`` share one header)."""
-    records = shared(read_csv_records(spark, path))
-    first = records.filter("record = 0").select("values").limit(1).collect()
-    header = list(first[0]["values"]) if first else []
+    """Citation records and rejected rows of a CSV export.
+
+    All files of ``path`` must have the same header. Rows are numbered per file; with several files
+    the batch of a row carries its file's name.
+    """
+    records = read_csv_records(spark, path)
+    header = one_header(records)
     check_header(header)
+    batch = batch_of(records, batch_id)
     checked = check_rows(records.filter("record > 0"), header)
     lower = [c.casefold() for c in header]
 
@@ -120,12 +162,12 @@ def read_citations_csv(spark: SparkSession, path: str, batch_id: str, max_record
     extra_map = (F.map_from_arrays(F.array(*[F.lit(c) for c, _ in extra]), F.array(*[value(i) for _, i in extra]))
                  if extra else F.create_map().cast("map<string,string>"))
     good = checked.filter("reject_reason IS NULL").select(
-        F.lit(batch_id).alias("batch_id"), F.col("record").alias("row"), *columns, extra_map.alias("extra"))
+        batch.alias("batch_id"), F.col("record").alias("row"), *columns, extra_map.alias("extra"))
     good = drop_blank_records(good).withColumn("doi", normalize_doi("doi"))
     if max_records is not None:
         enforce_record_limit(records.filter("record > 0"), max_records)
     rejects = checked.filter("reject_reason IS NOT NULL").select(
-        F.lit(batch_id).alias("batch_id"), F.col("record").alias("row"), "reject_reason")
+        batch.alias("batch_id"), F.col("record").alias("row"), "reject_reason")
     return good, rejects
 
 
@@ -143,16 +185,17 @@ def read_citations_ris(spark: SparkSession, path: str, batch_id: str, max_record
     lines = lines.withColumns({"tag": tag, "text": F.when(tag != "", F.regexp_extract("line", r"^([A-Z0-9]{2})  -(?: ?)(.*)$", 2)).otherwise(F.col("line"))})
     lines = prefix_sum(lines, ["file"], order, "block", F.when(F.col("tag") != "", 1).otherwise(0), "tag_ix")
     lines = prefix_sum(lines, ["file"], order, "block", F.when(F.col("tag") == "TY", 1).otherwise(0), "record")
+    batch = batch_of(lines, batch_id)
+    # lines before the first TY are no record; only the first of them is reported
+    strays = lines.filter("record = 0").groupBy("file").agg(F.min("line_number").alias("line_number"))
     position = F.struct("line_number", "tag", "tag_ix", clean_text("text").alias("text"))
-    records = lines.groupBy("file", "record").agg(F.array_sort(F.collect_list(position)).alias("_l"))
+    records = lines.filter("record > 0").groupBy("file", "record").agg(F.array_sort(F.collect_list(position)).alias("_l"))
     tagged = F.filter("_l", lambda x: x["tag"] != "")
     items = F.transform(tagged, lambda t: F.struct(t["tag"].alias("tag"), t["line_number"].alias("line"), F.array_join(
         F.transform(F.filter("_l", lambda x: x["tag_ix"] == t["tag_ix"]), lambda x: x["text"]), "\n").alias("value")))
     records = records.withColumn("_items", items).withColumn("_end", F.array_position(F.transform("_items", lambda x: x["tag"]), "ER"))
     after = F.get("_items", F.col("_end").cast("int"))
-    stray = F.get(F.filter("_l", lambda x: x["tag_ix"] == F.get("_l", F.lit(0))["tag_ix"]), F.lit(0))["line_number"]
-    error = (F.when(F.col("record") == 0, F.struct(F.lit("record_must_start_with_ty").alias("reason"), stray.alias("line")))
-             .when(F.col("_end") == 0, F.struct(F.lit("record_without_er").alias("reason"), F.get("_items", F.lit(0))["line"].alias("line")))
+    error = (F.when(F.col("_end") == 0, F.struct(F.lit("record_without_er").alias("reason"), F.get("_items", F.lit(0))["line"].alias("line")))
              .when(after.isNotNull(), F.struct(F.lit("record_must_start_with_ty").alias("reason"), after["line"].alias("line")))
              .when(F.contains(F.element_at("_items", F.col("_end").cast("int"))["value"], F.lit("\n")),
                    F.struct(F.lit("record_must_start_with_ty").alias("reason"), (F.element_at("_items", F.col("_end").cast("int"))["line"] + 1).alias("line"))))
@@ -161,12 +204,13 @@ def read_citations_ris(spark: SparkSession, path: str, batch_id: str, max_record
     blank = (F.col("title") == "") & (F.col("abstract") == "")
     fields = fields.withColumn("_error", F.coalesce("_error", F.when(blank, F.struct(
         F.lit("neither_title_nor_abstract").alias("reason"), F.get("_items", F.lit(0))["line"].alias("line")))))
-    good = fields.filter("_error IS NULL").select(F.lit(batch_id).alias("batch_id"), F.col("record").alias("row"), *TEMPLATE, "extra")
+    good = fields.filter("_error IS NULL").select(batch.alias("batch_id"), F.col("record").alias("row"), *TEMPLATE, "extra")
     if max_records is not None:
         enforce_record_limit(good, max_records)
     rejects = fields.filter("_error IS NOT NULL").select(
-        F.lit(batch_id).alias("batch_id"), F.col("record").alias("row"), F.col("_error.reason").alias("reject_reason"),
-        F.col("_error.line").alias("line_number"))
+        batch.alias("batch_id"), F.col("record").alias("row"), F.col("_error.reason").alias("reject_reason"),
+        F.col("_error.line").alias("line_number")).unionByName(strays.select(
+            batch.alias("batch_id"), F.lit(0).cast("long").alias("row"), F.lit("record_must_start_with_ty").alias("reject_reason"), "line_number"))
     return good, rejects
 
 
@@ -197,9 +241,8 @@ LIBRARY = ["title", "authors", "year", "doi", "pdf_path"]
 
 def read_library_csv(spark: SparkSession, path: str, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Library rows (library_row, title, authors, year, doi, pdf_path) and rejected rows."""
-    records = shared(read_csv_records(spark, path))
-    first = records.filter("record = 0").select("values").limit(1).collect()
-    header = [c.casefold() for c in first[0]["values"]] if first else []
+    records = read_csv_records(spark, path)
+    header = [c.casefold() for c in one_header(records)]
     if len(set(header)) != len(header):
         raise ValueError("Column names must be unique")
     if "pdf_path" not in header or not {"title", "doi"} & set(header):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,21 @@ def fold_labels(events: DataFrame, keys: list[str] = KEYS, values: list[str] = [
     return events.groupBy(*keys).agg(last.alias("_l")).select(*keys, "_l.*")
 
 
+def run_name(checkpoint: str) -> str:
+    """A short name of the stream run that keeps its state in ``checkpoint``."""
+    return "r" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 def stream_labels(events: DataFrame, target: str, checkpoint: str, keys: list[str] = KEYS, values: list[str] = ["decision"],
                   trigger: dict | None = None):
     """Keep the current labels of a stream of events in the table at ``target``.
 
     State is one row per key. Each micro-batch writes only the keys it changed, as a new version
-    folder; :func:`current_labels` folds the versions, so a repeated micro-batch changes nothing.
+    folder; :func:`current_labels` folds the versions, so a repeated micro-batch changes nothing. A
+    run is named by its checkpoint, so a stream with a new one leaves the versions of others alone.
     """
     def upsert(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        changed.write.mode("overwrite").parquet(f"{target}/run={run_name(checkpoint)}/epoch={epoch}")
 
     return (fold_labels(events, keys, values).writeStream.outputMode("update").foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

@@ -46,6 +46,41 @@ def test_csv_in_many_blocks_keeps_row_numbers(spark, folder):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_csv_quote_inside_a_field_is_data(spark, folder):
+    head = [f"g{i},a{i}" for i in range(10)]
+    lines = ["title,abstract", *head, 'bad,12" screen', 'x"y"z,"q, ""w"""', '"two', 'lines",end"ing', '"say ""hi', '"" there",b', *[f"h{i},b{i}" for i in range(1000)]]
+    path = write(folder, "q.csv", "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        good, bad = c.read_citations_csv(spark, path, "b")
+        rows = [(x.row, x.title, x.abstract) for x in good.orderBy("row").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(i, *r) for i, r in enumerate(csv.reader(open(path, newline=""))) if i]
+    assert rows == want and len(rows) == 1014 and bad.isEmpty()
+
+
+def test_csv_that_ends_inside_a_quote_is_refused(spark, folder):
+    with pytest.raises(ValueError, match="quoted"):
+        c.read_citations_csv(spark, write(folder, "u.csv", 'title,abstract\na,b\nc,"open\nd,e\n'), "b")
+
+
+def test_files_of_one_folder(spark, folder):
+    write(folder, "a.csv", "title,abstract\na,b\n")
+    write(folder, "b.csv", "title,abstract\nc,d\n")
+    good, _ = c.read_citations_csv(spark, folder, "b")
+    assert sorted((x.batch_id, x.row, x.title) for x in good.collect()) == [("b/a.csv", 1, "a"), ("b/b.csv", 1, "c")]
+    write(folder, "c.csv", "abstract,title\nc,d\n")
+    with pytest.raises(ValueError, match="headers"):
+        c.read_citations_csv(spark, folder, "b")
+
+
+def test_ris_without_a_first_line_is_one_reject(spark, folder):
+    good, bad = c.read_citations_ris(spark, write(folder, "n.ris", "\n" + "TI  - a\n" * 500), "b")
+    assert good.isEmpty() and [tuple(x) for x in bad.collect()] == [("b", 0, "record_must_start_with_ty", 2)]
+
+
 @pytest.mark.parametrize("header", ["title,Title,abstract", "title,notes"])
 def test_csv_header_faults(spark, folder, header):
     with pytest.raises(ValueError):
