@@ -40,7 +40,7 @@ def compare(spark, con, sf: str, function, oracle: str | None) -> str:
     right_names, right = rows_of(want)
     if left_names != right_names:
         return f"FAIL columns {left_names} != {right_names}"
-    kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in left_names if got[c].dtype.kind != want[c].dtype.kind and len(got)}
+    kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in left_names if got[c].dtype.kind != want[c].dtype.kind and got[c].notna().any() and want[c].notna().all()}
     if kinds:
         return f"FAIL dtypes {kinds}"
     if len(left) != len(right):
