@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from citesieve.llm import bpe, exact_dedup, html_density, jaccard_join, line_dedup, quality_rules, secret_scan, source_mix, suffix_dedup, warc_segments
 from citesieve.llm.common import new_folder, read
+from citesieve.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,4 +58,4 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_exact_dedup, op4_line_dedup, op5_warc_segments, op6_jaccard_join,
                                    op7_secret_scan, op8_suffix_dedup, op9_html_density, op10_bpe)} | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {}
+
