@@ -84,13 +84,14 @@ def scan_pdf_inventory(spark: SparkSession, directory: str, max_bytes: int = MAX
     """(path, filename, stem, suffix, length, sha256, file_error) of a folder; oversized files are not hashed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
     name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
-    fits = F.col("length") <= max_bytes
     signed = F.substring("content", 1, 5) == F.lit("%PDF-").cast("binary")
-    return files.select(
-        "path", name.alias("filename"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
-        F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("suffix"), "length",
-        F.when(fits & signed, F.sha2("content", 256)).alias("sha256"),
-        F.when(~fits, "exceeds_size_limit").when(~signed, "invalid_signature").alias("file_error"))
+    shown = ["path", name.alias("filename"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
+             F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("suffix"), "length"]
+    # the size test reaches the source, so the content of an oversized file is never read
+    fits = files.filter(F.col("length") <= max_bytes).select(
+        *shown, F.when(signed, F.sha2("content", 256)).alias("sha256"), F.when(~signed, "invalid_signature").alias("file_error"))
+    large = files.filter(F.col("length") > max_bytes).select(*shown, F.lit(None).cast("string").alias("sha256"), F.lit("exceeds_size_limit").alias("file_error"))
+    return fits.union(large)
 
 
 def check_documents(files: DataFrame, suffixes: list[str] = DOCUMENT_SUFFIXES) -> tuple[DataFrame, DataFrame]:

@@ -32,12 +32,9 @@ def write_recovery(recovery: DataFrame, path: str, mode: str = "errorifexists")
     write_csv(recovery_table(recovery), path, mode)
 
 
-def extra_keys(papers: DataFrame, max_keys: int = 2000) -> list[str]:
-    """Names found in the ``extra`` maps, in name order; a wide table cannot have unbounded columns."""
-    keys = papers.select(F.explode(F.map_keys("extra")).alias("k")).distinct().limit(max_keys + 1).collect()
-    if len(keys) > max_keys:
-        raise ValueError(f"More than {max_keys} extra columns; export the extra map in long form")
-    return sorted(row.k for row in keys)
+def extra_keys(papers: DataFrame) -> list[str]:
+    """Names found in the ``extra`` maps, in name order: the header of the export, which is one column per name."""
+    return sorted(row.k for row in papers.select(F.explode(F.map_keys("extra")).alias("k")).distinct().collect())
 
 
 # Exported names of a criterion's columns, in order, with the field each shows.
