@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citesieve.llm.common import components, fold_case, stage, words
+from citesieve.llm.common import BLANKS, LOWER, UPPER, components, stage, words
 
 WIDTH = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -56,12 +56,18 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def text_mark() -> Column:
-    """Tells rows with one doc_id and different texts apart."""
-    return F.xxhash64(F.lit(11), F.coalesce(F.col("text"), F.lit("")))
+    """Names a row by doc_id and text; rows that repeat both have one name."""
+    return F.xxhash64(F.col("doc_id"), F.lit(11), F.coalesce(F.col("text"), F.lit("")))
+
+
+def word_hashes(text: Column) -> Column:
+    """Hashes of the case-folded words, in order; one pass folds the case and makes every blank a space."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + BLANKS, LOWER + " " * len(BLANKS))
+    return F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
 
 
 def _hashed(documents: DataFrame, *more) -> DataFrame:
-    return documents.select(*more, F.transform(words(fold_case(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
+    return documents.select(*more, word_hashes(F.col("text")).alias("h"))
 
 
 def shingle_weights(hashed: DataFrame) -> np.ndarray:
@@ -121,56 +127,73 @@ def signatures(hashed: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def postings(signed: DataFrame) -> DataFrame:
-    """(token, group, pos, n) of prefix shingles that two groups or more have, once per group.
+    """(token, group, n) of prefix shingles that two groups or more have, once per group.
 
     Rows of a token meet in one sorted partition and are read in a stream; a heavy token is dealt to
     SLOTS partitions by group and keeps all its rows.
     """
     rows = signed.where("n > 0").select("group", "n", "light", F.posexplode("prefix").alias("pos", "token"))
     heavy = F.col("pos") >= F.col("light")
-    slot = F.when(heavy, F.xxhash64("token", F.pmod("group", F.lit(SLOTS)))).otherwise(F.col("token"))
-    rows = rows.select("token", slot.alias("slot"), "group", F.struct("pos", "n", heavy.alias("heavy")).alias("at"))
-    order = Window.partitionBy("slot", "token").orderBy("group")
+    at = F.shiftleft("n", 1) + heavy.cast("long")  # size and heaviness travel in one number
+    rows = rows.select("token", F.when(heavy, F.pmod("group", F.lit(SLOTS))).otherwise(0).alias("slot"), "group", at.alias("at"))
+    order = Window.partitionBy("token", "slot").orderBy("group")
     seen = rows.select("token", "group", "at", F.lead("group").over(order).alias("next"),
                        F.first("group").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
     last = F.col("next").isNull() | (F.col("next") != F.col("group"))
-    shared = F.col("at.heavy") | F.col("next").isNotNull() | (F.col("first") != F.col("group"))
-    return seen.where(last & shared).select("token", "group", F.col("at.pos").alias("pos"), F.col("at.n").alias("n"))
+    shared = (F.col("at") % 2 == 1) | F.col("next").isNotNull() | (F.col("first") != F.col("group"))
+    return seen.where(last & shared).select("token", "group", F.shiftright("at", 1).alias("n"))
+
+
+def sizes_fit() -> Column:
+    return 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
 
 
-def may_link(a: str, b: str) -> Column:
-    """Size and position filter of a shingle that is the first two sets have in common."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    small, large = F.least(na, nb), F.greatest(na, nb)
-    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return (100 * small >= PERCENT * large) & (rest * (100 + PERCENT) >= PERCENT * (na + nb))
+def enough(shared: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m that have ``shared`` prefix shingles in common can link.
+
+    The prefix that ends first holds all that the sets share up to there, so what they share beyond
+    lies in its set's rest, which is one less than PERCENT of that set.
+    """
+    def rest(size: Column) -> Column:
+        return F.floor((PERCENT * size + 99) / 100) - 1
+
+    return (shared + F.greatest(rest(n), rest(m))) * (100 + PERCENT) >= PERCENT * (n + m)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class nodes whose whole sets link. Sets are made again for the classes in the pairs only."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "low"), "node")
-    found = needed.join(documents.select("doc_id", "text"), F.col("doc_id").eqNullSafe(F.col("low")))
+    """The pairs (a, b) of class nodes whose whole sets link.
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, STEP):
-                part = batch.slice(low, STEP)
-                made = [shingle_set(h).tobytes() for h in _lists(part.column("h"))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(made, pa.binary())], names=["node", "shingles"])
+    Texts are dealt once by row name and read for both sides. The set of a is made where its text
+    is and goes to b, so a node that many pairs have as b sends its set once.
+    """
+    rep = classes.select("node", "rep")
+    ends = pairs.join(rep.select(F.col("node").alias("a"), F.col("rep").alias("x_mark")), "a")
+    ends = stage(ends.join(rep.select(F.col("node").alias("b"), F.col("rep").alias("y_mark")), "b").select("a", "b", "x_mark", "y_mark"), "jaccard-ends")
+    texts = documents.select(text_mark().alias("mark"), "text")
+
+    def sets(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, STEP):
+                    part = batch.slice(low, STEP)
+                    made = pa.array([shingle_set(h).tobytes() for h in _lists(part.column("h"))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), made], names=[*keys, name])
+
+        return _hashed(rows, *keys).mapInArrow(make, ", ".join([*(f"{k} long" for k in keys), f"{name} binary"]))
 
-    sets = stage(_hashed(found, "node").mapInArrow(make, "node long, shingles binary"), "jaccard-sets")
+    members = sets(texts.join(ends, texts["mark"] == ends["x_mark"]), ["a", "b", "y_mark"], "x")
+    pivots = sets(texts.join(ends.select(F.col("y_mark").alias("mark")).distinct(), "mark"), ["mark"], "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * n >= PERCENT * (len(x) + len(y) - n))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    both = members.join(pivots, members["y_mark"] == pivots["mark"]).select("a", "b", "x", "y")
     return stage(both.mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
 
 
@@ -180,34 +203,36 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     Links join documents whose sets of distinct 5-word shingles have Jaccard similarity of 0.8 or
     more; fewer words are one shingle, no words or null text an empty set that links with nothing.
     Repeated rows and copies form one class from the start. Also returned: root, which numbers the
-    components, and mark, which tells rows with one doc_id and different texts apart. A component of null ids only has a null
+    components, and mark, which names a row by doc_id and text. A component of null ids only has a null
     id. Other columns are not read; an empty table gives an empty result.
 
     1. Equal sets are one class; classes with equal prefix and size are one group.
-    2. Groups that share a prefix shingle are candidates. First each is tried against one pivot of
-       the shingle, the group with most shared shingles, and members against their group: links as
-       many as groups, which already connect dense clusters.
+    2. Groups that share a prefix shingle are candidates, filtered by size and by how many prefix
+       shingles they share. First each is tried against one pivot of the shingle, the group with most
+       shared shingles, and members against their group: links as many as groups, which already
+       connect dense clusters.
     3. Then every candidate pair of groups is expanded to members that are still in different
-       components, filtered by size and position, and verified. A pair inside a component would
-       change nothing, so no link between different components is lost.
+       components, filtered likewise, and verified. A pair inside a component would change nothing,
+       so no link between different components is lost.
     """
     hashed = _hashed(documents, F.col("doc_id"), text_mark().alias("mark"))
     signed = stage(signatures(hashed, shingle_weights(hashed)), "jaccard-signatures")
-    classes = stage(signed.groupBy("set", "n", "group").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+    classes = stage(signed.groupBy("set", "n", "group").agg(F.min("doc_id").alias("low"), F.min("mark").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     shared = stage(postings(signed), "jaccard-postings")
     full = classes.where("n > 0")
     groups = stage(full.groupBy("group").agg(F.min("node").alias("rep"), F.count("*").alias("members")), "jaccard-groups")
 
     common = stage(shared.groupBy("group").agg(F.count("*").alias("common")), "jaccard-common")
-    pivots = stage(shared.join(common, "group").groupBy("token").agg(F.max(F.struct("common", "group", "pos", "n")).alias("p"))
-                   .select("token", "p.group", "p.pos", "p.n"), "jaccard-pivots")
-    tried = shared.alias("x").join(pivots.alias("y"), "token").where("x.group <> y.group").where(may_link("x", "y"))
-    tried = tried.select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
+    pivots = stage(shared.join(common, "group").groupBy("token").agg(F.max(F.struct("common", "group", "n")).alias("p"))
+                   .select("token", "p.group", "p.n"), "jaccard-pivots")
+    tried = shared.alias("x").join(pivots.alias("y"), "token").where("x.group <> y.group").where(sizes_fit())
+    tried = tried.groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).count()
+    tried = tried.where(enough(F.col("count"), F.col("n"), F.col("m"))).select("g", "h")
     rep = groups.select("group", "rep")
     star = (tried.join(rep.withColumnRenamed("group", "g").withColumnRenamed("rep", "a"), "g")
             .join(rep.withColumnRenamed("group", "h").withColumnRenamed("rep", "b"), "h").select("a", "b"))
-    inner = full.join(groups.where("members > 1"), "group").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    first = stage(ordered(star.union(inner)), "jaccard-star")
+    inner = full.select("group", "node").join(groups.where("members > 1"), "group").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    first = stage(star.union(inner).distinct(), "jaccard-star")
     links = verified(first, classes, documents)
 
     known = stage(components(links), "jaccard-known")
@@ -215,13 +240,15 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     # all members of a group share its prefix, so a group of several components is a posting list of its own
     split = member.groupBy("group").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select(F.col("group"))
     own = split.join(groups, "group").join(full.select("group", "n").distinct(), "group").select(
-        F.xxhash64("group", F.lit("group")).alias("token"), "group", F.lit(0).alias("pos"), "n")
-    placed = stage(shared.union(own).join(member, "group").select("token", "node", "comp", "pos", "n"), "jaccard-placed")
+        F.xxhash64("group", F.lit("group")).alias("token"), "group", "n", F.col("n").alias("weight"))
+    listed = shared.select("token", "group", "n", F.lit(1).cast("long").alias("weight")).union(own)
+    placed = stage(listed.join(member, "group").select("token", "node", "comp", "n", "weight"), "jaccard-placed")
     open_ = placed.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("token")
     rest = stage(placed.join(open_, "token"), "jaccard-open")
-    more = (rest.alias("x").join(rest.alias("y"), "token").where("x.node < y.node and x.comp <> y.comp").where(may_link("x", "y"))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    second = stage(ordered(more).join(first, ["a", "b"], "left_anti"), "jaccard-rest")
+    more = rest.alias("x").join(rest.alias("y"), "token").where("x.node < y.node and x.comp <> y.comp").where(sizes_fit())
+    more = more.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.sum("x.weight").alias("c"))
+    more = more.where(enough(F.col("c"), F.col("n"), F.col("m"))).select("a", "b")
+    second = stage(ordered(more).join(ordered(first), ["a", "b"], "left_anti"), "jaccard-rest")
     links = links.union(verified(second, classes, documents))
 
     roots = components(links)
@@ -242,8 +269,8 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """
     found = jaccard_classes(documents).where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")).alias("first")
-    kept = stage(found.groupBy("root").agg(first).select(F.xxhash64("first.doc_id", "first.mark").alias("key"), F.lit(True).alias("stays")), "jaccard-kept")
-    rows = documents.select(F.struct(*documents.columns).alias("row"), F.xxhash64(F.col("doc_id"), text_mark()).alias("key"),
+    kept = stage(found.groupBy("root").agg(first).select(F.col("first.mark").alias("key")), "jaccard-kept")
+    rows = documents.select(F.struct(*documents.columns).alias("row"), text_mark().alias("key"),
                             (F.size(words(F.col("text"))) == 0).alias("alone"))
     worded = rows.where(~F.col("alone")).join(kept, "key", "left_semi")
     once = worded.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("copy = 1")
