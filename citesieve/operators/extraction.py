@@ -156,7 +156,7 @@ def group_evidence(evidence: DataFrame, fields: list[dict], max_chunks: int) ->
     """
     largest = max([sum(1 for g in fields if g["unit"] == f["unit"]) for f in fields], default=0)
     if max_chunks < largest:
-        raise ValueError(f"max_chunks ({max_chunks}) must be at least the number of fields in a unit ({largest})")
+        raise ValueError(f"A unit of {largest} fields needs as many chunks; max_chunks allows {max_chunks}")
     known = F.create_map(*[x for f in fields for x in (F.lit(f["label"]), F.struct(F.lit(f["unit"]).alias("unit"), F.lit(f["place"]).alias("place")))])
     placed = evidence.withColumn("_f", F.element_at(known, F.col("field"))).filter("_f IS NOT NULL")
     first = placed.groupBy("doc_id", F.col("_f.unit").alias("unit"), "chunk_ix").agg(

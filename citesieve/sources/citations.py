@@ -15,6 +15,7 @@ from citesieve.functions.text import clean_text, normalize_doi
 # Fixed values.
 TEMPLATE = ["title", "abstract", "authors", "year", "doi", "journal", "url", "source_id"]
 MAX_RECORDS = 50_000
+RIS_LINE = r"^([A-Z0-9]{2})  -(?: ?)(.*)$"
 RIS_TITLE, RIS_ABSTRACT = ["TI", "T1", "CT"], ["AB", "N2"]
 RIS_YEAR, RIS_JOURNAL, RIS_SOURCE = ["PY", "Y1", "DA"], ["JF", "JO", "T2", "JA"], ["ID", "AN"]
 
@@ -104,10 +105,10 @@ def check_header(columns: list[str], required: list[str] = ["title", "abstract"]
     """Names must be unique ignoring case and hold the required ones."""
     named = [c.strip().casefold() for c in columns if c.strip()]
     if len(named) != len(set(named)):
-        raise ValueError("Column names must be unique (ignoring case)")
+        raise ValueError("Two columns have the same name when case is ignored")
     missing = [c for c in required if c not in named]
     if missing:
-        raise ValueError(f"Provide the columns {', '.join(missing)}")
+        raise ValueError(f"Missing columns: {', '.join(missing)}")
 
 
 def check_rows(records: DataFrame, header: list[str]) -> DataFrame:
@@ -125,7 +126,7 @@ def check_rows(records: DataFrame, header: list[str]) -> DataFrame:
 def enforce_record_limit(df: DataFrame, n: int = MAX_RECORDS) -> DataFrame:
     """Refuse more than ``n`` rows. Off by default elsewhere: it is an upload rule, not an engine limit."""
     if len(df.limit(n + 1).select(F.lit(1)).head(n + 1)) > n:
-        raise ValueError(f"Import is limited to {n:,} rows")
+        raise ValueError(f"More than {n} rows")
     return df
 
 
@@ -181,8 +182,8 @@ def read_citations_ris(spark: SparkSession, path: str, batch_id: str, max_record
     order = ["place"]
     lines = read_lines(spark, path)
     lines = prefix_sum(lines, ["file"], order, "block", F.lit(1), "line_number").filter(clean_text("line") != "")
-    tag = F.regexp_extract("line", r"^([A-Z0-9]{2})  -(?: ?)(.*)$", 1)
-    lines = lines.withColumns({"tag": tag, "text": F.when(tag != "", F.regexp_extract("line", r"^([A-Z0-9]{2})  -(?: ?)(.*)$", 2)).otherwise(F.col("line"))})
+    tag = F.regexp_extract("line", RIS_LINE, 1)
+    lines = lines.withColumns({"tag": tag, "text": F.when(tag != "", F.regexp_extract("line", RIS_LINE, 2)).otherwise(F.col("line"))})
     lines = prefix_sum(lines, ["file"], order, "block", F.when(F.col("tag") != "", 1).otherwise(0), "tag_ix")
     lines = prefix_sum(lines, ["file"], order, "block", F.when(F.col("tag") == "TY", 1).otherwise(0), "record")
     batch = batch_of(lines, batch_id)
@@ -244,9 +245,9 @@ def read_library_csv(spark: SparkSession, path: str, max_records: int | None = N
     records = read_csv_records(spark, path)
     header = [c.casefold() for c in one_header(records)]
     if len(set(header)) != len(header):
-        raise ValueError("Column names must be unique")
+        raise ValueError("Two columns have the same name")
     if "pdf_path" not in header or not {"title", "doi"} & set(header):
-        raise ValueError("Provide pdf_path and at least one of title or doi")
+        raise ValueError("Missing columns: pdf_path, and title or doi")
     if max_records is not None:
         enforce_record_limit(records.filter("record > 0"), max_records)
     rows = records.filter("record > 0").filter(F.exists("values", lambda x: x != ""))
