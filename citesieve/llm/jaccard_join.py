@@ -169,7 +169,8 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
     rep = classes.select("node", "rep")
     ends = pairs.join(rep.select(F.col("node").alias("a"), F.col("rep").alias("x_mark")), "a")
     ends = stage(ends.join(rep.select(F.col("node").alias("b"), F.col("rep").alias("y_mark")), "b").select("a", "b", "x_mark", "y_mark"), "jaccard-ends")
-    texts = documents.select(text_mark().alias("mark"), "text")
+    # sides are sorted and merged at every size: which rows are needed grows with the input
+    texts = documents.select(text_mark().alias("mark"), "text").hint("merge")
 
     def sets(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +194,7 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
                 keep.append(100 * n >= PERCENT * (len(x) + len(y) - n))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = members.join(pivots, members["y_mark"] == pivots["mark"]).select("a", "b", "x", "y")
+    both = members.hint("merge").join(pivots, members["y_mark"] == pivots["mark"]).select("a", "b", "x", "y")
     return stage(both.mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
 
 
