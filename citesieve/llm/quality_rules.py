@@ -80,13 +80,18 @@ def ln_factorial(n: Column) -> Column:
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial(n, p), summed from exact terms. Terms more than 40 square roots of n below k are beyond a double and left out."""
-    low = F.greatest(F.lit(0), k - F.ceil(40 * F.sqrt(n)).cast("long") - 40)
+    """P(X <= k) for X binomial(n, p), summed from exact terms.
+
+    Left out are only terms that add nothing to a double: those more than 40 square roots of n below
+    both k and the mean, and those as far above the mean (exp(-3200) in all, by Hoeffding's bound).
+    """
+    mean, reach = F.floor(n * p).cast("long"), F.ceil(40 * F.sqrt(n)).cast("long") + 40
+    low, high = F.greatest(F.lit(0), F.least(k, mean) - reach), F.least(k, mean + reach)
 
     def term(i: Column) -> Column:
         return F.exp(ln_factorial(n) - ln_factorial(i) - ln_factorial(n - i) + i * math.log(p) + (n - i) * math.log1p(-p))
 
-    return F.aggregate(F.sequence(low, k), F.lit(0.0), lambda a, i: a + term(i))
+    return F.aggregate(F.sequence(low, high), F.lit(0.0), lambda a, i: a + term(i))
 
 
 def select_cutoffs(metrics: DataFrame, labels: DataFrame, row_id: Column, cutoffs=CUTOFFS, risk: float = RISK, error: float = ERROR) -> DataFrame:

@@ -76,6 +76,28 @@ def test_binomial_bound_is_exact(spark, n, k, p):
     assert got == pytest.approx(sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-8)
 
 
+@pytest.mark.parametrize("n,k,p", [(96_300, 15_000, 0.005), (100_000, 100_000, 0.005), (3_000_000, 90_000, 0.005), (200_000, 1_050, 0.005),
+                                   (200_000, 900, 0.005), (1_000_000, 4_000, 0.005)])
+def test_binomial_bound_of_many_labels(spark, n, k, p):
+    from pyspark.sql import functions as F
+
+    got = spark.range(1).select(quality_rules.binomial_cdf(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0]
+    term = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    assert got == pytest.approx(math.fsum(map(term, range(k + 1))), rel=1e-6)
+
+
+def test_cutoff_that_rejects_far_too_many_good_documents_is_not_safe(spark):
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    capitals = F.when(F.col("id") % 7 == 0, 100).otherwise(0).cast("long")
+    columns = {"n_words": 100, "word_chars": 1000, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 10}
+    metrics = spark.range(n + 700).select("id", F.lit("en").alias("stratum"), *[F.lit(v).cast("long").alias(c) for c, v in columns.items()],
+                                          capitals.alias("n_capitals"))
+    labels = spark.range(n + 700).select(F.col("id").alias("doc_id"), (F.col("id") < n).cast("int").alias("quality"))
+    assert quality_rules.select_cutoffs(metrics, labels, F.col("id")).count() == 0, "every seventh good document has capitals"
+
+
 def test_cutoffs_limit_false_rejection(spark):
     good = [(i, prose(i % 40, 15), "en") for i in range(3000)]
     bad = [(5000 + i, " ".join("##" + w for w in prose(i % 40, 15).split()), "en") for i in range(200)]
