@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citesieve.functions.ordered import dense_index
 from citesieve.llm.common import BLANKS, stage, word_count
 
 #: Least words of a block that is deleted; also of the line runs through which documents find each other.
@@ -29,23 +30,31 @@ def _identity(df: DataFrame) -> DataFrame:
     return df.withColumn("k1", F.xxhash64("keys")).withColumn("k2", F.xxhash64(F.lit(29), "keys"))
 
 
-def runs(keys: np.ndarray, sizes: np.ndarray, least: int = BLOCK_WORDS) -> set[int]:
-    """Hashes that make lines rare: from every line on, and up to every line, the shortest run of lines with ``least`` words.
+def run_ranges(sizes: np.ndarray, least: int = BLOCK_WORDS) -> set[tuple[int, int]]:
+    """The runs that make lines rare: from every line on, and up to every line, the shortest run of lines with ``least`` words.
 
     Every line of a common block of so many words lies in such a run inside the block.
     """
     found, ends = set(), np.concatenate([[0], np.cumsum(sizes)])
     low = 0
-    for high in range(1, len(keys) + 1):
+    for high in range(1, len(sizes) + 1):
         while low < high and ends[high] - ends[low + 1] >= least:
             low += 1
         if ends[high] - ends[low] >= least:
             found.add((low, high))
-    for low in range(len(keys)):
+    for low in range(len(sizes)):
         high = int(np.searchsorted(ends, ends[low] + least))
-        if high <= len(keys):
+        if high <= len(sizes):
             found.add((low, high))
-    return {_run_hash(keys[a:b]) for a, b in found}
+    return found
+
+
+def runs(keys: np.ndarray, sizes: np.ndarray, least: int = BLOCK_WORDS, gone=()) -> set[int]:
+    """Hashes of the runs; those with all their places in ``gone`` are left out."""
+    left = np.ones(len(keys), np.int64)
+    left[list(gone)] = 0
+    before = np.concatenate([[0], np.cumsum(left)])
+    return {_run_hash(keys[a:b]) for a, b in run_ranges(sizes, least) if before[b] > before[a]}
 
 
 def _run_hash(keys: np.ndarray) -> int:
@@ -124,7 +133,11 @@ def deletions(documents: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
 
     Documents with equal sequences are one class; all but its first document lose every line. Other
     documents meet through the hashes of rare line runs: each is aligned with the first document of
-    each run it shares, one pair per run at most, whatever the number of documents that have it.
+    each run it shares. Where that leaves a line of the run, because the two have it in another
+    order or more than once, the document is aligned with the other earlier holders of the run, four
+    times as many in each round, until the run is gone or all were tried. So every line is deleted that
+    the alignment with any earlier document deletes: a block of the two consists of runs that both have.
+    Pairs grow with the runs, and with the square of a run's holders only where no alignment deletes it.
     Stage tables are joined, so adaptive execution splits the pairs of a document that many meet.
     """
     rows = stage(_identity(documents.select("doc_id", *line_columns())).where(F.size("keys") > 0), "lines-rows")
@@ -145,8 +158,9 @@ def deletions(documents: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     spelled = stage(sequences.select("node", "keys", "sizes").mapInArrow(spell, "run long, node long")
                     .join(classes.select("node", "low"), "node"), "lines-runs")
     firsts = stage(spelled.groupBy("run").agg(F.min(F.struct("low", "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
-                   .select("run", F.col("first.node").alias("first")), "lines-firsts")
-    pairs = stage(spelled.join(firsts, "run").where("node <> first").select("node", "first").distinct(), "lines-pairs")
+                   .select("run", F.col("first.node").alias("first"), "n"), "lines-firsts")
+    shared = stage(spelled.join(firsts, "run").where("node <> first"), "lines-shared")
+    pairs = stage(shared.select("node", "first").distinct(), "lines-pairs")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +171,43 @@ def deletions(documents: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
                 places += gone
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.int32())], names=["node", "place"])
 
-    met = pairs.join(sequences.select(F.col("node").alias("first"), F.col("keys").alias("a")), "first")
-    met = met.join(sequences.select("node", F.col("keys").alias("b"), "sizes"), "node").select("node", "a", "b", "sizes")
-    gone = met.mapInArrow(align, "node long, place int").groupBy("node").agg(F.sort_array(F.collect_set("place")).alias("gone"))
+    def places(met: DataFrame) -> DataFrame:
+        met = met.join(sequences.select(F.col("node").alias("first"), F.col("keys").alias("a")), "first")
+        met = met.join(sequences.select("node", F.col("keys").alias("b"), "sizes"), "node").select("node", "a", "b", "sizes")
+        return stage(met.mapInArrow(align, "node long, place int"), "lines-places")
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, made = [], []
+            for node, keys, sizes, gone in zip(batch.column("node").to_pylist(), _longs(batch.column("keys")), _longs(batch.column("sizes")), batch.column("gone").to_pylist()):
+                found = runs(keys, sizes, least, gone or ())
+                nodes += [node] * len(found)
+                made += found
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.int64()), pa.array(nodes, pa.int64())], names=["run", "node"])
+
+    def left(asked: DataFrame, cut: DataFrame) -> DataFrame:
+        """Those of ``asked`` (run, node, low, n) of which a line is not in ``cut``."""
+        nodes = asked.select("node").distinct()
+        gone = cut.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_set("place").alias("gone"))
+        lines = sequences.join(nodes, "node", "left_semi").join(gone, "node", "left").select("node", "keys", "sizes", "gone")
+        return stage(asked.join(lines.mapInArrow(leave, "run long, node long"), ["run", "node"], "left_semi"), "lines-left")
+
+    cut = places(pairs)
+    open_ = left(shared.where("n > 2").select("run", "node", "low", "n"), cut)
+    most = open_.agg(F.max("n")).first()[0] or 0
+    if most:
+        # any order of the holders gives the same lines; these numbers need no task that has all holders of a run
+        numbered = dense_index(spelled.join(open_.select("run").distinct(), "run", "left_semi"), ["run"], ["node"], "number")
+        holders = stage(numbered.select("run", F.col("node").alias("first"), F.col("low").alias("first_low"), "number"), "lines-holders")
+    low, high = 0, 4
+    while low < most:
+        earlier = F.struct("first_low", "first") < F.struct("low", "node")
+        met = open_.join(holders.where((F.col("number") >= low) & (F.col("number") < high)), "run").where(earlier).select("node", "first").distinct()
+        cut = cut.union(places(stage(met.join(pairs, ["node", "first"], "left_anti"), "lines-pairs")))
+        open_ = left(open_, cut)
+        most = open_.agg(F.max("n")).first()[0] or 0
+        low, high = high, 4 * high
+    gone = cut.groupBy("node").agg(F.sort_array(F.collect_set("place")).alias("gone"))
     size = F.aggregate("sizes", F.lit(0), lambda x, y: x + y)
     sized = sequences.select("node", size.alias("size"))
     return stage(classes.join(sized, "node").join(gone, "node", "left").select("k1", "k2", F.col("low.doc_id").alias("low"), F.lit(True).alias("known"), "gone", "size"),

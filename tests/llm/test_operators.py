@@ -216,6 +216,31 @@ def test_common_line_of_many_documents(spark):
     assert all(got[i]["_lines"]["text"] == f"{prose(100 + i, 12)}\n{prose(900 + i, 12)}" for i in range(1, 200))
 
 
+def all_pairs(docs):
+    """Lines left per document when each is aligned with every earlier one."""
+    left, seen = {}, []
+    for i, text in docs:
+        keys = text.split("\n")
+        gone = set()
+        for other in seen:
+            gone.update(line_dedup.common_blocks(other, keys, [len(x.split()) for x in keys]))
+        left[i] = "\n".join(x for j, x in enumerate(keys) if j not in gone)
+        seen.append(keys)
+    return left
+
+
+def test_lines_in_another_order_go_with_a_later_holder(spark):
+    x, y, z, w = (prose(300 + i, 4 + 3 * i) for i in range(4))
+    docs = [(0, "\n".join([z, x, y, w])), (1, "\n".join([w, prose(310, 12), x, y, prose(311, 12)])), (2, "\n".join([prose(312, 12), w, prose(313, 12)])),
+            (3, "\n".join([w, prose(314, 12), x, y, prose(315, 12), z])), (4, "\n".join([prose(316, 12), z, prose(317, 12), w, prose(318, 12), z]))]
+    rng = random.Random(9)
+    pool = [prose(400 + i, rng.choice((3, 6, 11, 14))) for i in range(14)]
+    docs += [(i, "\n".join(rng.choice(pool) if rng.random() < 0.7 else prose(1000 * i + j, 8) for j in range(rng.randint(2, 9)))) for i in range(5, 160)]
+    docs += [(i, "\n".join([pool[0], prose(7000 + i, 12), pool[0], prose(8000 + i, 12), pool[0], prose(9000 + i, 12)])) for i in range(160, 180)]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)))
+    assert {i: r["_lines"]["text"] for i, r in got.items()} == all_pairs(docs)
+
+
 # 5 archives
 
 def test_framing_and_reassembly():
