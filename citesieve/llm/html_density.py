@@ -29,11 +29,16 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"
             "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
             "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id and role that name what is not the article.
-BOILER = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|
+BOILER = re.compile(r"""(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|
     nav|navbar|navigation|menu|menubar|breadcrumbs?|pagination|pager|toc|header|masthead|footer|copyright|colophon|contentinfo|
     sidebar|side|aside|complementary|widget|related|recommended|cookies?|consent|gdpr|notice|notification|alert|alertdialog|popup|modal|overlay|
     newsletter|subscribe|subscription|signup|login|paywall|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|
-    feedback|search|searchbox|toolbar|skip|skiplink|hidden|tags?)(?:$|[\s_-])""", re.I | re.X)
+    feedback|search|searchbox|toolbar|skip|skiplink|hidden|tags?)""", re.I | re.X)
+COMMENTS = re.compile(r"comments?|commentlist|disqus|replies|reply|respond")
+#: A name counts as a whole, at the end of a compound, or before these words; not after words of the second kind.
+LAYOUT = frozenset("""area bar block bottom box button buttons card center column container form group inner item items left link links list
+    outer panel post posts primary right row secondary section slot thread top unit wrap wrapper body""".split())
+ABSENT = frozenset("has have no not with without show hide is".split())
 TAG = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -43,28 +48,68 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its parts in page order (strings and nodes) and its counts."""
 
-    __slots__ = ("tag", "parts", "skip", "link", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent")
+    __slots__ = ("tag", "parts", "skip", "link", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "kind")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool = False):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, kind: int = 0):
+        self.tag, self.parent, self.kind = tag, parent, kind
+        self.skip = kind > 0
         self.parts: list = []
         self.link = tag == "a"
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _named(token: str) -> str:
+    """The part of a class, id or role that names what is not the article; empty if none does."""
+    parts = [x for x in re.split(r"[_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if x]
+    if not parts or ABSENT.intersection(parts[:-1]):
+        return ""
+    if BOILER.fullmatch(parts[-1]) and (len(parts) == 1 or parts[-1] != "side"):
+        return parts[-1]
+    if BOILER.fullmatch(parts[0]) and all(x in LAYOUT or x.isdigit() or BOILER.fullmatch(x) for x in parts[1:]):
+        return parts[0]
+    return ""
+
+
+def _boilerplate(tag: str, attributes: str) -> int:
+    """0: may hold the article; 1: no article by its name or as a form, unless its content says so; 2: the same by a name of comments; 3: never."""
+    if tag in DROPPED and tag != "form":
+        return 3
+    kind = int(tag == "form")
+    if not attributes or tag in ("html", "body", "main"):
+        return kind
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(a or b or c)
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN_STYLE.search(value):
-            return True
-        if name in ("class", "id", "role") and BOILER.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
-    return False
+        if tag != "article" and (name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN_STYLE.search(value)):
+            return 3
+        if name in ("class", "id", "role"):
+            for word in filter(None, map(_named, value.split())):
+                kind = max(kind, 2 if COMMENTS.fullmatch(word) else 1)
+    return kind
+
+
+def _settle(root: Node) -> None:
+    """Take back the set-aside nodes of kind 1 and 2 that hold an ``article`` or ``main``, and where the page
+    has neither, those of kind 1 with most of the body's characters outside links."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo.extend(x for x in node.parts if isinstance(x, Node) and x.kind < 3)
+    if not any(x.kind for x in nodes):
+        return
+    plain: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in reversed(nodes):
+        own = 0 if node.tag == "a" else sum(len(SPACE.sub("", html.unescape(x))) for x in node.parts if isinstance(x, str))
+        inner = [x for x in node.parts if isinstance(x, Node) and x.kind < 3]
+        plain[id(node)] = 0 if node.tag == "a" else own + sum(plain[id(x)] for x in inner)
+        if node.tag == "main" or node.tag == "article" and not node.kind or any(id(x) in holds for x in inner):
+            holds.add(id(node))
+    whole = next((plain[id(x)] for x in nodes if x.tag == "body"), plain[id(root)])
+    for node in nodes:
+        if id(node) in holds or node.tag == "article" or id(root) not in holds and node.kind == 1 and 2 * plain[id(node)] > whole:
+            node.skip = False
 
 
 def parse(page: str) -> Node:
@@ -127,6 +172,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         stack.append(node)
+    _settle(root)
     return root
 
 
@@ -207,7 +253,8 @@ def _blocks(root: Node, chosen: set[int]) -> list[str]:
 def main_text(page: str) -> str:
     """The article of one page.
 
-    Elements that are no article by kind, class, id, role or hiding are set aside. Of the rest the
+    Elements that are no article by kind, class, id, role or hiding are set aside, but none for a name
+    alone that holds an ``article``, ``main`` or most of the text. Of the rest the
     node with the largest sum of child densities is found; the least density on its path up to the
     body is the threshold. Every topmost node at or above the threshold holds content, and gives its
     subtree of the largest sum. An ``article`` or ``main`` element around that subtree is taken whole.

@@ -407,6 +407,16 @@ def test_main_text(spark):
     assert html_density.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content no-sidebar", "with-header", "post hentry tag-news", "page-side", "search-result", "sidebar"])
+def test_names_of_wrappers_do_not_hide_the_article(name):
+    story = "".join(f"<p>Paragraph {i} of the story, with some words.</p>" for i in range(5))
+    want = "\n".join(f"Paragraph {i} of the story, with some words." for i in range(5))
+    other = "<div class='sidebar-left'>Other</div><div class='cookie-notice'>We use cookies</div>"
+    assert html_density.main_text(f"<body><div class='{name}'><article>{story}</article></div>{other}</body>") == want
+    assert html_density.main_text(f"<body><div class='{name}'>{story}</div>{other}</body>") == want
+    assert html_density.main_text(f"<body><form><div>{story}</div></form>{other}</body>") == want
+
+
 # 10 tokens
 
 def test_bpe_equals_library(spark, documents, empty):
