@@ -1,5 +1,7 @@
 """SQL twins of the training-data queries that SQL can express."""
 
+from citesieve.llm.filter_audit import MAX_CAPITALS, MIN_DISTINCT, MIN_WORDS, SYMBOLS
+from citesieve.llm.phrases import COVERED, LONGEST, SUPPORT, TOP
 from citesieve.llm.quality_rules import CUTOFFS, ERROR, RISK, RULES
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -63,4 +65,60 @@ reach(doc_id, root) AS (SELECT a, a FROM edges UNION SELECT b, root FROM reach J
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) USING (doc_id)"""
 
-ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op5_warc_segments": OP5, "op6_jaccard_join": OP6}
+OP11 = rf"""WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {FOLDED} AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+runs AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM runs GROUP BY lang),
+grams AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g FROM (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM runs, range(1, {LONGEST + 1}) t(k) WHERE len(w) >= k)),
+counts AS (SELECT lang, k, g, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.f, x AS cut, p.f AS l, q.f AS r, (1000 * c.f * n) // (p.f * q.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS x FROM counts WHERE k > 1) c
+  JOIN counts p ON p.lang = c.lang AND p.g = list_slice(c.g, 1, x) JOIN counts q ON q.lang = c.lang AND q.g = list_slice(c.g, x + 1, c.k) JOIN totals t ON t.lang = c.lang),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, list_slice(g, i, i + m - 1) AS g, max(f) AS f FROM (SELECT lang, g, f, k, m, unnest(range(1, k - m + 2)) AS i FROM counts, range(2, {LONGEST}) t(m) WHERE k > m)
+  GROUP BY ALL),
+free AS (SELECT s.* FROM scored s LEFT JOIN longer o ON o.lang = s.lang AND o.g = s.g WHERE o.f IS NULL OR 100 * o.f < {COVERED} * s.f),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, encode(array_to_string(g, ' '))) AS rank FROM free)
+SELECT lang, rank::BIGINT AS rank, phrase, f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= {TOP}"""
+
+OP12 = rf"""WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+         {{'A': len(w) < {MIN_WORDS}, 'B': 100 * len(list_distinct(w)) < {MIN_DISTINCT} * len(w),
+          'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {MAX_CAPITALS} * length(text), 'D': regexp_matches(text, '{SYMBOLS}'),
+          'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)}} AS x
+  FROM docs LEFT JOIN marks USING (doc_id)),
+flags AS (SELECT part, good, toxic, [f for f in ['A', 'B', 'C', 'D', 'E'] if CASE f WHEN 'A' THEN x.A WHEN 'B' THEN x.B WHEN 'C' THEN x.C WHEN 'D' THEN x.D ELSE x.E END] AS fails FROM judged),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS before FROM orders, range(1, 6) t(step)),
+placed AS (SELECT part, filter_order, step, own, n, good, toxic, fails, list_contains(fails, own) AS failing, list_has_any(fails, before) AS gone FROM cells, steps),
+rows AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS removed,
+         coalesce(sum(n) FILTER (gone AND failing), 0) AS redundant, coalesce(sum(n) FILTER (failing AND len(fails) = 1), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS toxic_lost
+  FROM placed GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM rows"""
+
+OP13 = r"""WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path FROM cut),
+rules(rule, rule_host, rule_path, says) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+best AS (
+  SELECT page_id, rule, says FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)"""
+
+ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op5_warc_segments": OP5, "op6_jaccard_join": OP6, "op11_phrase_mining": OP11,
+           "op12_filter_audit": OP12, "op13_url_filter": OP13}

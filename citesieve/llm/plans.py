@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citesieve.llm import bpe, exact_dedup, html_density, jaccard_join, line_dedup, quality_rules, secret_scan, source_mix, suffix_dedup, warc_segments
+from citesieve.llm import (bpe, exact_dedup, filter_audit, html_density, jaccard_join, line_dedup, phrases, quality_rules, secret_scan, source_mix,
+                           suffix_dedup, url_filter, warc_segments)
 from citesieve.llm.common import new_folder, read
 from citesieve.llm.oracles import ORACLES  # noqa: F401
 
@@ -56,6 +57,23 @@ def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, bpe.public_vocabulary()))
 
 
+def op11_phrase_mining(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.mine_phrases(read(spark, sf, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+#: The rules of the query: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf, "pages"), URL_RULES)
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_exact_dedup, op4_line_dedup, op5_warc_segments, op6_jaccard_join,
-                                   op7_secret_scan, op8_suffix_dedup, op9_html_density, op10_bpe)} | {"pipeline": corpus_pipeline.run}
+                                   op7_secret_scan, op8_suffix_dedup, op9_html_density, op10_bpe, op11_phrase_mining, op12_filter_audit,
+                                   op13_url_filter)} | {"pipeline": corpus_pipeline.run}
 
