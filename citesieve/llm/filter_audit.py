@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
@@ -23,7 +24,9 @@ MAX_CAPITALS = 3
 SYMBOLS = "[#$%&*|]"
 LETTERS = "ABCDE"
 #: Bytes of text after which a task closes a shard of the matrix (a longer text is a shard alone).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
+#: Hash buckets in which words are sorted and numbered.
+WORD_BUCKETS = 1 << 16
 
 CARRIED = ["doc_id long", "part string", "other int", "digest binary"]
 LOCAL = "shard long, words array<binary>, " + ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in CARRIED) + ", starts array<int>, codes array<int>, counts array<int>"
@@ -47,7 +50,7 @@ def local_shards(documents: DataFrame) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         words: dict[bytes, int] = {}
-        rows, starts, codes, counts, held = [], [0], [], [], 0
+        rows, starts, codes, counts, held = [], array("i", [0]), array("i"), array("i"), 0
 
         def close() -> pa.RecordBatch:
             columns = [pa.array([number], pa.int64()), pa.array([list(words)], pa.list_(pa.binary()))]
@@ -66,7 +69,7 @@ def local_shards(documents: DataFrame) -> DataFrame:
                 held += len(text) + 64
                 if held >= SHARD_BYTES:
                     yield close()
-                    number, words, rows, starts, codes, counts, held = number + 1, {}, [], [0], [], [], 0
+                    number, words, rows, starts, codes, counts, held = number + 1, {}, [], array("i", [0]), array("i"), array("i"), 0
         if rows:
             yield close()
 
@@ -76,13 +79,15 @@ def local_shards(documents: DataFrame) -> DataFrame:
 def matrix(documents: DataFrame) -> DataFrame:
     """CSR shards of documents x words: starts, columns (global word numbers, ascending in a row) and counts, with the carried columns of the rows.
 
-    The dictionary numbers every distinct word of the table. A shard asks for the numbers of its own
-    distinct words, so a word costs one row a shard, however many documents hold it.
+    A shard asks for the numbers of its own distinct words, so a word costs one row a shard, however
+    many documents hold it. Words are sorted in hash buckets: a word's number is its rank among the
+    distinct words of its bucket and the bucket, so equal words have one number and others another.
     """
     shards = stage(local_shards(documents), "audit-local")
-    asked = shards.select("shard", F.posexplode("words").alias("code", "word"))
-    dictionary = stage(asked.select("word").distinct().withColumn("number", F.monotonically_increasing_id()), "audit-dictionary")
-    answers = asked.join(dictionary, "word").groupBy("shard").agg(F.collect_list(F.struct("code", "number")).alias("answer"))
+    asked = shards.select("shard", F.posexplode("words").alias("code", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
+    numbered = asked.select("shard", "code", (rank.cast("long") * WORD_BUCKETS + F.col("bucket")).alias("number"))
+    answers = numbered.groupBy("shard").agg(F.collect_list(F.struct("code", "number")).alias("answer"))
     joined = shards.drop("words").join(answers, "shard", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
