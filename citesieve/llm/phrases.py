@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ TOP = 2000
 #: A candidate goes if a longer one has at least this percentage of its occurrences.
 COVERED = 100
 #: Words after which a task closes its shards (a longer text is one shard).
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: The union of locally frequent phrases travels as a bitmap of this fixed size (4 MB), in chunks of 4 KB.
 BITMAP_BITS = 25
 CHUNK_BITS = 15
@@ -42,16 +43,16 @@ def shards(documents: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         number, held = TaskContext.get().partitionId() << 32, 0
-        open_: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+        open_: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal number, held
             for lang, (words, parts) in open_.items():
                 codes = np.concatenate(parts)
-                counts = np.bincount(codes, minlength=len(words) + 1)[1:]
+                counts = np.bincount(codes, minlength=len(words))[1:]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([lang], pa.string()), pa.array([int(counts.sum())], pa.int64()),
-                     pa.array([list(words)], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.int32()))],
+                     pa.array([list(words)[1:]], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.int32()))],
                     names=["shard", "lang", "n", "words", "counts", "codes"])
                 number += 1
             open_.clear()
@@ -59,10 +60,13 @@ def shards(documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words, parts = open_.setdefault(lang, ({}, []))
+                if lang not in open_:
+                    open_[lang] = Numbers(), []
+                words, parts = open_[lang]
                 found = BREAKS.sub(b" . ", text.lower()).split()  # bytes: only A-Z change, only blanks split; no word is a full stop
-                parts.append(np.array([0 if w == b"." else words.setdefault(w, len(words) + 1) for w in found] + [0], np.int32))
-                held += len(found) + 1
+                found.append(b".")
+                parts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+                held += len(found)
                 if held >= SHARD_WORDS:
                     yield from close()
         yield from close()
@@ -91,6 +95,17 @@ def bit_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x >> U(64 - BITMAP_BITS)).astype(np.int64)
 
 
+class Numbers(dict):
+    """Numbers words in order of appearance; a full stop, which is no word, has number 0."""
+
+    def __init__(self):
+        super().__init__({b".": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Bitmap:
     """Set bits gathered in a task and given out in chunks."""
 
@@ -98,7 +113,9 @@ class Bitmap:
         self.bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        at = bit_of(a, b)
+        self.set(bit_of(a, b))
+
+    def set(self, at: np.ndarray) -> None:
         np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
     def chunks(self) -> pa.RecordBatch:
@@ -134,6 +151,37 @@ def locally_frequent(level: DataFrame, support: int) -> DataFrame:
     return level.select("n", "total", "codes", "names").mapInArrow(run, "chunk long, bits binary")
 
 
+def word_bit(words: list[bytes]) -> np.ndarray:
+    found = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return (found >> U(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def marked_words(frequent: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Bitmap()
+        for batch in batches:
+            found.set(word_bit(batch.column("word").to_pylist()))
+        yield found.chunks()
+
+    return frequent.select("word").mapInArrow(run, "chunk long, bits binary")
+
+
+def asked_words(encoded: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(shard, lang, place, word) of the words of every shard whose bit is set; places count from 1."""
+    shared = encoded.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column("words").slice(i, 1).flatten()
+                at = word_bit(words.to_pylist())
+                keep = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                same = [pa.array([batch.column(c)[i].as_py()] * len(keep), kind) for c, kind in (("shard", pa.int64()), ("lang", pa.string()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array((keep + 1).astype(np.int32)), words.take(pa.array(keep))], names=["shard", "lang", "place", "word"])
+
+    return encoded.select("shard", "lang", "words").mapInArrow(run, "shard long, lang string, place int, word binary")
+
+
 def marked(frequent: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Bitmap()
@@ -198,13 +246,13 @@ def frequent_phrases(documents: DataFrame, support: int = SUPPORT, longest: int
     """
     encoded = stage(shards(documents), "phrases-shards")
     totals = stage(encoded.groupBy("lang").agg(F.sum("n").alias("total")), "phrases-totals")
-    words = encoded.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-    words = words.select("shard", "lang", (F.col("place") + 1).cast("int").alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("f"))
+    words = encoded.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("f"))
     phrases = words.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
     word, none = F.col("word").cast("string"), F.lit(None).cast("long")
     levels = [stage(_named(phrases.select("lang", word.alias("phrase"), "f", none.alias("a"), none.alias("b"), "word", F.array("f").alias("heads"),
                                           F.array("f").alias("tails")), 1), "phrases-1")]
-    named = words.join(levels[0].select("lang", "word", "name"), ["lang", "word"]).select("shard", "place", "name")
+    asked = asked_words(encoded, united(marked_words(levels[0])))
+    named = asked.join(levels[0].select("lang", "word", "name"), ["lang", "word"]).select("shard", "place", "name")
     state = stage(advanced(encoded.where("n > 0").join(totals, "lang"), named, False), "phrases-state-1")
     for size in range(2, longest + 1):
         local = counted(state, united(locally_frequent(state, support)))
