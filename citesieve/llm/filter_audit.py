@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -25,93 +28,164 @@ SYMBOLS = "[#$%&*|]"
 LETTERS = "ABCDE"
 #: Bytes of text after which a task closes a shard of the matrix (a longer text is a shard alone).
 SHARD_BYTES = 16 << 20
-#: Hash buckets in which words are sorted and numbered.
-WORD_BUCKETS = 1 << 16
+#: Hash buckets in which words are numbered; a bucket's distinct words are in one task's memory.
+WORD_BUCKETS = 1 << 14
 
+CAPITALS = bytes(range(65, 91))
+CONTINUATIONS = bytes(range(0x80, 0xC0))  # bytes of UTF-8 that begin no character
+MARKED = re.compile(SYMBOLS.encode())
 CARRIED = ["doc_id long", "part string", "other int", "digest binary"]
-LOCAL = "shard long, words array<binary>, " + ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in CARRIED) + ", starts array<int>, codes array<int>, counts array<int>"
+NAMES = [c.split()[0] for c in CARRIED]
+ROWS = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in CARRIED) + ", starts array<int>"
 
 
-def _carried(documents: DataFrame) -> DataFrame:
-    """What a document brings to its matrix row: the flags C and D as bits 2 and 3, and the identity of its text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]", ""))
-    other = F.when(100 * capitals.cast("long") > MAX_CAPITALS * F.length(text).cast("long"), 4).otherwise(0) + F.when(text.rlike(SYMBOLS), 8).otherwise(0)
-    return documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), other.cast("int").alias("other"),
-                            F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("text"))
+class Numbers(dict):
+    """Numbers words in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def other_flags(text: bytes) -> int:
+    """The filters C and D of a text, as bits 2 and 3."""
+    capitals = len(text) - len(text.translate(None, CAPITALS))
+    characters = len(text.translate(None, CONTINUATIONS))
+    return 4 * (100 * capitals > MAX_CAPITALS * characters) + 8 * bool(MARKED.search(text))
+
+
+def gaps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ascending numbers of every row as differences; the first of a row stays."""
+    out = values.copy()
+    out[1:] -= values[:-1]
+    first = starts[:-1][np.diff(starts) > 0]
+    out[first] = values[first]
+    return out
+
+
+def from_gaps(differences: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    total = np.cumsum(differences, dtype=np.int64)
+    lengths = np.diff(starts)
+    first = starts[:-1][lengths > 0]
+    return total - np.repeat(total[first] - differences[first], lengths[lengths > 0])
+
+
+def in_rows(values: np.ndarray, starts: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """``values`` ascending inside every row, and the arrays beside them in the same order."""
+    order = np.lexsort((values, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+    return [x[order] for x in (values, *more)]
 
 
 def local_shards(documents: DataFrame) -> DataFrame:
-    """Shards of the document-term matrix with words numbered inside the shard: each text is read and split once."""
-    names = [c.split()[0] for c in CARRIED]
+    """Shards of the document-term matrix with words numbered inside the shard; each text is read and split once.
+
+    A shard is one row (``bucket`` null) with the columns of its documents, starts, codes (as gaps)
+    and counts, and a row per hash bucket with the words of the bucket and their codes.
+    """
+    rows = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        words: dict[bytes, int] = {}
-        rows, starts, codes, counts, held = [], array("i", [0]), array("i"), array("i"), 0
-
-        def close() -> pa.RecordBatch:
-            columns = [pa.array([number], pa.int64()), pa.array([list(words)], pa.list_(pa.binary()))]
-            for i, kind in enumerate((pa.int64(), pa.string(), pa.int32(), pa.binary())):
-                columns.append(pa.array([[r[i] for r in rows]], pa.list_(kind)))
-            columns += [pa.array([np.asarray(v, np.int32)], pa.list_(pa.int32())) for v in (starts, codes, counts)]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "words", *names, "starts", "codes", "counts"])
+        words, docs, starts, codes, counts, held = Numbers(), [], array("i", [0]), array("i"), array("i"), 0
+
+        def batch_of(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in SCHEMA], schema=SCHEMA)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            at = np.asarray(starts, np.int32)
+            code, count = in_rows(np.asarray(codes, np.int32), at, np.asarray(counts, np.int32))
+            lists = {name: pa.array([[d[i] for d in docs]], SCHEMA.field(name).type) for i, name in enumerate(NAMES)}
+            lists |= {name: pa.array([x], pa.list_(pa.int32())) for name, x in (("starts", at), ("gaps", gaps(code, at)), ("counts", count))}
+            yield batch_of(1, shard=pa.array([number], pa.int64()), **lists)
+            listed = list(words)
+            bucket = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed)) % WORD_BUCKETS
+            order = np.argsort(bucket, kind="stable")
+            used, first = np.unique(bucket[order], return_index=True)
+            ends = pa.array(np.append(first, len(order)).astype(np.int32))
+            taken = pa.array(listed, pa.binary()).take(pa.array(order))
+            yield batch_of(len(used), shard=pa.array(np.full(len(used), number)), bucket=pa.array(used.astype(np.int32)),
+                           words=pa.ListArray.from_arrays(ends, taken), places=pa.ListArray.from_arrays(ends, pa.array(order.astype(np.int32))))
 
         for batch in batches:
-            for *row, text in zip(*(batch.column(c).to_pylist() for c in (*names, "text"))):
+            for doc, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "text"))):
                 found = Counter(text.split())  # bytes split at U+0009 to U+000D and space only
-                codes.extend([words.setdefault(w, len(words)) for w in found])
+                codes.extend(map(words.__getitem__, found))
                 counts.extend(found.values())
                 starts.append(len(codes))
-                rows.append(row)
+                docs.append((doc, part, other_flags(text), hashlib.sha256(text).digest()))
                 held += len(text) + 64
                 if held >= SHARD_BYTES:
-                    yield close()
-                    number, words, rows, starts, codes, counts, held = number + 1, {}, [], array("i", [0]), array("i"), array("i"), 0
-        if rows:
-            yield close()
+                    yield from close()
+                    number += 1
+                    words, docs, starts, codes, counts, held = Numbers(), [], array("i", [0]), array("i"), array("i"), 0
+        if docs:
+            yield from close()
+
+    return rows.mapInArrow(run, f"shard long, bucket int, words array<binary>, places array<int>, {ROWS}, gaps array<int>, counts array<int>")
+
 
-    return _carried(documents).mapInArrow(run, LOCAL)
+_KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+SCHEMA = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.binary())), ("places", pa.list_(pa.int32())),
+                    *((c.split()[0], pa.list_(_KINDS[c.split()[1]])) for c in CARRIED), *((c, pa.list_(pa.int32())) for c in ("starts", "gaps", "counts"))])
+
+
+def numbered(asked: DataFrame) -> DataFrame:
+    """(shard, places, numbers) for (shard, bucket, words, places): one number per distinct word of the table.
+
+    Rows come by bucket, and a bucket's words are numbered as they come: the number is the place
+    among them and the bucket. A word that every shard has is one entry per shard, read in a stream.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known = None, Numbers()
+        for batch in batches:
+            out = []
+            words, ends = batch.column("words").flatten().to_pylist(), batch.column("words").offsets.to_numpy()
+            for bucket, a, b in zip(batch.column("bucket").to_pylist(), ends - ends[0], ends[1:] - ends[0]):
+                if bucket != current:
+                    current, known = bucket, Numbers()
+                out.append(np.fromiter(map(known.__getitem__, words[a:b]), np.int64, b - a) * WORD_BUCKETS + bucket)
+            flat = pa.array(np.concatenate(out)) if out else pa.array([], pa.int64())
+            numbers = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("places"), numbers], names=["shard", "places", "numbers"])
+
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "shard long, places array<int>, numbers array<long>")
 
 
 def matrix(documents: DataFrame) -> DataFrame:
-    """CSR shards of documents x words: starts, columns (global word numbers, ascending in a row) and counts, with the carried columns of the rows.
+    """CSR shards of documents x words: starts, gaps (of the ascending global word numbers of a row) and counts, with the carried columns of the rows.
 
-    A shard asks for the numbers of its own distinct words, so a word costs one row a shard, however
-    many documents hold it. Words are sorted in hash buckets: a word's number is its rank among the
-    distinct words of its bucket and the bucket, so equal words have one number and others another.
+    A shard asks for the numbers of its own distinct words, so a word costs one entry a shard,
+    however many documents hold it.
     """
-    shards = stage(local_shards(documents), "audit-local")
-    asked = shards.select("shard", F.posexplode("words").alias("code", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)))
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
-    numbered = asked.select("shard", "code", (rank.cast("long") * WORD_BUCKETS + F.col("bucket")).alias("number"))
-    answers = numbered.groupBy("shard").agg(F.collect_list(F.struct("code", "number")).alias("answer"))
-    joined = shards.drop("words").join(answers, "shard", "left")
+    local = stage(local_shards(documents), "audit-local")
+    asked = local.where("bucket IS NOT NULL").select("shard", "bucket", "words", "places")
+    answers = numbered(asked).groupBy("shard").agg(F.collect_list(F.struct("places", "numbers")).alias("answer"))
+    shards = local.where("bucket IS NULL").select("shard", *NAMES, "starts", "gaps", "counts").join(answers, "shard", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 answer = row.column("answer").flatten()
-                numbers = np.zeros(len(answer), np.int64)
+                numbers = np.zeros(0, np.int64)
                 if len(answer):
-                    numbers[answer.field("code").to_numpy()] = answer.field("number").to_numpy()
-                starts, codes, counts = (row.column(c).flatten().to_numpy() for c in ("starts", "codes", "counts"))
-                columns = numbers[codes] if len(codes) else np.zeros(0, np.int64)
-                order = np.lexsort((columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-                yield pa.RecordBatch.from_arrays(
-                    [*(row.column(c) for c in ("shard", *(c.split()[0] for c in CARRIED), "starts")),
-                     pa.array([columns[order]], pa.list_(pa.int64())), pa.array([counts[order]], pa.list_(pa.int32()))],
-                    names=["shard", *(c.split()[0] for c in CARRIED), "starts", "columns", "counts"])
+                    places = answer.field("places").flatten().to_numpy()
+                    numbers = np.zeros(len(places), np.int64)
+                    numbers[places] = answer.field("numbers").flatten().to_numpy()
+                starts, gap, counts = (row.column(c).flatten().to_numpy() for c in ("starts", "gaps", "counts"))
+                columns, counts = in_rows(numbers[from_gaps(gap, starts)] if len(gap) else np.zeros(0, np.int64), starts, counts)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("shard", *NAMES, "starts")), pa.array([gaps(columns, starts)], pa.list_(pa.int64())),
+                                                  pa.array([counts], pa.list_(pa.int32()))], names=["shard", *NAMES, "starts", "gaps", "counts"])
 
-    return stage(joined.mapInArrow(run, LOCAL.replace("words array<binary>, ", "").replace("codes array<int>", "columns array<long>")), "audit-matrix")
+    return stage(shards.mapInArrow(run, f"shard long, {ROWS}, gaps array<long>, counts array<int>"), "audit-matrix")
 
 
 def flags(shards: DataFrame) -> DataFrame:
     """One row per document of the matrix: the carried columns, n_words (row sum), n_distinct (nonzero count), and bits of the filters A to D it fails."""
-    names = [c.split()[0] for c in CARRIED]
+    names = NAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
