@@ -94,7 +94,7 @@ def test_local_pass_marks_what_is_frequent_and_little_else(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SHARD_WORDS", 1500)
     found, totals = phrases.frequent_phrases(frame(spark, phrase_rows()), 20, 1)
     encoded = stage(phrases.shards(frame(spark, phrase_rows())), "t")
-    words = encoded.select("shard", "lang", F.posexplode("words").alias("place", "word")).withColumn("place", (F.col("place") + 1).cast("int"))
+    words = phrases.asked_words(encoded, np.full(1 << 22, 255, np.uint8))
     named = words.withColumn("phrase", F.col("word").cast("string")).join(found, ["lang", "phrase"]).select("shard", "place", "name")
     state = stage(phrases.advanced(encoded.join(totals, "lang"), named, False), "t")
     counts = phrases.counted(state, np.full(1 << 22, 255, np.uint8)).groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
@@ -174,9 +174,9 @@ def test_matrix_is_a_csr_of_global_words(spark, monkeypatch):
     assert len(shards) > 3
     seen = defaultdict(Counter)
     for s in shards:
-        assert len(s["starts"]) == len(s["doc_id"]) + 1 and s["starts"][-1] == len(s["columns"]) == len(s["counts"])
+        assert len(s["starts"]) == len(s["doc_id"]) + 1 and s["starts"][-1] == len(s["gaps"]) == len(s["counts"])
         for i, doc in enumerate(s["doc_id"]):
-            columns = s["columns"][s["starts"][i]:s["starts"][i + 1]]
+            columns = np.cumsum(s["gaps"][s["starts"][i]:s["starts"][i + 1]], dtype=int).tolist()
             assert columns == sorted(set(columns))
             seen[doc].update(dict(zip(columns, s["counts"][s["starts"][i]:s["starts"][i + 1]])))
     words = {i: Counter(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
