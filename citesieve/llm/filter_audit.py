@@ -72,7 +72,8 @@ def from_gaps(differences: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def in_rows(values: np.ndarray, starts: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
     """``values`` ascending inside every row, and the arrays beside them in the same order."""
-    order = np.lexsort((values, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.argsort(row * (int(values.max(initial=0)) + 1) + values) if len(values) else row
     return [x[order] for x in (values, *more)]
 
 
@@ -80,7 +81,7 @@ def local_shards(documents: DataFrame) -> DataFrame:
     """Shards of the document-term matrix with words numbered inside the shard; each text is read and split once.
 
     A shard is one row (``bucket`` null) with the columns of its documents, starts, codes (as gaps)
-    and counts, and a row per hash bucket with the words of the bucket and their codes.
+    and counts, and a row per hash bucket with the words of the bucket (joined by spaces) and their codes.
     """
     rows = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
@@ -104,9 +105,10 @@ def local_shards(documents: DataFrame) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             used, first = np.unique(bucket[order], return_index=True)
             ends = pa.array(np.append(first, len(order)).astype(np.int32))
-            taken = pa.array(listed, pa.binary()).take(pa.array(order))
+            taken = [listed[i] for i in order.tolist()]
+            joined = [b" ".join(taken[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(taken)])]
             yield batch_of(len(used), shard=pa.array(np.full(len(used), number)), bucket=pa.array(used.astype(np.int32)),
-                           words=pa.ListArray.from_arrays(ends, taken), places=pa.ListArray.from_arrays(ends, pa.array(order.astype(np.int32))))
+                           words=pa.array(joined, pa.binary()), places=pa.ListArray.from_arrays(ends, pa.array(order.astype(np.int32))))
 
         for batch in batches:
             for doc, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "text"))):
@@ -123,11 +125,11 @@ def local_shards(documents: DataFrame) -> DataFrame:
         if docs:
             yield from close()
 
-    return rows.mapInArrow(run, f"shard long, bucket int, words array<binary>, places array<int>, {ROWS}, gaps array<int>, counts array<int>")
+    return rows.mapInArrow(run, f"shard long, bucket int, words binary, places array<int>, {ROWS}, gaps array<int>, counts array<int>")
 
 
 _KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
-SCHEMA = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.binary())), ("places", pa.list_(pa.int32())),
+SCHEMA = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("places", pa.list_(pa.int32())),
                     *((c.split()[0], pa.list_(_KINDS[c.split()[1]])) for c in CARRIED), *((c, pa.list_(pa.int32())) for c in ("starts", "gaps", "counts"))])
 
 
@@ -140,14 +142,15 @@ def numbered(asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, known = None, Numbers()
         for batch in batches:
-            out = []
-            words, ends = batch.column("words").flatten().to_pylist(), batch.column("words").offsets.to_numpy()
-            for bucket, a, b in zip(batch.column("bucket").to_pylist(), ends - ends[0], ends[1:] - ends[0]):
+            out, ends = [], [0]
+            for bucket, joined in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
                 if bucket != current:
                     current, known = bucket, Numbers()
-                out.append(np.fromiter(map(known.__getitem__, words[a:b]), np.int64, b - a) * WORD_BUCKETS + bucket)
+                words = joined.split(b" ")
+                out.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)) * WORD_BUCKETS + bucket)
+                ends.append(ends[-1] + len(words))
             flat = pa.array(np.concatenate(out)) if out else pa.array([], pa.int64())
-            numbers = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), flat)
+            numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("places"), numbers], names=["shard", "places", "numbers"])
 
     dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
