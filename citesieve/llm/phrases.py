@@ -21,7 +21,7 @@ TOP = 2000
 #: A candidate goes if a longer one has at least this percentage of its occurrences.
 COVERED = 100
 #: Words after which a task closes its shards (a longer text is one shard).
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 2_000_000
 #: The union of locally frequent phrases travels as a bitmap of this fixed size (4 MB), in chunks of 4 KB.
 BITMAP_BITS = 25
 CHUNK_BITS = 15
@@ -52,8 +52,8 @@ def shards(documents: DataFrame) -> DataFrame:
                 counts = np.bincount(codes, minlength=len(words))[1:]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([lang], pa.string()), pa.array([int(counts.sum())], pa.int64()),
-                     pa.array([list(words)[1:]], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.int32()))],
-                    names=["shard", "lang", "n", "words", "counts", "codes"])
+                     pa.array([list(words)[1:]], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())), *packed(codes)],
+                    names=["shard", "lang", "n", "words", "counts", "length", "codes"])
                 number += 1
             open_.clear()
             held = 0
@@ -71,7 +71,17 @@ def shards(documents: DataFrame) -> DataFrame:
                     yield from close()
         yield from close()
 
-    return rows.mapInArrow(run, f"{SHARD}, words array<binary>, counts array<long>, codes array<int>")
+    return rows.mapInArrow(run, f"{SHARD}, words array<binary>, counts array<long>, length int, codes binary")
+
+
+def packed(codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A row's codes as (length, compressed bytes): a task opens one shard at a time, whatever its batch holds."""
+    return pa.array([len(codes)], pa.int32()), pa.array([pa.compress(codes.astype(np.int32).tobytes(), codec="zstd", asbytes=True)], pa.binary())
+
+
+def unpacked(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    size = 4 * batch.column("length")[i].as_py()
+    return np.frombuffer(pa.decompress(batch.column("codes")[i].as_buffer(), size, codec="zstd"), np.int32)
 
 
 def _array(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
@@ -141,14 +151,14 @@ def locally_frequent(level: DataFrame, support: int) -> DataFrame:
         found = Bitmap()
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts, _ = pairs(_array(batch, "codes", i))
+                keys, counts, _ = pairs(unpacked(batch, i))
                 least = -(-support * batch.column("n")[i].as_py() // batch.column("total")[i].as_py())
                 names, keys = _array(batch, "names", i), keys[counts >= least]
                 width = len(names) + 1
                 found.add(names[keys // width - 1], names[keys % width - 1])
         yield found.chunks()
 
-    return level.select("n", "total", "codes", "names").mapInArrow(run, "chunk long, bits binary")
+    return level.select("n", "total", "length", "codes", "names").mapInArrow(run, "chunk long, bits binary")
 
 
 def word_bit(words: list[bytes]) -> np.ndarray:
@@ -199,7 +209,7 @@ def counted(level: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts, _ = pairs(_array(batch, "codes", i))
+                keys, counts, _ = pairs(unpacked(batch, i))
                 names = _array(batch, "names", i)
                 width = len(names) + 1
                 a, b = names[keys // width - 1], names[keys % width - 1]
@@ -209,7 +219,7 @@ def counted(level: DataFrame, bits: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, (keep + 1).astype(np.int32), a[keep], b[keep], counts[keep].astype(np.int64))],
                                                  names=["shard", "place", "a", "b", "n"])
 
-    return level.select("shard", "codes", "names").mapInArrow(run, "shard long, place int, a long, b long, n long")
+    return level.select("shard", "length", "codes", "names").mapInArrow(run, "shard long, place int, a long, b long, n long")
 
 
 def advanced(state: DataFrame, named: DataFrame, joined: bool) -> DataFrame:
@@ -223,7 +233,7 @@ def advanced(state: DataFrame, named: DataFrame, joined: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes = _array(batch, "codes", i)
+                codes = unpacked(batch, i)
                 if joined:
                     codes = pairs(codes)[2]
                 found = batch.column("found").slice(i, 1).flatten()
@@ -232,10 +242,10 @@ def advanced(state: DataFrame, named: DataFrame, joined: bool) -> DataFrame:
                 table = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
                 table[place[order]] = np.arange(1, len(order) + 1)
                 one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("shard", "lang", "n", "total")), pa.array([table[codes]], pa.list_(pa.int32())),
-                                                  pa.array([name[order]], pa.list_(pa.int64()))], names=["shard", "lang", "n", "total", "codes", "names"])
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("shard", "lang", "n", "total")), *packed(table[codes]),
+                                                  pa.array([name[order]], pa.list_(pa.int64()))], names=["shard", "lang", "n", "total", "length", "codes", "names"])
 
-    return state.select("shard", "lang", "n", "total", "codes").join(lists, "shard").mapInArrow(run, f"{SHARD}, total long, codes array<int>, names array<long>")
+    return state.select("shard", "lang", "n", "total", "length", "codes").join(lists, "shard").mapInArrow(run, f"{SHARD}, total long, length int, codes binary, names array<long>")
 
 
 def frequent_phrases(documents: DataFrame, support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
