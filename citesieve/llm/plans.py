@@ -44,7 +44,8 @@ def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     done = suffix_dedup.suffix_dedup(read(spark, sf, "documents"))
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
-                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                       F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op9_html_density(spark: SparkSession, sf: str) -> DataFrame:
