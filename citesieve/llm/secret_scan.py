@@ -22,11 +22,12 @@ CLASSES = (
     ("base32", re.compile(r"[A-Z2-7]{20,}"), 20, 3.7),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.9),
 )
-#: Candidates that are not secrets although they look random: public identifiers, paths, addresses and plain words.
+#: Candidates that are not secrets although they look random: public identifiers, digests, paths, numbers, words in lower case, with capitals at their start, or in capitals and joined.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?:sha\d+|md5)-[A-Za-z0-9+/=]+",
-    r"[A-Za-z]+(?:[-_/][A-Za-z]+)*",
+    r"[a-z]*(?:[A-Z][a-z]{2,})*(?:[-_/][a-z]*(?:[A-Z][a-z]{2,})*)*",
+    r"[A-Z]{1,15}(?:[-_/][A-Z]{1,15})+",
     r"[0-9]+(?:[-_/][0-9]+)*",
     r"[=_/+-]+.{0,3}[=_/+-]*",
 )
@@ -91,8 +92,14 @@ class Scanner:
 
     def scan(self, text: str) -> list[dict]:
         """All spans by start, then kind. Entropy spans inside a base span add nothing and are left out."""
-        base = self.base(text)
-        more = [(a, 3, b) for a, b in self.entropy(text) if not any(s <= a and b <= e for s, _, e in base)]
+        base = sorted(self.base(text))
+        more, at, reach = [], 0, 0
+        for a, b in self.entropy(text):  # by start: the base spans that begin before one reach as far as the farthest of them
+            while at < len(base) and base[at][0] <= a:
+                reach = max(reach, base[at][2])
+                at += 1
+            if b > reach:
+                more.append((a, 3, b))
         return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + more)]
 
 
