@@ -24,6 +24,8 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 #: What an open paragraph, item or cell is closed by.
 ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4
     h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul""".split())
+#: Elements whose blocks close no paragraph outside them.
+HOLDS_P = frozenset("table td th button object".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
             "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
@@ -39,7 +41,7 @@ COMMENTS = re.compile(r"comments?|commentlist|disqus|replies|reply|respond")
 LAYOUT = frozenset("""area bar block bottom box button buttons card center column container form group inner item items left link links list
     outer panel post posts primary right row secondary section slot thread top unit wrap wrapper body""".split())
 ABSENT = frozenset("has have no not with without show hide is".split())
-TAG = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+TAG = re.compile(r"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
@@ -116,11 +118,21 @@ def parse(page: str) -> Node:
     """The tree of a page, in one pass. Open elements are closed as the page language says; end tags without a start are left out."""
     root = Node("", None)
     stack, at = [root], 0
+    open_p = [0]  # per open element: the place of the paragraph that a block would close, 0 if none
+    any_p = [False]  # and whether any paragraph is open
+
+    def cut(i: int) -> None:
+        del stack[i:], open_p[i:], any_p[i:]
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        open_p.append(len(stack) - 1 if node.tag == "p" else 0 if node.tag in HOLDS_P else open_p[-1])
+        any_p.append(any_p[-1] or node.tag == "p")
 
     def pop_to(names, stop) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in stop:
                 return
@@ -144,20 +156,20 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not any_p[-1]:
                 continue
             stop = () if tag in BLOCKS else BLOCKS - {"p"}
             pop_to({tag}, stop)
             continue
-        if tag in ENDS_P:
-            pop_to({"p"}, ("table", "td", "th", "button", "object"))
+        if tag in ENDS_P and open_p[-1]:
+            cut(open_p[-1])
         if tag in SIBLINGS:
             inside, stop = SIBLINGS[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in stop:
                     break
                 if stack[i].tag in inside:
-                    del stack[i:]
+                    cut(i)
                     if tag not in ("tr", "thead", "tbody", "tfoot"):
                         break
                     pop_to(inside, stop)
@@ -171,7 +183,7 @@ def parse(page: str) -> Node:
             node.parts.append(page[at:end.start() if end else n])
             at = end.end() if end else n
             continue
-        stack.append(node)
+        push(node)
     _settle(root)
     return root
 

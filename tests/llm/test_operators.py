@@ -453,3 +453,27 @@ def test_merges_equal_a_naive_search():
             _, i = min(ranked)
             ids[i:i + 2] = [code.merges[ids[i], ids[i + 1]][1]]
         assert list(code.merge(piece)) == ids
+
+
+def test_scans_and_pages_are_linear():
+    """A 10 MB dump of keys and a page 50,000 elements deep take seconds; quotes open a value only after an equals sign."""
+    import time
+
+    rng, start = random.Random(1), time.time()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    dump = "\n".join("".join(rng.choices(letters, k=32)) + " deadbeefdeadbeef00" for _ in range(190_000))
+    assert len(secret_scan.Scanner().scan(dump)) > 300_000
+    depth = 50_000
+    assert html_density.main_text("<body>" + "<div>" * depth + "deep text" + "</div>" * depth + "</body>") == "deep text"
+    assert html_density.main_text("<body>" + "<p>one<div>" * 2000 + "</body>").count("one") == 2000
+    assert time.time() - start < 60
+    assert html_density.main_text("<body><article><p class=don't>Hello world one</p><p>Second</p></article></body>") == "Hello world one\nSecond"
+
+
+def test_random_letters_are_scored():
+    def spans(text):
+        return [(s["kind"], s["start"], s["end"]) for s in secret_scan.Scanner().scan(text)]
+
+    assert spans("QWxkZXJhYmNEZUZnSGlKa0xtTm") and spans("key THQZXJKBVWPLMNRCDFGYSA end")
+    for word in ("CONSTANT_NAME_OF_A_THING", "someVeryLongCamelCaseNameHere", "donaudampfschifffahrtsgesellschaft", "path/to/Some/Long/file-name"):
+        assert spans(word) == []
