@@ -20,43 +20,44 @@ LONGEST = 5
 TOP = 2000
 #: A candidate goes if a longer one has at least this percentage of its occurrences.
 COVERED = 100
-#: Words after which a task closes its shards (a longer text is one shard).
-SHARD_WORDS = 2_000_000
-#: The union of locally frequent phrases travels as a bitmap of this fixed size (4 MB), in chunks of 4 KB.
+#: Words after which a task closes its shards (a longer text is one shard): small enough that costs grow with the input from the start.
+SHARD_WORDS = 250_000
+#: A union of phrases travels as a bitmap of this fixed size (4 MB), in chunks of 4 KB.
 BITMAP_BITS = 25
 CHUNK_BITS = 15
 BREAKS = re.compile(rb"[.,;:!?\n-\r]+")
 U = np.uint64
 
-SHARD = "shard long, lang string, n long"
+
+class Numbers(dict):
+    """Numbers words in order of appearance; a full stop, which is no word, has number 0."""
+
+    def __init__(self):
+        super().__init__({b".": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 def shards(documents: DataFrame) -> DataFrame:
-    """Encoded shards: the distinct words of a shard, their counts, and the texts as word numbers from 1, with 0 between pieces.
+    """Encoded shards (lang, n, words, length, codes): the distinct words of a shard, and its texts as word numbers from 1, with 0 between pieces.
 
     A task keeps one open shard per language and closes all of them together, so what it holds is
-    bounded by SHARD_WORDS and its longest text.
+    bounded by SHARD_WORDS and its longest text. Codes are compressed: a task opens one shard at a time.
     """
     rows = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number, held = TaskContext.get().partitionId() << 32, 0
-        open_: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
+        held, open_ = 0, {}
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal number, held
             for lang, (words, parts) in open_.items():
                 codes = np.concatenate(parts)
-                counts = np.bincount(codes, minlength=len(words))[1:]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([lang], pa.string()), pa.array([int(counts.sum())], pa.int64()),
-                     pa.array([list(words)[1:]], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())), *packed(codes)],
-                    names=["shard", "lang", "n", "words", "counts", "length", "codes"])
-                number += 1
-            open_.clear()
-            held = 0
+                    [pa.array([lang], pa.string()), pa.array([int((codes > 0).sum())], pa.int64()), pa.array([list(words)[1:]], pa.list_(pa.binary())),
+                     pa.array([len(codes)], pa.int32()), pa.array([pa.compress(codes.tobytes(), codec="zstd", asbytes=True)], pa.binary())],
+                    names=["lang", "n", "words", "length", "codes"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -69,51 +70,75 @@ def shards(documents: DataFrame) -> DataFrame:
                 held += len(found)
                 if held >= SHARD_WORDS:
                     yield from close()
+                    held, open_ = 0, {}
         yield from close()
 
-    return rows.mapInArrow(run, f"{SHARD}, words array<binary>, counts array<long>, length int, codes binary")
+    return rows.mapInArrow(run, "lang string, n long, words array<binary>, length int, codes binary")
 
 
-def packed(codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """A row's codes as (length, compressed bytes): a task opens one shard at a time, whatever its batch holds."""
-    return pa.array([len(codes)], pa.int32()), pa.array([pa.compress(codes.astype(np.int32).tobytes(), codec="zstd", asbytes=True)], pa.binary())
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
-def unpacked(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    size = 4 * batch.column("length")[i].as_py()
-    return np.frombuffer(pa.decompress(batch.column("codes")[i].as_buffer(), size, codec="zstd"), np.int32)
+def spot(marks: np.ndarray) -> np.ndarray:
+    """The bit of each mark."""
+    return (mix(marks) >> U(64 - BITMAP_BITS)).astype(np.int64)
 
 
-def _array(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
-    return batch.column(column).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+def joined(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Marks of phrases from those of the phrases without their last and without their first word."""
+    return mix(first * U(0x9E3779B97F4A7C15) + mix(rest + U(0xD1B54A32D192ED03)))
 
 
-def pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring codes: keys of the distinct pairs (first * width + second), their counts, and the pair number (from 1) at every position, 0 where a code is 0."""
-    width = int(codes.max(initial=0)) + 1
-    both = (codes[:-1] > 0) & (codes[1:] > 0)
-    keys, at, counts = np.unique(codes[:-1][both].astype(np.int64) * width + codes[1:][both], return_inverse=True, return_counts=True)
-    places = np.zeros(len(codes), np.int32)
-    places[:-1][both] = at + 1
-    return keys, counts, places
+def marks_of(phrases: list[bytes]) -> np.ndarray:
+    """Marks of whole phrases (words joined by spaces), as the shards make them level by level."""
+    found = {}
 
+    def mark(words: tuple) -> int:
+        if words not in found:
+            if len(words) == 1:
+                found[words] = xxhash.xxh64_intdigest(words[0])
+            else:
+                pair = np.array([mark(words[:-1])], np.uint64), np.array([mark(words[1:])], np.uint64)
+                found[words] = int(joined(*pair)[0])
+        return found[words]
 
-def bit_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a.view(U) * U(0x9E3779B97F4A7C15)) ^ (b.view(U) + U(0xD1B54A32D192ED03))
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return (x >> U(64 - BITMAP_BITS)).astype(np.int64)
+    return np.array([mark(tuple(p.split(b" "))) for p in phrases], np.uint64)
 
 
-class Numbers(dict):
-    """Numbers words in order of appearance; a full stop, which is no word, has number 0."""
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    def __init__(self):
-        super().__init__({b".": 0})
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+def level_of(words: list[bytes], codes: np.ndarray, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct phrases of a shard one word longer than the bitmaps ``frequent`` reach: number per position (from 1, 0 for none), marks, counts, and where each first begins.
+
+    A phrase of k words is made where the phrases of k - 1 words at its place and at the next both
+    are marked as frequent in the language.
+    """
+    places = codes.astype(np.int64)
+    marks = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    counts, starts = np.bincount(codes, minlength=len(words) + 1)[1:], np.zeros(len(words), np.int64)
+    seen, first = np.unique(codes, return_index=True)
+    starts[seen[seen > 0] - 1] = first[seen > 0]
+    for bits in frequent:
+        good = np.zeros(len(marks) + 1, bool)
+        good[1:] = is_set(bits, spot(marks))
+        both = good[places[:-1]] & good[places[1:]]
+        a, b = places[:-1][both], places[1:][both]
+        keys, first, at, counts = np.unique(a * (len(marks) + 1) + b, return_index=True, return_inverse=True, return_counts=True)
+        marks = joined(marks[keys // (len(marks) + 1) - 1], marks[keys % (len(marks) + 1) - 1])
+        starts = np.flatnonzero(both)[first]
+        places = np.zeros(len(codes), np.int64)
+        places[:-1][both] = at + 1
+    return places, marks, counts, starts
+
+
+def opened(batch: pa.RecordBatch, i: int) -> tuple[list[bytes], np.ndarray]:
+    size = 4 * batch.column("length")[i].as_py()
+    return batch.column("words")[i].as_py(), np.frombuffer(pa.decompress(batch.column("codes")[i].as_buffer(), size, codec="zstd"), np.int32)
 
 
 class Bitmap:
@@ -122,9 +147,6 @@ class Bitmap:
     def __init__(self):
         self.bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.set(bit_of(a, b))
-
     def set(self, at: np.ndarray) -> None:
         np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
@@ -142,8 +164,8 @@ def united(marked: DataFrame) -> np.ndarray:
     return bits.reshape(-1)
 
 
-def locally_frequent(level: DataFrame, support: int) -> DataFrame:
-    """Bitmaps of the pairs whose count reaches the shard's share of ``support``: support * n / total, rounded up.
+def locally_frequent(encoded: DataFrame, frequent: list, support: int) -> DataFrame:
+    """Bitmaps of the phrases whose count reaches the shard's share of ``support``: support * n / total, rounded up.
 
     A phrase with ``support`` occurrences reaches that share in one shard at least, so none is missed.
     """
@@ -151,139 +173,72 @@ def locally_frequent(level: DataFrame, support: int) -> DataFrame:
         found = Bitmap()
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts, _ = pairs(unpacked(batch, i))
+                _, marks, counts, _ = level_of(*opened(batch, i), [x.value for x in frequent])
                 least = -(-support * batch.column("n")[i].as_py() // batch.column("total")[i].as_py())
-                names, keys = _array(batch, "names", i), keys[counts >= least]
-                width = len(names) + 1
-                found.add(names[keys // width - 1], names[keys % width - 1])
+                found.set(spot(marks[counts >= least]))
         yield found.chunks()
 
-    return level.select("n", "total", "length", "codes", "names").mapInArrow(run, "chunk long, bits binary")
+    return encoded.mapInArrow(run, "chunk long, bits binary")
 
 
-def word_bit(words: list[bytes]) -> np.ndarray:
-    found = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return (found >> U(64 - BITMAP_BITS)).astype(np.int64)
-
-
-def marked_words(frequent: DataFrame) -> DataFrame:
+def marked(phrases: DataFrame) -> DataFrame:
+    """Bitmaps of whole phrases."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Bitmap()
         for batch in batches:
-            found.set(word_bit(batch.column("word").to_pylist()))
+            found.set(spot(marks_of(batch.column("phrase").cast(pa.binary()).to_pylist())))
         yield found.chunks()
 
-    return frequent.select("word").mapInArrow(run, "chunk long, bits binary")
+    return phrases.select("phrase").mapInArrow(run, "chunk long, bits binary")
 
 
-def asked_words(encoded: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(shard, lang, place, word) of the words of every shard whose bit is set; places count from 1."""
-    shared = encoded.sparkSession.sparkContext.broadcast(bits)
+def counted(encoded: DataFrame, frequent: list, union) -> DataFrame:
+    """(lang, phrase, n) of every phrase of every shard that ``union`` marks, whether the shard finds it frequent or not."""
+    size = len(frequent) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words = batch.column("words").slice(i, 1).flatten()
-                at = word_bit(words.to_pylist())
-                keep = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                same = [pa.array([batch.column(c)[i].as_py()] * len(keep), kind) for c, kind in (("shard", pa.int64()), ("lang", pa.string()))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array((keep + 1).astype(np.int32)), words.take(pa.array(keep))], names=["shard", "lang", "place", "word"])
-
-    return encoded.select("shard", "lang", "words").mapInArrow(run, "shard long, lang string, place int, word binary")
-
-
-def marked(frequent: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Bitmap()
-        for batch in batches:
-            found.add(batch.column("a").to_numpy(), batch.column("b").to_numpy())
-        yield found.chunks()
-
-    return frequent.select("a", "b").mapInArrow(run, "chunk long, bits binary")
-
+                words, codes = opened(batch, i)
+                _, marks, counts, starts = level_of(words, codes, [x.value for x in frequent])
+                keep = np.flatnonzero(is_set(union.value, spot(marks)))
+                texts = pa.array(words, pa.binary()).take(pa.array(codes[starts[keep]] - 1)) if size == 1 else pa.array(
+                    [b" ".join([words[c - 1] for c in run_]) for run_ in codes[starts[keep][:, None] + np.arange(size)].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("lang")[i].as_py()] * len(keep), pa.string()), texts, pa.array(counts[keep].astype(np.int64))],
+                                                 names=["lang", "phrase", "n"])
 
-def counted(level: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(shard, place, a, b, n) of every pair of every shard whose bit is set, whether the shard finds it frequent or not."""
-    shared = level.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, counts, _ = pairs(unpacked(batch, i))
-                names = _array(batch, "names", i)
-                width = len(names) + 1
-                a, b = names[keys // width - 1], names[keys % width - 1]
-                at = bit_of(a, b)
-                keep = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                shard = np.full(len(keep), batch.column("shard")[i].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, (keep + 1).astype(np.int32), a[keep], b[keep], counts[keep].astype(np.int64))],
-                                                 names=["shard", "place", "a", "b", "n"])
-
-    return level.select("shard", "length", "codes", "names").mapInArrow(run, "shard long, place int, a long, b long, n long")
-
-
-def advanced(state: DataFrame, named: DataFrame, joined: bool) -> DataFrame:
-    """The shards with codes of the frequent phrases that begin at each position, and the names of those phrases.
-
-    ``named`` has (shard, place, name): the phrases of a shard that are frequent in the language.
-    With ``joined``, places number the neighbouring pairs of the shard's codes, else the codes.
-    """
-    lists = named.groupBy("shard").agg(F.collect_list(F.struct("place", "name")).alias("found"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes = unpacked(batch, i)
-                if joined:
-                    codes = pairs(codes)[2]
-                found = batch.column("found").slice(i, 1).flatten()
-                place, name = found.field("place").to_numpy(), found.field("name").to_numpy()
-                order = np.argsort(place)
-                table = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
-                table[place[order]] = np.arange(1, len(order) + 1)
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("shard", "lang", "n", "total")), *packed(table[codes]),
-                                                  pa.array([name[order]], pa.list_(pa.int64()))], names=["shard", "lang", "n", "total", "length", "codes", "names"])
-
-    return state.select("shard", "lang", "n", "total", "length", "codes").join(lists, "shard").mapInArrow(run, f"{SHARD}, total long, length int, codes binary, names array<long>")
+    return encoded.mapInArrow(run, "lang string, phrase binary, n long").select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
 
 
 def frequent_phrases(documents: DataFrame, support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words with ``support`` or more occurrences in their language, and the words of each language (lang, total).
 
-    A phrase has lang, phrase, size, f, name (a unique number), a and b (the names of the phrases
-    without its last and its first word), heads and tails (f of its first and last 1, 2, ... words).
+    A phrase has lang, phrase, size, f, first and last (the phrases without its last and its first
+    word), heads and tails (f of its first and last 1, 2, ... words).
     """
-    encoded = stage(shards(documents), "phrases-shards")
-    totals = stage(encoded.groupBy("lang").agg(F.sum("n").alias("total")), "phrases-totals")
-    words = encoded.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("f"))
-    phrases = words.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
-    word, none = F.col("word").cast("string"), F.lit(None).cast("long")
-    levels = [stage(_named(phrases.select("lang", word.alias("phrase"), "f", none.alias("a"), none.alias("b"), "word", F.array("f").alias("heads"),
-                                          F.array("f").alias("tails")), 1), "phrases-1")]
-    asked = asked_words(encoded, united(marked_words(levels[0])))
-    named = asked.join(levels[0].select("lang", "word", "name"), ["lang", "word"]).select("shard", "place", "name")
-    state = stage(advanced(encoded.where("n > 0").join(totals, "lang"), named, False), "phrases-state-1")
-    for size in range(2, longest + 1):
-        local = counted(state, united(locally_frequent(state, support)))
-        sums = local.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
-        head = levels[-1].select(F.col("name").alias("a"), "lang", F.col("phrase").alias("start"), "heads")
-        tail = levels[-1].select(F.col("name").alias("b"), F.col("word"), "tails")
-        grown = sums.join(head, "a").join(tail, "b").select(
-            "lang", F.concat_ws(" ", "start", word).alias("phrase"), "f", "a", "b", "word",
-            F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"))
-        levels.append(stage(_named(grown, size), f"phrases-{size}"))
-        if size < longest:
-            named = counted(state, united(marked(levels[-1]))).join(levels[-1].select("a", "b", "name"), ["a", "b"]).select("shard", "place", "name")
-            state = stage(advanced(state, named, True), f"phrases-state-{size}")
+    context = documents.sparkSession.sparkContext
+    written = stage(shards(documents).where("n > 0"), "phrases-shards")
+    totals = stage(written.groupBy("lang").agg(F.sum("n").alias("total")), "phrases-totals")
+    encoded = written.join(totals, "lang").select("n", "total", "lang", "words", "length", "codes")
+    levels, frequent = [], []
+    for size in range(1, longest + 1):
+        union = context.broadcast(united(locally_frequent(encoded, frequent, support)))
+        sums = counted(encoded, frequent, union).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+        if size == 1:
+            none = F.lit(None).cast("string")
+            made = sums.select("*", none.alias("first"), none.alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))
+        else:
+            cut = F.instr("phrase", " ")
+            sums = sums.withColumns({"first": F.substring_index("phrase", " ", size - 1), "last": F.substr("phrase", cut + 1)})
+            head, tail = (levels[-1].select("lang", F.col("phrase").alias(c), F.col(x).alias(f"_{x}")) for c, x in (("first", "heads"), ("last", "tails")))
+            made = sums.join(head, ["lang", "first"]).join(tail, ["lang", "last"]).select(
+                "lang", "phrase", "f", "first", "last", F.concat("_heads", F.array("f")).alias("heads"), F.concat("_tails", F.array("f")).alias("tails"))
+        levels.append(stage(made.withColumn("size", F.lit(size)), f"phrases-{size}"))
+        frequent.append(context.broadcast(united(marked(levels[-1]))))
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
-    return found.drop("word"), totals
-
-
-def _named(phrases: DataFrame, size: int) -> DataFrame:
-    return phrases.withColumn("size", F.lit(size)).withColumn("name", F.monotonically_increasing_id() * 8 + size)
+    return found, totals
 
 
 def weakest_cut(n: Column) -> Column:
@@ -310,14 +265,14 @@ def mine_phrases(documents: DataFrame, support: int = SUPPORT, longest: int = LO
     support, their union (a bitmap of fixed size) goes back to all shards, and what it marks is
     counted exactly over all of them; counts below the support fall away. A shard's share falls to
     one occurrence when a language has more shards than the support, and then a local pass prunes
-    nothing; so a k-word phrase is only tried where both its (k-1)-word parts are frequent in the
-    whole language, which bounds the rows of a level at any number of shards. Phrases are named by
-    integers from the names of their parts, so no count rests on a hash.
+    nothing; so a k-word phrase is only tried where both its (k-1)-word parts are marked as frequent
+    in the whole language, which bounds the rows of a level at any number of shards. Phrases are
+    counted by their words; hashes only pick bits, and a bit too many costs rows, not results.
     """
     found, totals = frequent_phrases(documents, support, longest)
     candidates = found.where("size > 1")
-    longer = candidates.where("size > 2").select(F.explode(F.array("a", "b")).alias("name"), "f").groupBy("name").agg(F.max("f").alias("longer"))
-    free = candidates.join(longer, "name", "left").where(F.coalesce(100 * F.col("longer") < covered * F.col("f"), F.lit(True)))
+    longer = candidates.where("size > 2").select("lang", F.explode(F.array("first", "last")).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+    free = candidates.join(longer, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < covered * F.col("f"), F.lit(True)))
     scored = free.join(totals, "lang").withColumn("c", weakest_cut(F.col("total")))
     best = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("f"), "phrase")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

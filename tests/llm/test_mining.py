@@ -7,7 +7,6 @@ from itertools import permutations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from citesieve.llm import filter_audit, phrases, url_filter
 from citesieve.llm.common import stage
@@ -92,17 +91,17 @@ def test_phrase_scores_beyond_64_bits(spark):
 
 def test_local_pass_marks_what_is_frequent_and_little_else(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SHARD_WORDS", 1500)
-    found, totals = phrases.frequent_phrases(frame(spark, phrase_rows()), 20, 1)
-    encoded = stage(phrases.shards(frame(spark, phrase_rows())), "t")
-    words = phrases.asked_words(encoded, np.full(1 << 22, 255, np.uint8))
-    named = words.withColumn("phrase", F.col("word").cast("string")).join(found, ["lang", "phrase"]).select("shard", "place", "name")
-    state = stage(phrases.advanced(encoded.join(totals, "lang"), named, False), "t")
-    counts = phrases.counted(state, np.full(1 << 22, 255, np.uint8)).groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
-    bits = phrases.united(phrases.locally_frequent(state, 20))
-    at = phrases.bit_of(counts.a.to_numpy(), counts.b.to_numpy())
-    marked = (bits[at >> 3] >> (at & 7)) & 1 == 1
-    assert marked[counts.n >= 20].all() and (counts.n >= 20).sum() > 3
-    assert (~marked).any()
+    rows = phrase_rows()
+    found, totals = phrases.frequent_phrases(frame(spark, rows), 120, 2)
+    encoded = stage(phrases.shards(frame(spark, rows)).where("n > 0"), "t").join(totals, "lang").select("n", "total", "lang", "words", "length", "codes")
+    assert encoded.count() > 4
+    bits = phrases.united(phrases.locally_frequent(encoded, [], 120))
+    every = spark.sparkContext.broadcast(np.full(1 << 22, 255, np.uint8))
+    counts = phrases.counted(encoded, [], every).groupBy("lang", "phrase").sum("n").toPandas()
+    marked = phrases.is_set(bits, phrases.spot(phrases.marks_of([p.encode() for p in counts.phrase])))
+    often = (counts["sum(n)"] >= 120).to_numpy()
+    assert marked[often].all() and often.sum() > 3 and (~marked).any()
+    assert counts["sum(n)"].sum() == totals.agg({"total": "sum"}).first()[0]
 
 
 # 12 filter audit
