@@ -133,10 +133,11 @@ class Completer:
     """``load()`` gives ``f(system, user, max_tokens)`` returning text, or a dict with the keys
     ``text``, ``completion`` (complete, output_limit, refused, incomplete), ``input_tokens`` and
     ``output_tokens``. A call that raises fills ``error`` of its row and harms no other row.
+    ``name`` tells models and their versions apart where replies are kept for later runs.
     """
 
-    def __init__(self, load: Callable[[], Callable]):
-        self.load = load
+    def __init__(self, load: Callable[[], Callable], name: str = ""):
+        self.load, self.name = load, name
 
     def complete(self, system, user, max_tokens) -> Column:
         load = self.load

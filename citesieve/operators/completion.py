@@ -1,7 +1,8 @@
 """Criterion screening with a completion model.
 
 One request per paper and criterion (or per paper). Replies are checked by Spark; only the call
-itself is a Python function. Calls are checkpointed, so no later step repeats them.
+itself is a Python function. Criteria are asked in turn, of the papers that no earlier call failed.
+Calls are written once (to a call log, if there is one), so no later step repeats them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from citesieve.functions.json_values import as_number, as_text, is_missing, kind_of, member, strict_json
 from citesieve.functions.models import Completer
 from citesieve.functions.text import clean_text
+from citesieve.operators.calls import REPLY, CallLog, answered
 from citesieve.operators.screening import (CLASSES, KEYS, decide, nest_criteria, pair_papers_criteria, route_unprocessed,
                                            unprocessed_columns)
 from citesieve.session import compute_once, cut_lineage
@@ -126,13 +128,28 @@ def classify_error(completion: Column, error: Column, reply_error: Column) -> Co
             .when((completion != "complete") | reply_error.isNotNull(), "screening_failed").otherwise("screened"))
 
 
-def ask(requests: DataFrame, completer: Completer, cfg: CompletionConfig) -> DataFrame:
-    """One call per request row with its own ``output_budget``, written once."""
-    reply = completer.complete(F.lit(cfg.system), F.col("payload"), F.col("output_budget"))
-    return cut_lineage(requests.withColumn("_r", reply).select(*requests.columns, "_r.*"))
+def call_fault() -> Column:
+    """Why a reply cannot be used: the call's error, its end, or the contract; null when it can."""
+    return F.coalesce("error", F.when(F.col("completion") == "output_limit", "output limit reached"), F.when(
+        F.col("completion") != "complete", F.concat(F.lit("completion "), "completion")), "reply_error")
 
 
-def retry_invalid(requests: DataFrame, completer: Completer, cfg: CompletionConfig) -> DataFrame:
+def ask(requests: DataFrame, completer: Completer, cfg: CompletionConfig, log: CallLog | None = None) -> DataFrame:
+    """One call per request with its own ``output_budget``, written once; requests that the log has a sound reply to are not sent."""
+    def fault(asked: DataFrame) -> DataFrame:
+        judged = check_contract(asked.select(*[c for c in asked.columns if c != "_r"], "_r", "_r.*"), cfg)
+        return judged.withColumn("fault", call_fault()).drop(*REPLY)
+
+    asked = answered(requests, completer, cfg.system, "payload", F.col("output_budget"), log, f"screening/{settings_of(cfg)}", fault)
+    return asked.select(*requests.columns, "_r.*", "cache_hit")
+
+
+def settings_of(cfg: CompletionConfig) -> str:
+    """What of the configuration decides whether a reply keeps the contract."""
+    return ",".join([cfg.mode, *cfg.keys, *cfg.choices])
+
+
+def retry_invalid(requests: DataFrame, completer: Completer, cfg: CompletionConfig, log: CallLog | None = None) -> DataFrame:
     """Ask, check, and ask the faulty ones again, at most ``response_retries`` times.
 
     After an output limit the budget grows by the multiplier up to the room the context leaves.
@@ -143,10 +160,7 @@ def retry_invalid(requests: DataFrame, completer: Completer, cfg: CompletionConf
     room = F.lit(cfg.context_tokens - cfg.template_token_reserve) - F.col("input_bytes")
     finished = []
     for attempt in range(cfg.response_retries + 1):
-        asked = check_contract(ask(pending, completer, cfg), cfg)
-        fault = F.coalesce("error", F.when(F.col("completion") == "output_limit", "output limit reached"), F.when(
-            F.col("completion") != "complete", F.concat(F.lit("completion "), "completion")), "reply_error")
-        asked = asked.withColumn("_fault", fault)
+        asked = check_contract(ask(pending, completer, cfg, log), cfg).withColumn("_fault", call_fault())
         asked = asked.withColumn("attempts", F.concat("attempts", F.array(F.struct(
             F.col("text").alias("response"), F.col("_fault").alias("error"), F.col("output_budget").alias("output_token_budget")))))
         grown = F.least(F.floor(F.col("output_budget") * cfg.output_token_retry_multiplier).cast("int"), room.cast("int"))
@@ -210,19 +224,17 @@ def resume(todo: DataFrame, done: DataFrame, fingerprint: str, keys: list[str] =
 RESULT = ["screening_status", "reason", "decision", "decision_confidence", "review_group", "group_rank", "blocking_count", "score_gap"]
 
 
-def screen_completer(papers: DataFrame, criteria: list[dict], completer: Completer, cfg: CompletionConfig) -> tuple[DataFrame, DataFrame]:
-    """Results (every paper once) and the table of calls."""
+def screen_completer(papers: DataFrame, criteria: list[dict], completer: Completer, cfg: CompletionConfig,
+                     log: CallLog | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results (every paper once) and the table of calls. With ``log``, sound replies of earlier runs are used again."""
     eligible, rest = route_unprocessed(papers, criteria)
     if not criteria:
         return rest.withColumn("criteria", F.array()), rest.limit(0)
-    requests = check_budget(complete_requests(eligible, criteria, cfg), cfg)
-    asked = retry_invalid(requests.filter("NOT too_long"), completer, cfg)
-    over = requests.filter("too_long").withColumns({
-        "call_status": F.lit("input_too_long"), "call_reason": F.lit("input budget exceeded; nothing was truncated")})
-    calls = asked.unionByName(over, allowMissingColumns=True).withColumn("cache_hit", F.lit(False))
     if cfg.mode == "all_criteria":
+        calls = call_once(complete_requests(eligible, criteria, cfg), completer, cfg, log)
         results = paper_replies(calls)
     else:
+        calls = call_in_turn(eligible, criteria, completer, cfg, log)
         results = criterion_replies(calls)
     joined = papers.join(results, KEYS, "left")
     routed = rest.select(*KEYS, *[F.col(c).alias(f"_{c}") for c in RESULT])
@@ -232,6 +244,33 @@ def screen_completer(papers: DataFrame, criteria: list[dict], completer: Complet
                          F.coalesce("criteria", empty).alias("criteria"), F.lit("llm").alias("backend")), calls
 
 
+def call_once(requests: DataFrame, completer: Completer, cfg: CompletionConfig, log: CallLog | None = None) -> DataFrame:
+    """Every request that fits its budget is asked; the others end as ``input_too_long``. Texts and requests stay behind."""
+    sized = check_budget(requests, cfg)
+    asked = retry_invalid(sized.filter("NOT too_long"), completer, cfg, log)
+    over = sized.filter("too_long").withColumns({
+        "call_status": F.lit("input_too_long"), "call_reason": F.lit("input budget exceeded; nothing was truncated"), "cache_hit": F.lit(False)})
+    return cut_lineage(asked.unionByName(over, allowMissingColumns=True).drop("title", "abstract", "payload"))
+
+
+def call_in_turn(papers: DataFrame, criteria: list[dict], completer: Completer, cfg: CompletionConfig, log: CallLog | None = None) -> DataFrame:
+    """One pass per criterion over the papers whose earlier calls all were screened.
+
+    A paper leaves at its first call that was not, so no call is made that cannot count. Between
+    passes only the keys of the papers that go on are kept.
+    """
+    calls, going = None, papers
+    for place in range(len(criteria)):
+        one = complete_requests(going, criteria, cfg).filter(F.col("ord") == place)
+        asked = call_once(one, completer, cfg, log)
+        calls = asked if calls is None else calls.unionByName(asked)
+        passed = asked.filter("call_status = 'screened'").select(*KEYS)
+        if place + 1 < len(criteria) and passed.isEmpty():
+            break
+        going = papers.join(passed, KEYS, "left_semi")
+    return calls
+
+
 def criterion_replies(calls: DataFrame) -> DataFrame:
     """Paper results from per-criterion calls."""
     used = first_failure(calls)

@@ -15,8 +15,9 @@ from citesieve.functions.json_values import (as_text, is_missing, kind_of, membe
                                              valid_value)
 from citesieve.functions.models import Completer
 from citesieve.functions.text import clean_text, python_list, quote_in_text, strip_references, token_count
+from citesieve.operators.calls import CallLog, answered
 from citesieve.operators.chunking import table_rows
-from citesieve.session import compute_once, config_rows, cut_lineage, literal_rows
+from citesieve.session import compute_once, config_rows, literal_rows
 
 # Fixed values.
 STATUSES = ["extracted", "not_reported", "not_applicable", "unclear", "conflicting_evidence"]
@@ -111,10 +112,12 @@ def check_plan(plan: DataFrame, fields: DataFrame, reject_unknown: bool = False)
     return out
 
 
-def plan_queries(fields: DataFrame, completer: Completer, cfg: ExtractionConfig, batch: int = 4, retries: int = 2) -> tuple[DataFrame, DataFrame]:
+def plan_queries(fields: DataFrame, completer: Completer, cfg: ExtractionConfig, batch: int = 4, retries: int = 2,
+                 log: CallLog | None = None) -> tuple[DataFrame, DataFrame]:
     """Plan (field, queries, keywords) from batches of fields, and the batches that stayed invalid.
 
-    Fields are a configuration table; a whole batch is asked again while its reply is invalid.
+    Fields are a configuration table; a whole batch is asked again while its reply is invalid. With
+    ``log``, valid replies of earlier runs are used again.
     """
     listed = sorted(config_rows(fields), key=lambda f: (f.get("group_ord") or 0, f.get("field_ord") or 0))
     batches = [listed[i:i + batch] for i in range(0, len(listed), batch)]
@@ -124,15 +127,20 @@ def plan_queries(fields: DataFrame, completer: Completer, cfg: ExtractionConfig,
     pending = literal_rows(spark, rows, "batch INT,prompt STRING")
     labels = F.array(*[F.array(*[F.lit(f["label"]) for f in b]) for b in batches])
     good = None
-    for attempt in range(retries + 1):
-        reply = completer.complete(F.lit(cfg.planner_system), F.col("prompt"), cfg.max_tokens)
-        asked = cut_lineage(pending.withColumn("_r", reply))
+
+    def planned(asked: DataFrame) -> DataFrame:
         parsed = compute_once(asked, {"_p": parse_plan("_r.text")})
         wanted = F.get(labels, F.col("batch"))
         used = F.transform(wanted, lambda label: F.element_at(F.filter("_p", lambda e: e["label"] == label), -1))
         parsed = compute_once(parsed, {"_used": used})
         ok = F.coalesce(F.forall("_used", lambda e: e.isNotNull() & (F.size(e["queries"]) >= 1) & (F.size(e["keywords"]) >= 2)), F.lit(False))
-        parsed = parsed.withColumn("_ok", ok)
+        return parsed.withColumn("_ok", ok)
+
+    def fault(asked: DataFrame) -> DataFrame:
+        return planned(asked).withColumn("fault", F.when(~F.col("_ok"), "incomplete plan"))
+
+    for attempt in range(retries + 1):
+        parsed = planned(answered(pending, completer, cfg.planner_system, "prompt", cfg.max_tokens, log, "plan", fault))
         done = parsed.filter("_ok").select("batch", F.inline("_used"))
         good = done if good is None else good.unionByName(done)
         pending = parsed.filter("NOT _ok").select("batch", "prompt")
@@ -302,11 +310,17 @@ def with_units(fields: list[dict], max_fields: int) -> list[dict]:
     return out
 
 
+def no_object(asked: DataFrame) -> DataFrame:
+    """The fault of a reply that holds no JSON object; what its fields lack is asked for again field by field."""
+    return asked.withColumn("fault", F.when(salvage_json("_r.text").isNull(), "reply holds no JSON object"))
+
+
 def extract_groups(evidence: DataFrame, chunks: DataFrame, docs: DataFrame, fields: list[dict], completer: Completer,
-                   cfg: ExtractionConfig = ExtractionConfig()) -> DataFrame:
+                   cfg: ExtractionConfig = ExtractionConfig(), log: CallLog | None = None) -> DataFrame:
     """Field results of all documents: one call per (document, unit), and faulty fields asked again alone.
 
-    Fields without evidence end as ``no_evidence`` without a call; a failing call harms its fields only.
+    Fields without evidence end as ``no_evidence`` without a call; a failing call harms its fields
+    only. With ``log``, replies of earlier runs are used again; only fields that stayed invalid are asked for anew.
     """
     units = with_units(fields, cfg.max_group_chunks)
     passages = unit_passages(group_evidence(evidence, units, cfg.max_group_chunks), chunks, ["doc_id", "unit"])
@@ -317,27 +331,27 @@ def extract_groups(evidence: DataFrame, chunks: DataFrame, docs: DataFrame, fiel
             TEMPLATES["field_id"].format(id=f["id"], specification=field_specification(f)) for f in units if f["unit"] == u),
         passages="")))])
     prompt = F.concat(F.element_at(specs, F.col("unit")), "passages")
-    asked = cut_lineage(work.filter("passages IS NOT NULL").withColumn(
-        "_r", completer.complete(F.lit(cfg.group_system), prompt, cfg.max_tokens)))
+    asked = answered(work.filter("passages IS NOT NULL").withColumn("_prompt", prompt), completer, cfg.group_system, "_prompt", cfg.max_tokens, log,
+                     "extract_groups", no_object)
     replies = compute_once(asked, {"_v": F.when(F.col("_r.error").isNull(), salvage_json("_r.text"))})
     listed = replies.select("doc_id", "sources", "_v", F.inline(F.element_at(_field_rows(units), F.col("unit"))))
     raw = F.element_at(F.try_variant_get("_v", "$", "map<string,variant>"), F.col("field_id"))
     checked = validate_fields(listed.withColumn("raw", F.when(kind_of(raw) == "OBJECT", raw)))
     nothing = failure(work.filter("passages IS NULL").select("doc_id", F.inline(F.element_at(_field_rows(units), F.col("unit")))), "no_evidence")
-    retried = retry_invalid_fields(checked, evidence, chunks, fields, completer, cfg)
+    retried = retry_invalid_fields(checked, evidence, chunks, fields, completer, cfg, log)
     return checked.filter("status <> 'invalid_output'").select(*COLUMNS).unionByName(retried).unionByName(nothing.select(*COLUMNS))
 
 
 def retry_invalid_fields(results: DataFrame, evidence: DataFrame, chunks: DataFrame, fields: list[dict], completer: Completer,
-                         cfg: ExtractionConfig = ExtractionConfig()) -> DataFrame:
+                         cfg: ExtractionConfig = ExtractionConfig(), log: CallLog | None = None) -> DataFrame:
     """Ask every invalid field again alone, with its own evidence."""
     todo = results.filter("status = 'invalid_output'").select("doc_id", "field")
-    return extract_each(evidence, chunks, todo, fields, completer, cfg)
+    return extract_each(evidence, chunks, todo, fields, completer, cfg, log)
 
 
 def extract_each(evidence: DataFrame, chunks: DataFrame, todo: DataFrame, fields: list[dict], completer: Completer,
-                 cfg: ExtractionConfig = ExtractionConfig()) -> DataFrame:
-    """One call per (document, field) of ``todo``."""
+                 cfg: ExtractionConfig = ExtractionConfig(), log: CallLog | None = None) -> DataFrame:
+    """One call per (document, field) of ``todo``. A logged reply is used again if its field was valid."""
     own = evidence.join(todo, ["doc_id", "field"], "left_semi").groupBy("doc_id", "field", "chunk_ix").agg(
         F.min("evidence_ix").alias("place"))
     passages = unit_passages(own, chunks, ["doc_id", "field"])
@@ -347,10 +361,18 @@ def extract_each(evidence: DataFrame, chunks: DataFrame, todo: DataFrame, fields
         F.array(*[F.lit(a) for a in (f.get("allowed_values") or [])]).cast("array<string>").alias("allowed_values"),
         F.lit(TEMPLATES["extract"].format(specification=field_specification(f), passages="")).alias("prompt")))])
     work = work.withColumn("_f", F.element_at(specs, F.col("field")))
-    asked = cut_lineage(work.filter("passages IS NOT NULL").withColumn(
-        "_r", completer.complete(F.lit(cfg.single_system), F.concat("_f.prompt", "passages"), cfg.max_tokens)))
-    replies = compute_once(asked, {"raw": F.when(F.col("_r.error").isNull(), salvage_json("_r.text"))})
-    replies = replies.withColumns({"value_type": F.col("_f.value_type"), "allowed_values": F.col("_f.allowed_values")})
+
+    def read(asked: DataFrame) -> DataFrame:
+        replies = compute_once(asked, {"raw": F.when(F.col("_r.error").isNull(), salvage_json("_r.text"))})
+        return replies.withColumns({"value_type": F.col("_f.value_type"), "allowed_values": F.col("_f.allowed_values")})
+
+    def fault(asked: DataFrame) -> DataFrame:
+        judged = validate_fields(read(asked).drop("error")).withColumn("_why", F.array_join("validation_errors", ","))
+        return judged.withColumn("fault", F.when(F.col("status") == "invalid_output", F.coalesce("_why", F.lit("invalid"))))
+
+    asked = answered(work.filter("passages IS NOT NULL").withColumn("_prompt", F.concat("_f.prompt", "passages")), completer, cfg.single_system, "_prompt",
+                     cfg.max_tokens, log, "extract_each", fault)
+    replies = read(asked)
     failed = replies.filter("raw IS NULL")
     error = F.coalesce("_r.error", F.lit("reply holds no JSON object"))
     return (validate_fields(replies.filter("raw IS NOT NULL")).select(*COLUMNS)
@@ -359,8 +381,11 @@ def extract_each(evidence: DataFrame, chunks: DataFrame, todo: DataFrame, fields
 
 
 def extract_full(docs: DataFrame, fields: list[dict], completer: Completer, cfg: ExtractionConfig = ExtractionConfig(),
-                 counter=token_count) -> DataFrame:
-    """One call per document over its whole text without references; texts beyond the budget are not truncated."""
+                 counter=token_count, log: CallLog | None = None) -> DataFrame:
+    """One call per document over its whole text without references; texts beyond the budget are not truncated.
+
+    With ``log``, replies of earlier runs whose fields all were valid are used again.
+    """
     specs = "\n\n".join(field_specification(f) for f in fields)
     prompt = render_prompt("full", specifications=F.lit(specs), paper=F.col("paper"))
     listed = with_units(fields, max(len(fields), 1))
@@ -371,8 +396,19 @@ def extract_full(docs: DataFrame, fields: list[dict], completer: Completer, cfg:
     need = counter(F.lit(cfg.full_system)) + counter(F.col("prompt")) + cfg.full_max_tokens
     work = compute_once(work, {"request_tokens": need})
     fits = F.col("request_tokens") <= cfg.max_context_tokens
-    asked = cut_lineage(work.filter(fits).withColumn("_r", completer.complete(
-        F.lit(cfg.full_system), F.col("prompt"), cfg.full_max_tokens)).drop("prompt"))
+
+    def fault(asked: DataFrame) -> DataFrame:
+        read = compute_once(asked, {"_v": F.try_variant_get(salvage_json("_r.text"), "$", "map<string,variant>")})
+
+        def unsound(f: Column) -> Column:
+            raw = F.element_at("_v", f["field"])
+            quote = as_text(member(raw, "source_quote"))
+            absent = (F.coalesce(clean_text(quote), F.lit("")) != "") & ~F.coalesce(quote_in_text(quote, "paper"), F.lit(False))
+            return (F.size(field_errors(raw, f["value_type"], f["allowed_values"], True)) > 0) | absent
+
+        return read.withColumn("fault", F.when(F.col("_v").isNull(), "reply holds no JSON object").when(F.exists(rows, unsound), "invalid fields")).drop("_v")
+
+    asked = answered(work.filter(fits), completer, cfg.full_system, "prompt", cfg.full_max_tokens, log, "extract_full", fault).drop("prompt")
     replies = compute_once(asked, {"_v": F.when(F.col("_r.error").isNull(), salvage_json("_r.text"))})
     good = replies.filter("_v IS NOT NULL").select("doc_id", "paper", "_v", F.inline(rows))
     raw = F.element_at(F.try_variant_get("_v", "$", "map<string,variant>"), F.col("field"))
@@ -384,11 +420,14 @@ def extract_full(docs: DataFrame, fields: list[dict], completer: Completer, cfg:
     return checked.select(*COLUMNS).unionByName(failed.select(*COLUMNS)).unionByName(large.select(*COLUMNS))
 
 
-def reuse_valid_fields(todo: DataFrame, prior: DataFrame, fingerprint: str) -> tuple[DataFrame, DataFrame]:
-    """Fields still to extract, and earlier results of the same fingerprint that are valid."""
-    valid = prior.filter((F.col("fingerprint") == fingerprint) & F.col("status").isin(*STATUSES))
-    return (todo.join(valid.select("doc_id", "field"), ["doc_id", "field"], "left_anti"),
-            valid.join(todo.select("doc_id", "field"), ["doc_id", "field"], "left_semi"))
+def reuse_valid_fields(todo: DataFrame, prior: DataFrame, fingerprint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fields still to extract, and earlier results of the same fingerprint that are valid.
+
+    The fingerprint is one for all, or a column of ``todo``.
+    """
+    keys = ["doc_id", "field"] + ([] if fingerprint else ["fingerprint"])
+    valid = prior.filter(F.col("status").isin(*STATUSES) & (F.lit(True) if fingerprint is None else F.col("fingerprint") == fingerprint))
+    return todo.join(valid.select(*keys), keys, "left_anti"), valid.join(todo.select(*keys), keys, "left_semi")
 
 
 def extraction_complete(results: DataFrame, fields: list[dict]) -> DataFrame:

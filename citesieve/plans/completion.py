@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from citesieve.functions.models import Completer
 from citesieve.operators import completion as c
 from citesieve.operators import screening as s
+from citesieve.operators.calls import CallLog
 from citesieve.plans import fixtures as fx
 from citesieve.plans.register import registry
+from citesieve.session import new_folder
 
 QUERIES, ORACLES, register = registry()
 
@@ -154,13 +156,49 @@ def letter_completer():
     return complete
 
 
-@register("screen_completer")
+LONG = c.CompletionConfig(context_tokens=10_000_000)
+#: Requests differ by abstract, title and criterion; those of one abstract end alike at every criterion.
+SQL_ASKED = """asked AS (
+  SELECT *, length(abstract) % 19 = 0 AS faulty, length(abstract) % 3 <> 0 AS yes, length(abstract) % 17 = 0 AND length(abstract) % 19 <> 0 AS limited
+  FROM papers WHERE abstract <> '')"""
+
+
+@register("screen_completer", fx.sql(fx.SQL_PAPERS, SQL_ASKED, select="""
+SELECT p.batch_id, p."row", CASE WHEN p.abstract = '' THEN 'missing_abstract' WHEN faulty THEN 'screening_failed' ELSE 'screened' END AS screening_status,
+       CASE WHEN NOT faulty THEN 'Exclude' END AS decision, CASE WHEN p.abstract = '' THEN 'missing_abstract' WHEN faulty THEN 'not_strict_json'
+       WHEN yes THEN 'criterion_failed:Not primary' ELSE 'criterion_failed:Population, Intervention, Outcome' END AS reason,
+       CASE WHEN NOT faulty THEN 'optional_check' ELSE 'needs_processing' END AS review_group
+FROM papers p LEFT JOIN asked a ON p.doc_id = a.doc_id"""))
 def completed(spark, sf):
-    cfg = c.CompletionConfig(context_tokens=20_000)
-    results, _ = c.screen_completer(fx.papers(spark, sf), fx.CRITERIA, Completer(letter_completer), cfg)
+    results, _ = c.screen_completer(fx.papers(spark, sf), fx.CRITERIA, Completer(letter_completer), LONG)
     return results.select("batch_id", "row", "screening_status", "decision", "reason", "review_group")
 
 
+@register("screen_completer_calls", fx.sql(fx.SQL_PAPERS, SQL_ASKED, select="""
+SELECT batch_id, "row", ord::INT AS ord, CASE WHEN faulty THEN 'screening_failed' ELSE 'screened' END AS call_status,
+       (CASE WHEN faulty OR limited THEN 2 ELSE 1 END)::INT AS attempts FROM asked, range(0, 4) r(ord) WHERE ord = 0 OR NOT faulty"""))
+def calls_made(spark, sf):
+    """The calls that are made: none of a criterion after one of its paper failed."""
+    _, calls = c.screen_completer(fx.papers(spark, sf), fx.CRITERIA, Completer(letter_completer), LONG)
+    return calls.select("batch_id", "row", "ord", "call_status", F.size("attempts").alias("attempts"))
+
+
+@register("screen_resume", fx.sql(fx.SQL_PAPERS, SQL_ASKED, "even AS (SELECT DISTINCT title, abstract FROM asked WHERE doc_id % 2 = 0)", """sent AS (
+  SELECT DISTINCT a.title, a.abstract, faulty, limited, e.title IS NOT NULL AS early FROM asked a LEFT JOIN even e ON a.title = e.title AND a.abstract = e.abstract)""", select="""
+SELECT batch_id, "row", ord::INT AS ord, NOT faulty AND (title, abstract) IN (SELECT (title, abstract) FROM even) AS cache_hit,
+       (SELECT sum(CASE WHEN faulty THEN 2 WHEN limited THEN 8 ELSE 4 END) FROM sent WHERE early)::BIGINT AS calls_first,
+       (SELECT coalesce(sum(CASE WHEN faulty THEN 2 WHEN early THEN 0 WHEN limited THEN 8 ELSE 4 END), 0) FROM sent)::BIGINT AS calls_second
+FROM asked, range(0, 4) r(ord) WHERE ord = 0 OR NOT faulty"""))
+def screened_twice(spark, sf):
+    """Every second paper, then all of them with the same call log: only what the log can't answer is sent."""
+    log = CallLog(spark, new_folder(spark, "calls"))
+    papers, model = fx.papers(spark, sf), Completer(letter_completer, "letters-1")
+    c.screen_completer(papers.filter("doc_id % 2 = 0"), fx.CRITERIA, model, LONG, log)
+    first = log.rows().count()
+    _, calls = c.screen_completer(papers, fx.CRITERIA, model, LONG, log)
+    return calls.select("batch_id", "row", "ord", "cache_hit", F.lit(first).cast("bigint").alias("calls_first"), F.lit(log.rows().count() - first).cast("bigint").alias("calls_second"))
+
+
 @register("screen_completer_overall", fx.sql(fx.SQL_PAPERS, select="""
 SELECT batch_id, "row", CASE WHEN abstract = '' THEN 'missing_abstract' WHEN length(abstract) % 17 <> 0 AND length(abstract) % 19 = 0 THEN 'screening_failed'
          WHEN length(abstract) % 19 = 0 THEN 'screening_failed' ELSE 'screened' END AS screening_status,

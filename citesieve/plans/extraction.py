@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from citesieve.functions.models import Completer, Encoder
 from citesieve.operators import extraction as e
 from citesieve.operators import provenance as pv
-from citesieve.operators.run import run_all
+from citesieve.operators.calls import CallLog
+from citesieve.operators.manifest import StageStore
+from citesieve.operators.run import StoredRun, run_all
 from citesieve.plans import fixtures as fx
 from citesieve.plans.register import registry
 from citesieve.plans.review import labelled
 from citesieve.plans.search import SQL_LINES, arithmetic_score, hashed_encoder
+from citesieve.session import new_folder
 from citesieve.sources import sinks
 
 QUERIES, ORACLES, register = registry()
@@ -329,3 +332,44 @@ def current(spark, sf):
     saved = pv.plan_identity(plan, FIELDS)
     changed = pv.plan_is_current(plan, FIELDS[1:], saved)
     return fx.table(spark, sf, "benchmark").agg(F.lit(pv.plan_is_current(plan[::-1], FIELDS, saved)).alias("unchanged"), F.lit(changed).alias("after_change"))
+
+
+# --- stored runs ---------------------------------------------------------------------------------
+
+def plain_completer():
+    """Stand-in for a model whose every reply is sound: it quotes the start of the first passage for each field it is asked for."""
+    def complete(system, user, max_tokens):
+        source, line = re.search(r"\[(chunk_\d+)\] Section: [^\n]*\n([^\n]*)", user).groups()
+        values = {"string": "x", "integer": 12, "number": 1.5}
+
+        def field(kind):
+            return {"value": values[kind], "status": "extracted", "confidence": "high", "notes": None,
+                    "evidence": [{"source_id": source, "quote": line[:20].strip()}]}
+
+        kinds = re.findall(r"Required value type: (\S+)", user)
+        ids = re.findall(r"Field ID: (\S+)", user)
+        return json.dumps({i: field(k) for i, k in zip(ids, kinds)} if ids else field(kinds[0]))
+
+    return complete
+
+
+@register("run_all_resumed", r"""
+WITH docs AS (SELECT doc_id, regexp_matches(text, '\S') AS has_text FROM documents),
+stages AS (SELECT doc_id, has_text, stage, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS first FROM docs, (VALUES ('parsed'), ('index'), ('evidence'), ('extraction')) s(stage))
+SELECT doc_id, stage, (1 + CASE WHEN stage = 'extraction' THEN 1 ELSE 0 END)::BIGINT AS times_made, 'parsed,index,evidence,extraction;parsed,index,evidence,extraction;;extraction' AS stages_run,
+       0::BIGINT AS calls_third, true AS fewer_calls_fourth FROM stages WHERE has_text OR stage = 'parsed'""")
+def run_in_steps(spark, sf):
+    """Half of the documents, all of them, all again, and all with another output limit: what each run had to make."""
+    docs, plan = fx.table(spark, sf, "documents").select("doc_id", "text"), fx.benchmark_queries(spark, sf)
+    store, log = StageStore(spark, new_folder(spark, "run"), 8), CallLog(spark, new_folder(spark, "calls"))
+    fields = [f for f in FIELDS if f["label"] != "f4"]
+    made, calls = [], [0]
+    for part, limit in ((docs.filter("doc_id % 2 = 0"), 1024), (docs, 1024), (docs, 1024), (docs, 2048)):
+        run = StoredRun(store, plan, fields, Encoder(hashed_encoder), arithmetic_score, Completer(plain_completer, "plain-1"),
+                        {"encoder": "hashed-1", "scorer": "arithmetic-1", "completer": "plain-1"}, extraction=e.ExtractionConfig(max_tokens=limit), log=log,
+                        per_query=10, max_fused=40)
+        made.append(",".join(run.run(part)))
+        calls.append(log.rows().count())
+    counts = store.history().groupBy("doc_id", "stage").agg(F.count(F.lit(1)).alias("times_made"))
+    return counts.withColumns({"stages_run": F.lit(";".join(made)), "calls_third": F.lit(calls[3] - calls[2]).cast("bigint"),
+                               "fewer_calls_fourth": F.lit(calls[4] - calls[3] == 0)})

@@ -307,9 +307,49 @@ def embedded(spark, sf):
         "embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))
 
 
-@register("retrieve")
+def letter_encoder():
+    """Stand-in for a text encoder whose vectors SQL can make: counts of eight letters."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.count(c) for c in "bfgpvwxz"] for t in texts], dtype=np.float32).reshape(len(texts), 8)
+
+
+SQL_RECALL = f"""letter(i, c) AS (SELECT i, substr('bfgpvwxz', i::INT, 1) FROM range(1, 9) r(i)),
+counted AS (SELECT 'c' AS side, doc_id AS a, chunk_ix AS b, kind, 'Section: ' || section || chr(10) || text AS t FROM lined
+            UNION ALL SELECT 'q', item_id, 0, 'paragraph', text FROM benchmark),
+raw AS (SELECT side, a, b, kind, list(length(t) - length(replace(t, c, '')) ORDER BY i) AS v FROM counted, letter GROUP BY ALL),
+unit AS (SELECT side, a, b, kind, CASE WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN v::DOUBLE[]
+                ELSE list_transform(v, lambda x: (x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT)::DOUBLE[] END AS v FROM raw),
+near AS (SELECT q.a AS item_id, c.a AS doc_id, c.b AS chunk_ix, c.kind, round(list_dot_product(c.v, q.v), 9) AS score FROM unit c JOIN unit q ON c.side = 'c' AND q.side = 'q'),
+kqt AS (SELECT item_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')), lambda x: NOT list_contains({STOP}, x))) AS term FROM benchmark),
+kbm AS (
+  SELECT q.item_id, t.doc_id, t.chunk_ix, t.kind, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * n_terms / mean))), 9) AS score
+  FROM tfs t JOIN kqt q USING (term) JOIN dfs USING (doc_id, term) JOIN stat USING (doc_id) GROUP BY ALL),
+leaders0 AS (
+  SELECT 'dense' AS side, *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, chunk_ix) AS rank FROM near
+  UNION ALL SELECT 'sparse', *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, chunk_ix) FROM kbm WHERE score > 0),
+merged0 AS (
+  SELECT doc_id, 'f' || (item_id % 4) AS field, chunk_ix, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS fusion_score,
+         count(*) FILTER (side = 'dense') AS n_dense, count(*) FILTER (side = 'sparse') AS n_sparse FROM leaders0 WHERE rank <= 10 AND kind <> 'code' GROUP BY ALL),
+cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY fusion_score DESC, chunk_ix) - 1 AS position FROM merged0 QUALIFY position < 40),
+scored AS (SELECT c.*, item_id AS query_ix, ((item_id * 31 + doc_id * 17 + chunk_ix * 7) % 1009)::DOUBLE / 1009.0 AS score
+           FROM cand c JOIN benchmark b ON c.field = 'f' || (b.item_id % 4)),
+topped AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field, query_ix ORDER BY score DESC, position) AS rk FROM scored),
+chosen AS (SELECT doc_id, field, chunk_ix, max(score) AS score, min(query_ix) FILTER (rk = 1) AS first, min(query_ix * 1000 + rk) AS seen FROM topped WHERE rk <= 4 GROUP BY ALL),
+tiered AS (
+  SELECT c.doc_id, c.field, c.chunk_ix, c.position, fusion_score, n_dense, n_sparse, h.score, first, seen,
+         CASE WHEN first IS NOT NULL THEN 0 WHEN c.position < 4 THEN 1 ELSE 2 END AS tier
+  FROM cand c LEFT JOIN chosen h USING (doc_id, field, chunk_ix) WHERE h.chunk_ix IS NOT NULL OR c.position < 4),
+final AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY tier, CASE tier WHEN 0 THEN first WHEN 1 THEN position ELSE -score END, seen) AS place FROM tiered)"""
+
+
+@register("retrieve", fx.sql(SQL_LINES, SQL_BM25, SQL_RECALL, select="""
+SELECT doc_id, field, chunk_ix, tier, round(coalesce(score, 0), 9) AS rerank_score, round(fusion_score, 9) AS fusion_score, n_dense::INT AS n_dense, n_sparse::INT AS n_sparse,
+       (row_number() OVER (PARTITION BY doc_id, field ORDER BY chunk_ix) - 1)::INT AS evidence_ix FROM final WHERE place <= 12 OR tier = 0"""))
 def retrieved(spark, sf):
-    encoder = Encoder(hashed_encoder)
+    encoder = Encoder(letter_encoder)
     chunks = d.embed_chunks(fx.lines(spark, sf), encoder)
     out = sel.retrieve(chunks, queries(spark, sf), encoder, arithmetic_score, per_query=10, max_fused=40)
-    return out.select("doc_id", "field", "evidence_ix", "chunk_ix", "tier", "rerank_score")
+    return out.select("doc_id", "field", "chunk_ix", "tier", F.round("rerank_score", 9).alias("rerank_score"), F.round("fusion_score", 9).alias("fusion_score"),
+                      F.size("matched_by.dense").alias("n_dense"), F.size("matched_by.sparse").alias("n_sparse"), "evidence_ix")

@@ -1,9 +1,10 @@
-"""Session defaults and the two helpers every operator module shares."""
+"""Session defaults and the helpers every operator module shares."""
 
 from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,14 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows dealt by doc_id stay where they are for joins on doc_id and more columns.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Python workers are fed small Arrow batches: rows carry whole documents.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
-BROADCAST_ROWS = 100_000
 CONFIG_ROWS = 2_000
 
 
@@ -54,11 +56,9 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side stays with the shuffle join."""
-    if len(df.limit(max_rows + 1).select(F.lit(1)).head(max_rows + 1)) > max_rows:
-        return df
-    return F.broadcast(df)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def config_rows(df: DataFrame, max_rows: int = CONFIG_ROWS) -> list[dict]:
