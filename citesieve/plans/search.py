@@ -345,11 +345,11 @@ final AS (
 
 
 @register("retrieve", fx.sql(SQL_LINES, SQL_BM25, SQL_RECALL, select="""
-SELECT doc_id, field, chunk_ix, tier, round(coalesce(score, 0), 9) AS rerank_score, round(fusion_score, 9) AS fusion_score, n_dense::INT AS n_dense, n_sparse::INT AS n_sparse,
+SELECT doc_id, field, chunk_ix, tier, round(coalesce(score, 0), 9) AS rerank_score, round(fusion_score, 6) AS fusion_score, n_dense::INT AS n_dense, n_sparse::INT AS n_sparse,
        (row_number() OVER (PARTITION BY doc_id, field ORDER BY chunk_ix) - 1)::INT AS evidence_ix FROM final WHERE place <= 12 OR tier = 0"""))
 def retrieved(spark, sf):
     encoder = Encoder(letter_encoder)
     chunks = d.embed_chunks(fx.lines(spark, sf), encoder)
     out = sel.retrieve(chunks, queries(spark, sf), encoder, arithmetic_score, per_query=10, max_fused=40)
-    return out.select("doc_id", "field", "chunk_ix", "tier", F.round("rerank_score", 9).alias("rerank_score"), F.round("fusion_score", 9).alias("fusion_score"),
+    return out.select("doc_id", "field", "chunk_ix", "tier", F.round("rerank_score", 9).alias("rerank_score"), F.round("fusion_score", 6).alias("fusion_score"),
                       F.size("matched_by.dense").alias("n_dense"), F.size("matched_by.sparse").alias("n_sparse"), "evidence_ix")

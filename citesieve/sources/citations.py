@@ -6,6 +6,8 @@ in parallel blocks; running counts carry one number per block.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,9 +98,13 @@ def one_header(records: DataFrame) -> list[str]:
 
 
 def batch_of(df: DataFrame, batch_id: str) -> Column:
-    """The batch of a row: ``batch_id``, with the file's name where several files are read, so that rows stay unique."""
-    several = df.select("file").distinct().limit(2).count() > 1
-    return F.concat(F.lit(f"{batch_id}/"), F.element_at(F.split("file", "/"), -1)) if several else F.lit(batch_id)
+    """The batch of a row: ``batch_id``, with the file's path from the common folder on where several files are read, so that rows stay unique."""
+    low, high = df.agg(F.min("file"), F.max("file")).first()
+    if low == high:
+        return F.lit(batch_id)
+    # the files in between share what the first and the last of them share
+    folder = os.path.commonprefix([low, high]).rpartition("/")[0]
+    return F.concat(F.lit(f"{batch_id}/"), F.substring("file", len(folder) + 2 if folder else 1, max(len(low), 1 << 20)))
 
 
 def check_header(columns: list[str], required: list[str] = ["title", "abstract"]) -> None:
@@ -189,12 +195,13 @@ def read_citations_ris(spark: SparkSession, path: str, batch_id: str, max_record
     batch = batch_of(lines, batch_id)
     # lines before the first TY are no record; only the first of them is reported
     strays = lines.filter("record = 0").groupBy("file").agg(F.min("line_number").alias("line_number"))
-    position = F.struct("line_number", "tag", "tag_ix", clean_text("text").alias("text"))
-    records = lines.filter("record > 0").groupBy("file", "record").agg(F.array_sort(F.collect_list(position)).alias("_l"))
-    tagged = F.filter("_l", lambda x: x["tag"] != "")
-    items = F.transform(tagged, lambda t: F.struct(t["tag"].alias("tag"), t["line_number"].alias("line"), F.array_join(
-        F.transform(F.filter("_l", lambda x: x["tag_ix"] == t["tag_ix"]), lambda x: x["text"]), "\n").alias("value")))
-    records = records.withColumn("_items", items).withColumn("_end", F.array_position(F.transform("_items", lambda x: x["tag"]), "ER"))
+    # each tagged line gathers its own continuations before a record gathers its tags, so no line is read twice
+    texts = F.array_sort(F.collect_list(F.struct("line_number", clean_text("text").alias("text"))))
+    values = lines.filter("record > 0").groupBy("file", "record", "tag_ix").agg(
+        F.min_by("tag", "line_number").alias("tag"), F.min("line_number").alias("line"), texts.alias("_t"))
+    values = values.select("file", "record", "line", "tag", F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("value"))
+    records = values.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("line", "tag", "value"))).alias("_items"))
+    records = records.withColumn("_end", F.array_position(F.transform("_items", lambda x: x["tag"]), "ER"))
     after = F.get("_items", F.col("_end").cast("int"))
     error = (F.when(F.col("_end") == 0, F.struct(F.lit("record_without_er").alias("reason"), F.get("_items", F.lit(0))["line"].alias("line")))
              .when(after.isNotNull(), F.struct(F.lit("record_must_start_with_ty").alias("reason"), after["line"].alias("line")))

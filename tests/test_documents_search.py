@@ -13,6 +13,7 @@ from citesieve.functions.vectors import l2_normalize, softmax
 from citesieve.operators import chunking as ch
 from citesieve.operators import dense as d
 from citesieve.operators import keyword as kw
+from citesieve.operators import topn
 from citesieve.operators import selection as sel
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -132,7 +133,7 @@ def chunks_of(spark, docs):
                                   for i, text in enumerate(texts)], "doc_id long, chunk_ix int, section string, text string, kind string")
 
 
-def test_bm25_formula_and_fallback(spark, monkeypatch):
+def test_bm25_formula_in_any_number_of_blocks(spark, monkeypatch):
     chunks = chunks_of(spark, {1: ["red red fox", "red dog", "blue cat fish"], 2: ["fox", "fox fox dog"]})
     queries = spark.createDataFrame([(0, "the red red fox"), (1, " "), (2, "zebra")], "query_ix int, query string")
     postings, stats = kw.build_postings(chunks, kw.WORD_PATTERN), kw.document_stats(chunks)
@@ -145,7 +146,7 @@ def test_bm25_formula_and_fallback(spark, monkeypatch):
     mean = sum(lengths) / 3
     assert abs(got[1, 0][0] - (2 * part(2, 2, 3, 4, mean) + part(1, 1, 3, 4, mean))) < 1e-8 and got[1, 0][1] == 1
     assert set(got) == {(1, 0), (1, 1), (2, 0), (2, 1)}
-    monkeypatch.setattr(kw, "MATRIX_TERMS", 1)
+    monkeypatch.setattr(topn, "BLOCK", 1)
     again = {(x.doc_id, x.chunk_ix): (x.score, x.rank) for x in kw.bm25_search(postings, stats, queries, 2).collect()}
     assert again == got
 

@@ -2,6 +2,7 @@ import csv
 import glob
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,23 @@ def test_write_table_replaces_only_its_partitions(spark, folder):
     assert {(x.batch_id, x.x) for x in spark.read.parquet(path).collect()} == {("a", 1), ("b", 3)}
     sinks.write_table(spark.range(10).withColumnRenamed("id", "doc_id"), f"{folder}/u", buckets=4)
     assert spark.read.parquet(f"{folder}/u").count() == 10
+
+
+def test_files_of_one_name_keep_their_rows_apart(spark, folder):
+    for part in ("d1", "d2"):
+        os.makedirs(f"{folder}/{part}")
+        with open(f"{folder}/{part}/x.csv", "w") as out:
+            out.write("title,abstract\nsame,same\n")
+    good, rejects = c.read_citations_csv(spark, f"{folder}/d*/x.csv", "b")
+    assert sorted((r.batch_id, r.row) for r in good.collect()) == [("b/d1/x.csv", 1), ("b/d2/x.csv", 1)] and rejects.count() == 0
+
+
+def test_long_ris_records_are_read_once(spark, folder):
+    path = f"{folder}/long.ris"
+    with open(path, "w") as out:
+        out.write("TY  - JOUR\nTI  - a title\n" + "".join(f"KW  - word {i}\n" for i in range(2_000)) + "AB  - begins\n" + "goes on\n" * 2_000 + "ER  - \n")
+    start = time.time()
+    good, rejects = c.read_citations_ris(spark, path, "b")
+    row = good.first()
+    assert row.title == "a title" and row.abstract.count("goes on") == 2_000 and rejects.count() == 0
+    assert time.time() - start < 60
