@@ -127,21 +127,21 @@ def signatures(hashed: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def postings(signed: DataFrame) -> DataFrame:
-    """(token, group, n) of prefix shingles that two groups or more have, once per group.
+    """(token, group, n, pos) of prefix shingles that two groups or more have, once per group; pos is the shingle's place in the group's order.
 
     Rows of a token meet in one sorted partition and are read in a stream; a heavy token is dealt to
     SLOTS partitions by group and keeps all its rows.
     """
     rows = signed.where("n > 0").select("group", "n", "light", F.posexplode("prefix").alias("pos", "token"))
     heavy = F.col("pos") >= F.col("light")
-    at = F.shiftleft("n", 1) + heavy.cast("long")  # size and heaviness travel in one number
-    rows = rows.select("token", F.when(heavy, F.pmod("group", F.lit(SLOTS))).otherwise(0).alias("slot"), "group", at.alias("at"))
+    rows = rows.select("token", F.when(heavy, F.pmod("group", F.lit(SLOTS))).otherwise(0).alias("slot"), "group", "n",
+                       F.when(heavy, -F.col("pos") - 1).otherwise(F.col("pos")).alias("at"))  # place and heaviness travel in one number
     order = Window.partitionBy("token", "slot").orderBy("group")
-    seen = rows.select("token", "group", "at", F.lead("group").over(order).alias("next"),
+    seen = rows.select("token", "group", "n", "at", F.lead("group").over(order).alias("next"),
                        F.first("group").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
     last = F.col("next").isNull() | (F.col("next") != F.col("group"))
-    shared = (F.col("at") % 2 == 1) | F.col("next").isNotNull() | (F.col("first") != F.col("group"))
-    return seen.where(last & shared).select("token", "group", F.shiftright("at", 1).alias("n"))
+    shared = (F.col("at") < 0) | F.col("next").isNotNull() | (F.col("first") != F.col("group"))
+    return seen.where(last & shared).select("token", "group", "n", F.when(F.col("at") < 0, -F.col("at") - 1).otherwise(F.col("at")).alias("pos"))
 
 
 def sizes_fit() -> Column:
@@ -160,6 +160,36 @@ def enough(shared: Column, n: Column, m: Column) -> Column:
     return (shared + F.greatest(rest(n), rest(m))) * (100 + PERCENT) >= PERCENT * (n + m)
 
 
+def reachable(shared: Column, n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether sets of n and m can link whose first ``shared`` common shingles end at places i and j of their orders."""
+    return (shared + F.least(n - i, m - j) - 1) * (100 + PERCENT) >= PERCENT * (n + m)
+
+
+def group_pairs(listed: DataFrame) -> DataFrame:
+    """Pairs (g, h) of different groups that can link across components, from ``listed``: token, group, n, pos, and the least and largest component of the group's members (low, high).
+
+    A pair meets at each shared shingle whose places still leave room for enough others. Places grow
+    together, so these are the pair's first shared shingles, and whatever else it shares lies behind
+    the last of them. Groups of a token's largest component are not paired with each other, so a
+    token that one huge cluster shares costs no more than its rows.
+    """
+    one = F.col("low") == F.col("high")
+    open_ = listed.groupBy("token").agg(F.min("low").alias("c"), F.max("high").alias("d")).where("c <> d").select("token")
+    rest = stage(listed.join(open_, "token"), "jaccard-open")
+    largest = (rest.where(one).groupBy("token", "low").count().groupBy("token").agg(F.max(F.struct("count", "low")).alias("l"))
+               .select("token", F.col("l.low").alias("largest")))
+    rest = stage(rest.join(largest, "token", "left").withColumn("odd", F.coalesce(~one | (F.col("low") != F.col("largest")), F.lit(True))).drop("largest"), "jaccard-odd")
+    x, y = rest.where("odd").alias("x"), rest.alias("y")
+    apart = F.least("x.low", "y.low") != F.greatest("x.high", "y.high")
+    once = (F.col("x.group") != F.col("y.group")) & (~F.col("y.odd") | (F.col("x.group") < F.col("y.group")))
+    met = x.join(y, "token").where(once & apart & sizes_fit() & reachable(F.lit(1), F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    sides = [F.struct(*(F.col(f"{side}.{c}").alias(c) for c in ("group", "n", "pos"))) for side in "xy"]
+    met = met.select(F.least(*sides).alias("x"), F.greatest(*sides).alias("y"))
+    met = met.groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(
+        F.count("*").alias("c"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
+    return met.where(reachable(*(F.col(c) for c in ("c", "n", "i", "m", "j")))).select("g", "h")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (a, b) of class nodes whose whole sets link.
 
@@ -212,9 +242,10 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
        shingles they share. First each is tried against one pivot of the shingle, the group with most
        shared shingles, and members against their group: links as many as groups, which already
        connect dense clusters.
-    3. Then every candidate pair of groups is expanded to members that are still in different
-       components, filtered likewise, and verified. A pair inside a component would change nothing,
-       so no link between different components is lost.
+    3. Then every pair of groups that are not of one component is filtered by size, by the places of
+       its shared shingles and by their number; what is left is expanded to members of different
+       components and verified. A pair inside a component would change nothing, so no link between
+       different components is lost.
     """
     hashed = _hashed(documents, F.col("doc_id"), text_mark().alias("mark"))
     signed = stage(signatures(hashed, shingle_weights(hashed)), "jaccard-signatures")
@@ -238,17 +269,12 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
 
     known = stage(components(links), "jaccard-known")
     member = stage(full.join(known, "node", "left").select("group", "node", F.coalesce("root", "node").alias("comp")), "jaccard-members")
-    # all members of a group share its prefix, so a group of several components is a posting list of its own
-    split = member.groupBy("group").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select(F.col("group"))
-    own = split.join(groups, "group").join(full.select("group", "n").distinct(), "group").select(
-        F.xxhash64("group", F.lit("group")).alias("token"), "group", "n", F.col("n").alias("weight"))
-    listed = shared.select("token", "group", "n", F.lit(1).cast("long").alias("weight")).union(own)
-    placed = stage(listed.join(member, "group").select("token", "node", "comp", "n", "weight"), "jaccard-placed")
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("token")
-    rest = stage(placed.join(open_, "token"), "jaccard-open")
-    more = rest.alias("x").join(rest.alias("y"), "token").where("x.node < y.node and x.comp <> y.comp").where(sizes_fit())
-    more = more.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.sum("x.weight").alias("c"))
-    more = more.where(enough(F.col("c"), F.col("n"), F.col("m"))).select("a", "b")
+    spans = stage(member.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "jaccard-spans")
+    # members of one group share its prefix: a group of several components is a pair with itself
+    own = spans.where("low <> high").select(F.col("group").alias("g"), F.col("group").alias("h"))
+    candidates = stage(group_pairs(shared.join(spans, "group")).union(own), "jaccard-group-pairs")
+    sides = [member.select(F.col("group").alias(g), F.col("node").alias(n), F.col("comp").alias(f"{n}_comp")) for g, n in (("g", "a"), ("h", "b"))]
+    more = candidates.join(sides[0], "g").join(sides[1], "h").where("a_comp <> b_comp and (g <> h or a < b)").select("a", "b")
     second = stage(ordered(more).join(ordered(first), ["a", "b"], "left_anti"), "jaccard-rest")
     links = links.union(verified(second, classes, documents))
 

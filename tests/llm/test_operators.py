@@ -302,6 +302,20 @@ def test_jaccard_clusters_and_chains(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
 
 
+def test_jaccard_of_texts_that_are_mostly_one_passage(spark):
+    """The common passage reaches into every prefix; some pairs link, most only nearly."""
+    rng = random.Random(3)
+    passages = [prose(50 + i, 40).split() for i in range(2)]
+    docs = []
+    for k in range(150):
+        tail = prose(1000 + rng.randrange(90), rng.randint(0, 14)).split()
+        docs.append((k, " ".join(rng.choice([passages[0], passages[0], passages[0] + passages[1], passages[1]]) + tail)))
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = brute.jaccard_components(docs)
+    assert 10 < len({c for n, c in want.values()}) < 140
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
