@@ -190,6 +190,16 @@ def group_pairs(listed: DataFrame) -> DataFrame:
     return met.where(reachable(*(F.col(c) for c in ("c", "n", "i", "m", "j")))).select("g", "h")
 
 
+def sharing_enough(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The group pairs (g, h) whose whole prefixes share enough shingles for a link; prefixes travel once per pair and side."""
+    wanted = pairs.select(F.explode(F.array("g", "h")).alias("group")).distinct()
+    prefixes = stage(signed.select("group", "n", "prefix").join(wanted, "group", "left_semi").groupBy("group").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")),
+                     "jaccard-prefixes")
+    sides = [prefixes.select(F.col("group").alias(g), F.col("n").alias(n), F.col("prefix").alias(p)) for g, n, p in (("g", "n", "x"), ("h", "m", "y"))]
+    both = pairs.join(sides[0], "g").join(sides[1], "h")
+    return both.where(enough(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"))).select("g", "h")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (a, b) of class nodes whose whole sets link.
 
@@ -272,7 +282,8 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     spans = stage(member.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "jaccard-spans")
     # members of one group share its prefix: a group of several components is a pair with itself
     own = spans.where("low <> high").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    candidates = stage(group_pairs(shared.join(spans, "group")).union(own), "jaccard-group-pairs")
+    candidates = sharing_enough(stage(group_pairs(shared.join(spans, "group")), "jaccard-group-pairs"), signed)
+    candidates = stage(candidates.union(own), "jaccard-group-candidates")
     sides = [member.select(F.col("group").alias(g), F.col("node").alias(n), F.col("comp").alias(f"{n}_comp")) for g, n in (("g", "a"), ("h", "b"))]
     more = candidates.join(sides[0], "g").join(sides[1], "h").where("a_comp <> b_comp and (g <> h or a < b)").select("a", "b")
     second = stage(ordered(more).join(ordered(first), ["a", "b"], "left_anti"), "jaccard-rest")
