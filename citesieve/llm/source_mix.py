@@ -14,7 +14,7 @@ SHARE = 1.5
 REPEATS = 2
 #: Hash buckets that a (source, length) group is split into, so that no task ranks a whole group.
 BUCKETS = 1024
-#: Largest remaining budget that goes to the exact knapsack, in words.
+#: Remaining budget that the exact knapsack always covers, in words; it covers twice the longest document where that is more.
 EXACT_WORDS = 1 << 18
 
 
@@ -45,7 +45,8 @@ def fit_budget(lengths, counts, budget: int, exact_words: int = EXACT_WORDS) ->
 
     An even share of every length is taken first, then the longest that fit, and the remaining
     budget goes to a bounded knapsack: the counts left are split into powers of two and the
-    reachable sums are kept as bits of one number, with the item that reached each sum first.
+    reachable sums are kept as bits of one number, with the item that reached each sum first. The
+    knapsack has room for two of the longest documents that can still be taken, whatever their length.
     """
     lengths, counts = np.asarray(lengths, dtype=object), np.asarray(counts, dtype=object)
     take = np.zeros(len(lengths), dtype=object)
@@ -56,6 +57,7 @@ def fit_budget(lengths, counts, budget: int, exact_words: int = EXACT_WORDS) ->
         return counts.astype(np.int64)
     take = counts * budget // total
     rest = budget - int((take * lengths).sum())
+    exact_words = max([exact_words, *(2 * w for w, n, t in zip(lengths, counts, take) if n > t and w <= rest)])
     order = np.argsort(-lengths.astype(np.int64), kind="stable")
     for i in order:
         if rest <= exact_words:

@@ -113,6 +113,14 @@ def test_cutoffs_limit_false_rejection(spark):
 
 # 2 mixing
 
+def test_fit_budget_of_very_long_documents():
+    lengths = [290_000, 300_000, 400_000]
+    assert source_mix.fit_budget(lengths, [1, 1, 1], 590_000).tolist() == [1, 1, 0]
+    assert source_mix.fit_budget(lengths, [1, 1, 1], 699_999).tolist() == [1, 0, 1]
+    assert source_mix.fit_budget([2_000_000, 3_000_000, 4_500_000], [1, 1, 1], 5_000_000).tolist() == [1, 1, 0]
+    assert source_mix.fit_budget([7, 300, 1000], [1, 2, 1], 700, exact_words=16).tolist() == [1, 2, 0]
+
+
 def test_fit_budget_is_exact_on_small_cases():
     rng = random.Random(3)
     for _ in range(300):
