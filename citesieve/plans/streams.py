@@ -23,8 +23,9 @@ def work_folder(spark) -> str:
 
 
 def stream(spark, sf, name):
-    schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream of its files. A pattern fits a table that is one file and one that is a folder of files."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @register("stream_labels", REVIEW_ORACLES["latest_paper_labels"])
