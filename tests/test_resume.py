@@ -199,3 +199,15 @@ def test_bm25_equals_plain_sums(spark):
 def test_fields_beyond_the_bound_are_named(spark):
     queries = spark.createDataFrame([("a", i, "q") for i in range(5)] + [("b", 9, "q")], "field string, query_ix long, query string")
     assert [tuple(r) for r in sel.uncovered_fields(queries, 4).collect()] == [("a", 5, 4)]
+
+
+def test_streams_read_a_table_of_one_file_and_of_many(spark, folder):
+    from citesieve.plans import streams
+
+    rows = spark.range(30).select((F.col("id")).alias("doc_id"), F.concat(F.lit("title "), "id", F.lit("\nbody")).alias("text"),
+                                  F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(10).cast("bigint").alias("n_chars"))
+    rows.toPandas().to_parquet(f"{folder}/documents.parquet")
+    rows.repartition(3).write.parquet(f"{folder}/many/documents.parquet")
+    for sf in (folder, f"{folder}/many"):
+        assert streams.screen(spark, sf).select("row").distinct().count() == 30
+        assert sum(x.n for x in streams.resume(spark, sf).collect()) == 30
