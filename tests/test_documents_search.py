@@ -217,3 +217,28 @@ def test_retrieve_end_to_end(spark):
     assert all(x.chunk_ix != 1 or x.doc_id != 1 for x in rows)
     every = sel.retrieve(chunks, plan, Encoder(pairs), PairScorer(match), prefilter=False, top_k=1, max_chunks=4, reserve=2)
     assert sorted(x.chunk_ix for x in every.filter("doc_id = 1 AND field = 'f'").collect())[:2] == [0, 2]
+
+
+def test_whole_document_search_equals_postings(spark, monkeypatch):
+    """Documents over several Arrow batches and queries over several blocks: the same hits and fusion as by postings."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    chunks = chunks_of(spark, {i: [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(rng.choice([1, 4, 23]))] for i in range(9)})
+    rows = [(f"f{i % 2}", i, str(i), " ".join(rng.choices(words, k=3))) for i in range(90)]
+    asked = spark.createDataFrame(rows, "field string, query_ix long, name string, query string")
+    keys, before = ["field", "query_ix"], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(topn, "BLOCK", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        bm25 = kw.bm25_search(kw.build_postings(chunks, kw.WORD_PATTERN), kw.document_stats(chunks), asked, 3, keys)
+        stem = kw.stem_search(kw.build_postings(chunks), asked, 3, keys)
+        hits = [*keys, "doc_id", "chunk_ix", "rank"]
+        for method, old in (("bm25", bm25), ("any", stem)):
+            new = kw.search_texts(chunks, asked, 3, keys, method)
+            assert sorted(map(tuple, new.select(hits).collect())) == sorted(map(tuple, old.select(hits).collect()))
+        given = asked.select("field", "query_ix", F.col("name").alias("query"), F.col("query").alias("words"))
+        old, new = sel.fuse(bm25, stem), sel.fuse_texts(chunks, given, given, 3)
+        columns = ["doc_id", "field", "chunk_ix", F.round("fusion_score", 9), "dense", "sparse"]
+        assert sorted(map(tuple, new.select(*columns).collect())) == sorted(map(tuple, old.select(*columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
