@@ -17,7 +17,9 @@ FOLDED = [
 ]
 
 _EDGE_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
-_SPACES = r"(?U)[\s\x1c-\x1f]+"
+_SPACE = r"\x09-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Whitespace that is not one plain space: words of most texts are one space apart, which needs no replacement.
+_LAYOUT = rf" [ {_SPACE}]+|[{_SPACE}][ {_SPACE}]*"
 
 
 def col(value) -> Column:
@@ -35,12 +37,17 @@ def blank_to_null(c) -> Column:
 
 def fold(c) -> Column:
     """Case folding: lower case plus the letters where folding and lower case part ways."""
-    folded = F.lower(col(c))
     special = "[" + "".join(source for source, _ in FOLDED) + "]"
-    replaced = folded
-    for source, target in FOLDED:
-        replaced = F.replace(replaced, F.lit(source), F.lit(target))
-    return F.when(folded.rlike(special), replaced).otherwise(folded)
+
+    def settle(folded: Column) -> Column:
+        replaced = folded
+        for source, target in FOLDED:
+            replaced = F.replace(replaced, F.lit(source), F.lit(target))
+        # Texts of one byte a character hold none of these letters.
+        return F.when((F.octet_length(folded) > F.length(folded)) & folded.rlike(special), replaced).otherwise(folded)
+
+    # A one-element transform names the lower-case text, so that it is made once.
+    return F.transform(F.array(F.lower(col(c))), settle)[0]
 
 
 def normalize_doi(c) -> Column:
@@ -81,12 +88,17 @@ def normalized_title(c, exact: bool = True) -> Column:
 
 
 def collapse(c) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), _SPACES, " "))
+    return F.trim(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), _LAYOUT, " "))
+
+
+def plain_layout(c) -> Column:
+    """The form in which quotes are looked up: case folded, runs of whitespace as one space. Null counts as empty."""
+    return fold(collapse(c))
 
 
-def quote_in_text(quote, text) -> Column:
-    """True when the quote occurs in the text, ignoring case and whitespace layout."""
-    return F.contains(fold(collapse(text)), fold(collapse(quote)))
+def quote_in_text(quote, text, plain: bool = False) -> Column:
+    """True when the quote occurs in the text, ignoring case and whitespace layout; ``plain`` texts went through :func:`plain_layout`."""
+    return F.contains(col(text) if plain else plain_layout(text), plain_layout(quote))
 
 
 def premise(title, abstract) -> Column:

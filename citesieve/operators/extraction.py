@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from citesieve.functions.json_values import (as_text, is_missing, kind_of, member, salvage_json, stringify_value,
                                              valid_value)
 from citesieve.functions.models import Completer
-from citesieve.functions.text import clean_text, python_list, quote_in_text, strip_references, token_count
+from citesieve.functions.text import clean_text, plain_layout, python_list, quote_in_text, strip_references, token_count
 from citesieve.operators.calls import CallLog, answered
 from citesieve.operators.chunking import table_rows
 from citesieve.session import compute_once, config_rows, literal_rows
@@ -239,13 +239,21 @@ def evidence_items(v: Column) -> Column:
         as_text(member(x, "source_id")).alias("source_id"), as_text(member(x, "quote")).alias("quote")))
 
 
-def check_evidence(items: Column, sources: Column) -> Column:
-    """Each entry with its fault: unknown source, missing quote, or a quote that its passage does not hold."""
+def plain_sources(sources) -> Column:
+    """Passages in the form in which quotes are looked up. Made once per unit of fields, not once per field and quote."""
+    return F.transform_values(sources, lambda _, passage: F.when(passage.isNotNull(), plain_layout(passage)))
+
+
+def check_evidence(items: Column, sources: Column, plain: bool = False) -> Column:
+    """Each entry with its fault: unknown source, missing quote, or a quote that its passage does not hold.
+
+    ``plain`` sources went through :func:`plain_sources`.
+    """
     def judged(x: Column) -> Column:
         passage = F.element_at(sources, x["source_id"])
         fault = (F.when(x["source_id"].isNull() | passage.isNull(), "unknown_source")
                  .when(F.coalesce(clean_text(x["quote"]), F.lit("")) == "", "missing_quote")
-                 .when(~quote_in_text(x["quote"], passage), "quote_not_in_source"))
+                 .when(~quote_in_text(x["quote"], passage, plain), "quote_not_in_source"))
         return F.struct(x["source_id"].alias("source_id"), F.trim(x["quote"]).alias("quote"), fault.alias("fault"))
 
     return F.transform(items, judged)
@@ -254,19 +262,22 @@ def check_evidence(items: Column, sources: Column) -> Column:
 def validate_fields(df: DataFrame, full: bool = False) -> DataFrame:
     """Turn the field object ``raw`` (VARIANT) into a checked result.
 
-    Needs ``value_type`` and ``allowed_values``, and ``sources`` (map) or, for full texts, ``paper``.
+    Needs ``value_type`` and ``allowed_values``, and ``sources`` (map) or, for full texts, ``paper``. ``plain_sources``
+    and ``plain_paper``, if they are there, are those texts in the form in which quotes are looked up.
     """
     v = F.col("raw")
     errors = field_errors(v, F.col("value_type"), F.coalesce("allowed_values", F.array().cast("array<string>")), full)
     if full:
         quote = as_text(member(v, "source_quote"))
-        absent = F.when((F.coalesce(clean_text(quote), F.lit("")) != "") & ~quote_in_text(quote, "paper"), F.array(F.lit("quote_not_in_paper")))
+        absent = F.when((F.coalesce(clean_text(quote), F.lit("")) != "") & ~quote_in_text(
+            quote, *(("plain_paper", True) if "plain_paper" in df.columns else ("paper",))), F.array(F.lit("quote_not_in_paper")))
         judged = F.when(F.coalesce(clean_text(quote), F.lit("")) != "", F.array(F.struct(
             F.lit("paper").alias("source_id"), quote.alias("quote"), F.lit(None).cast("string").alias("fault")))).otherwise(
             F.array().cast("array<struct<source_id:string,quote:string,fault:string>>"))
         df = compute_once(df, {"_errors": F.concat(errors, F.coalesce(absent, F.array().cast("array<string>"))), "_judged": judged})
     else:
-        df = compute_once(df, {"_errors": errors, "_judged": check_evidence(evidence_items(v), F.col("sources"))})
+        df = compute_once(df, {"_errors": errors, "_judged": check_evidence(
+            evidence_items(v), *((F.col("plain_sources"), True) if "plain_sources" in df.columns else (F.col("sources"),)))})
         faults = F.transform(F.filter("_judged", lambda x: x["fault"].isNotNull()), lambda x: x["fault"])
         df = df.withColumn("_errors", F.concat("_errors", faults))
     sound = F.size("_errors") == 0
@@ -333,9 +344,10 @@ def extract_groups(evidence: DataFrame, chunks: DataFrame, docs: DataFrame, fiel
     prompt = F.concat(F.element_at(specs, F.col("unit")), "passages")
     asked = answered(work.filter("passages IS NOT NULL").withColumn("_prompt", prompt), completer, cfg.group_system, "_prompt", cfg.max_tokens, log,
                      "extract_groups", no_object)
-    replies = compute_once(asked, {"_v": F.when(F.col("_r.error").isNull(), salvage_json("_r.text"))})
-    listed = replies.select("doc_id", "sources", "_v", F.inline(F.element_at(_field_rows(units), F.col("unit"))))
-    raw = F.element_at(F.try_variant_get("_v", "$", "map<string,variant>"), F.col("field_id"))
+    replies = compute_once(asked, {"_v": F.when(F.col("_r.error").isNull(), F.try_variant_get(salvage_json("_r.text"), "$", "map<string,variant>")),
+                                   "plain_sources": plain_sources("sources")})
+    listed = replies.select("doc_id", "plain_sources", "_v", F.inline(F.element_at(_field_rows(units), F.col("unit"))))
+    raw = F.element_at("_v", F.col("field_id"))
     checked = validate_fields(listed.withColumn("raw", F.when(kind_of(raw) == "OBJECT", raw)))
     nothing = failure(work.filter("passages IS NULL").select("doc_id", F.inline(F.element_at(_field_rows(units), F.col("unit")))), "no_evidence")
     retried = retry_invalid_fields(checked, evidence, chunks, fields, completer, cfg, log)
@@ -398,21 +410,21 @@ def extract_full(docs: DataFrame, fields: list[dict], completer: Completer, cfg:
     fits = F.col("request_tokens") <= cfg.max_context_tokens
 
     def fault(asked: DataFrame) -> DataFrame:
-        read = compute_once(asked, {"_v": F.try_variant_get(salvage_json("_r.text"), "$", "map<string,variant>")})
+        read = compute_once(asked, {"_v": F.try_variant_get(salvage_json("_r.text"), "$", "map<string,variant>"), "_plain": plain_layout("paper")})
 
         def unsound(f: Column) -> Column:
             raw = F.element_at("_v", f["field"])
             quote = as_text(member(raw, "source_quote"))
-            absent = (F.coalesce(clean_text(quote), F.lit("")) != "") & ~F.coalesce(quote_in_text(quote, "paper"), F.lit(False))
+            absent = (F.coalesce(clean_text(quote), F.lit("")) != "") & ~quote_in_text(quote, "_plain", True)
             return (F.size(field_errors(raw, f["value_type"], f["allowed_values"], True)) > 0) | absent
 
-        return read.withColumn("fault", F.when(F.col("_v").isNull(), "reply holds no JSON object").when(F.exists(rows, unsound), "invalid fields")).drop("_v")
+        return read.withColumn("fault", F.when(F.col("_v").isNull(), "reply holds no JSON object").when(F.exists(rows, unsound), "invalid fields")).drop("_v", "_plain")
 
     asked = answered(work.filter(fits), completer, cfg.full_system, "prompt", cfg.full_max_tokens, log, "extract_full", fault).drop("prompt")
-    replies = compute_once(asked, {"_v": F.when(F.col("_r.error").isNull(), salvage_json("_r.text"))})
-    good = replies.filter("_v IS NOT NULL").select("doc_id", "paper", "_v", F.inline(rows))
-    raw = F.element_at(F.try_variant_get("_v", "$", "map<string,variant>"), F.col("field"))
-    checked = validate_fields(good.withColumn("raw", raw), full=True)
+    replies = compute_once(asked, {"_v": F.when(F.col("_r.error").isNull(), F.try_variant_get(salvage_json("_r.text"), "$", "map<string,variant>"))})
+    good = compute_once(replies.filter("_v IS NOT NULL").select("doc_id", "paper", "_v"), {"plain_paper": plain_layout("paper")})
+    good = good.select("doc_id", "plain_paper", "_v", F.inline(rows))
+    checked = validate_fields(good.withColumn("raw", F.element_at("_v", F.col("field"))), full=True)
     error = F.coalesce("_r.error", F.lit("reply holds no JSON object"))
     failed = failure(replies.filter("_v IS NULL").select("doc_id", "_r", F.inline(rows)), "llm_failed", error)
     message = F.concat(F.lit("request needs about "), "request_tokens", F.lit(f" tokens, the limit is {cfg.max_context_tokens}"))
@@ -430,25 +442,34 @@ def reuse_valid_fields(todo: DataFrame, prior: DataFrame, fingerprint: str | Non
     return todo.join(valid.select(*keys), keys, "left_anti"), valid.join(todo.select(*keys), keys, "left_semi")
 
 
+def _completeness(fields: list[dict]) -> tuple[list[Column], Column]:
+    """Aggregates over the results of a document, and what they say of it: exactly the configured fields, each valid."""
+    labels = [f["label"] for f in fields]
+    valid = F.col("field").isin(*labels) & F.col("status").isin(*STATUSES) & (F.size("validation_errors") == 0)
+    good = F.size(F.collect_set(F.when(valid, F.col("field")))).alias("_good")
+    complete = (F.col("_good") == len(labels)) & (F.col("_n") == len(labels)) & F.lit(bool(labels))
+    return [good, F.count(F.lit(1)).alias("_n")], complete
+
+
 def extraction_complete(results: DataFrame, fields: list[dict]) -> DataFrame:
     """(doc_id, complete): exactly the configured fields, each valid."""
-    labels = [f["label"] for f in fields]
-    known = F.col("field").isin(*labels)
-    valid = F.col("status").isin(*STATUSES) & (F.size("validation_errors") == 0)
-    per_doc = results.groupBy("doc_id").agg(
-        F.count_distinct(F.when(known & valid, F.col("field"))).alias("_good"), F.count(F.lit(1)).alias("_n"))
-    return per_doc.select("doc_id", ((F.col("_good") == len(labels)) & (F.col("_n") == len(labels)) & F.lit(bool(labels))).alias("complete"))
+    counts, complete = _completeness(fields)
+    return results.groupBy("doc_id").agg(*counts).select("doc_id", complete.alias("complete"))
 
 
 def extraction_long(docs: DataFrame, results: DataFrame, fields: list[dict], only_complete: bool = True) -> DataFrame:
-    """(doc_id, label, value, status, confidence, quotes, error) for every document and field; unfinished documents are blank."""
-    if only_complete:
-        done = extraction_complete(results, fields).filter("complete").select("doc_id")
-        results = results.join(done, "doc_id", "left_semi")
-    grid = docs.select("doc_id", F.explode(F.array(*[F.lit(f["label"]) for f in fields])).alias("field"))
-    joined = grid.join(results, ["doc_id", "field"], "left")
-    quotes = F.filter(F.transform("evidence", lambda e: e["quote"]), lambda q: q != "")
-    return joined.select("doc_id", F.col("field").alias("label"), stringify_value("value").alias("value"), "status", "confidence",
-                         F.coalesce(quotes, F.array().cast("array<string>")).alias("quotes"), "error")
-
+    """(doc_id, label, value, status, confidence, quotes, error) for every document and field; unfinished documents are blank.
 
+    The results of a document, a few rows, are gathered once; they say whether it is complete and fill its fields.
+    """
+    quotes = F.filter(F.transform("evidence", lambda e: e["quote"]), lambda q: q != "")
+    cell = F.struct("field", stringify_value("value").alias("value"), "status", "confidence",
+                    F.coalesce(quotes, F.array().cast("array<string>")).alias("quotes"), "error")
+    judged = ["validation_errors"] if only_complete else []
+    cells = results.select("doc_id", "field", "status", *judged, cell.alias("_cell"))
+    counts, complete = _completeness(fields) if only_complete else ([], F.lit(True))
+    gathered = cells.groupBy("doc_id").agg(F.collect_list("_cell").alias("_cells"), *counts).select("doc_id", F.when(complete, F.col("_cells")).alias("_cells"))
+    grid = docs.select("doc_id").join(gathered, "doc_id", "left").select("doc_id", "_cells", F.explode(F.array(*[F.lit(f["label"]) for f in fields])).alias("label"))
+    joined = grid.select("doc_id", "label", F.explode_outer(F.filter("_cells", lambda c: c["field"] == F.col("label"))).alias("_c"))
+    return joined.select("doc_id", "label", "_c.value", "_c.status", "_c.confidence",
+                         F.coalesce("_c.quotes", F.array().cast("array<string>")).alias("quotes"), "_c.error")

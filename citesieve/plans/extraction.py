@@ -17,7 +17,7 @@ from citesieve.plans import fixtures as fx
 from citesieve.plans.register import registry
 from citesieve.plans.review import labelled
 from citesieve.plans.search import SQL_LINES, arithmetic_score, hashed_encoder
-from citesieve.session import new_folder
+from citesieve.session import compute_once, cut_lineage, new_folder
 from citesieve.sources import sinks
 
 QUERIES, ORACLES, register = registry()
@@ -72,6 +72,7 @@ def specification(spark, sf):
 def field_objects(spark, sf):
     """A field object per document and field: sound ones, and one of each fault."""
     docs = fx.table(spark, sf, "documents").select("doc_id", F.create_map(F.lit("chunk_0"), F.col("text")).alias("sources"), F.right("text", F.lit(8)).alias("q"))
+    docs = compute_once(docs, {"plain_sources": e.plain_sources("sources")}).drop("sources")
     rows = docs.select("*", F.inline(F.array(*[F.struct(
         F.lit(f["label"]).alias("field"), F.lit(i).alias("i"), F.lit(f["value_type"]).alias("value_type"),
         F.array(*[F.lit(a) for a in f.get("allowed_values", [])]).cast("array<string>").alias("allowed_values")) for i, f in enumerate(FIELDS)])))
@@ -150,7 +151,8 @@ def wide(spark, sf):
 @register("reuse_valid_fields", fx.sql(SQL_OBJECTS, select="""
 SELECT doc_id, field, errors = '' AND doc_id % 2 = 0 AS reused FROM judged"""))
 def reused(spark, sf):
-    prior = results(spark, sf).withColumn("fingerprint", F.when(F.col("doc_id") % 2 == 0, "now").otherwise("old"))
+    prior = results(spark, sf).select("doc_id", "field", "status", F.when(F.col("doc_id") % 2 == 0, "now").otherwise("old").alias("fingerprint"))
+    prior = cut_lineage(prior)  # stored results of an earlier run, which both sides read
     todo, kept = e.reuse_valid_fields(prior.select("doc_id", "field"), prior, "now")
     return todo.withColumn("reused", F.lit(False)).unionByName(kept.select("doc_id", "field", F.lit(True).alias("reused")))
 

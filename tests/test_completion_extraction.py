@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citesieve.functions.json_values import salvage_json, stringify_value, valid_value
 from citesieve.functions.models import Completer
+from citesieve.functions.text import plain_layout
 from citesieve.operators import completion as c
 from citesieve.operators import extraction as e
 from citesieve.operators import provenance as pv
@@ -176,3 +177,32 @@ def test_provenance(spark):
     plan = [{"label": "a", "queries": ["q"]}]
     saved = pv.plan_identity(plan, FIELDS)
     assert pv.plan_is_current(plan, FIELDS, saved) and not pv.plan_is_current(plan, FIELDS[:1], saved)
+
+
+def test_quotes_are_found_in_plain_layout(spark):
+    """The one-pass form equals the plain rules for every kind of whitespace and for letters whose folding is longer."""
+    spaces = ["\t", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "  ", " \n ", "\n\n"]
+    texts = [f"{s}Stra\u00dfe{s}A B{s}c\ufb01{s}" for s in spaces] + ["", "one two", "  lead", "tail  ", "\u180e x", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = {r.i: (r.plain, r.found) for r in df.select("i", plain_layout("t").alias("plain"), e.plain_sources(F.create_map(F.lit("k"), F.col("t")))["k"].alias("found")).collect()}
+    for i, t in enumerate(texts):
+        want = re.sub(r"[\s\x1c-\x1f]+", " ", t or "").strip(" ").casefold()
+        assert out[i] == (want, None if t is None else want)
+    held = df.select(e.check_evidence(F.array(F.struct(F.lit("k").alias("source_id"), F.lit("STRASSE a").alias("quote"))),
+                                      e.plain_sources(F.create_map(F.lit("k"), F.col("t"))), True)[0]["fault"].alias("fault"))
+    assert [r.fault for r in held.collect()] == [None] * len(spaces) + ["quote_not_in_source"] * 5 + ["unknown_source"]
+
+
+def test_long_results_are_read_once_and_repeats_stay(spark):
+    fields = [{"label": "f0"}, {"label": "f1"}]
+    rows = spark.range(0, 7).select(F.floor(F.col("id") / 2).alias("doc_id"), F.when(F.col("id") % 2 == 0, "f0").otherwise("f1").alias("field"), F.parse_json(
+        F.lit('"x"')).alias("value"), F.when(F.col("id") == 5, "invalid_output").otherwise("extracted").alias("status"), F.lit("high").alias("confidence"), F.array(
+        F.struct(F.lit("k").alias("source_id"), F.lit("q").alias("quote"))).alias("evidence"), F.array().cast("array<string>").alias("validation_errors"), F.lit(None).cast("string").alias("error"))
+    docs = spark.createDataFrame([(i,) for i in range(5)], "doc_id long")
+    long = e.extraction_long(docs, rows, fields)
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 7") == 1
+    assert sorted((r.doc_id, r.label, r.value, tuple(r.quotes)) for r in long.collect()) == [
+        (d, f, *(("x", ("q",)) if d < 2 else (None, ()))) for d in range(5) for f in ("f0", "f1")]
+    every = e.extraction_long(docs, rows.unionByName(rows.where("doc_id = 0 AND field = 'f0'")), fields, only_complete=False)
+    assert sorted((r.doc_id, r.label, r.value) for r in every.collect() if r.doc_id in (0, 3)) == [
+        (0, "f0", "x"), (0, "f0", "x"), (0, "f1", "x"), (3, "f0", "x"), (3, "f1", None)]
