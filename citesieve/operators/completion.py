@@ -134,13 +134,20 @@ def call_fault() -> Column:
         F.col("completion") != "complete", F.concat(F.lit("completion "), "completion")), "reply_error")
 
 
-def ask(requests: DataFrame, completer: Completer, cfg: CompletionConfig, log: CallLog | None = None) -> DataFrame:
-    """One call per request with its own ``output_budget``, written once; requests that the log has a sound reply to are not sent."""
+def ask(requests: DataFrame, completer: Completer, cfg: CompletionConfig, log: CallLog | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """One call per request with its own ``output_budget``, written once; requests that the log has a sound reply to are not sent.
+
+    With ``texts`` (and a log) requests come without their payload but with its ``_key``.
+    """
     def fault(asked: DataFrame) -> DataFrame:
         judged = check_contract(asked.select(*[c for c in asked.columns if c != "_r"], "_r", "_r.*"), cfg)
         return judged.withColumn("fault", call_fault()).drop(*REPLY)
 
-    asked = answered(requests, completer, cfg.system, "payload", F.col("output_budget"), log, f"screening/{settings_of(cfg)}", fault)
+    purpose = f"screening/{settings_of(cfg)}"
+    if texts is not None:
+        asked = log.answer_keyed(requests, texts, KEYS, completer, cfg.system, F.col("payload"), "output_budget", purpose, fault)
+    else:
+        asked = answered(requests, completer, cfg.system, "payload", F.col("output_budget"), log, purpose, fault)
     return asked.select(*requests.columns, "_r.*", "cache_hit")
 
 
@@ -149,7 +156,7 @@ def settings_of(cfg: CompletionConfig) -> str:
     return ",".join([cfg.mode, *cfg.keys, *cfg.choices])
 
 
-def retry_invalid(requests: DataFrame, completer: Completer, cfg: CompletionConfig, log: CallLog | None = None) -> DataFrame:
+def retry_invalid(requests: DataFrame, completer: Completer, cfg: CompletionConfig, log: CallLog | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Ask, check, and ask the faulty ones again, at most ``response_retries`` times.
 
     After an output limit the budget grows by the multiplier up to the room the context leaves.
@@ -160,7 +167,7 @@ def retry_invalid(requests: DataFrame, completer: Completer, cfg: CompletionConf
     room = F.lit(cfg.context_tokens - cfg.template_token_reserve) - F.col("input_bytes")
     finished = []
     for attempt in range(cfg.response_retries + 1):
-        asked = check_contract(ask(pending, completer, cfg, log), cfg).withColumn("_fault", call_fault())
+        asked = check_contract(ask(pending, completer, cfg, log, texts), cfg).withColumn("_fault", call_fault())
         asked = asked.withColumn("attempts", F.concat("attempts", F.array(F.struct(
             F.col("text").alias("response"), F.col("_fault").alias("error"), F.col("output_budget").alias("output_token_budget")))))
         grown = F.least(F.floor(F.col("output_budget") * cfg.output_token_retry_multiplier).cast("int"), room.cast("int"))
@@ -244,11 +251,20 @@ def screen_completer(papers: DataFrame, criteria: list[dict], completer: Complet
                          F.coalesce("criteria", empty).alias("criteria"), F.lit("llm").alias("backend")), calls
 
 
-def call_once(requests: DataFrame, completer: Completer, cfg: CompletionConfig, log: CallLog | None = None) -> DataFrame:
-    """Every request that fits its budget is asked; the others end as ``input_too_long``. Texts and requests stay behind."""
-    sized = check_budget(requests, cfg)
-    asked = retry_invalid(sized.filter("NOT too_long"), completer, cfg, log)
-    over = sized.filter("too_long").withColumns({
+def call_once(requests: DataFrame, completer: Completer, cfg: CompletionConfig, log: CallLog | None = None, due: DataFrame | None = None) -> DataFrame:
+    """Every request that fits its budget is asked; the others end as ``input_too_long``. Texts and requests stay behind.
+
+    ``due`` (with a log) are the keys of the papers to ask about. Keys of requests are made where the
+    papers are read, so a text is dealt only when its request is sent.
+    """
+    sized, texts = check_budget(requests, cfg), None
+    if log:
+        texts = sized
+        # A quote is looked up in the texts, so they come along if quotes are asked for.
+        sized = sized.withColumn("_key", F.sha2("payload", 256)).drop("payload", *([] if cfg.extract_evidence else ["title", "abstract"]))
+        sized = sized if due is None else sized.join(due, KEYS, "left_semi")
+    asked = retry_invalid(sized.filter("NOT too_long"), completer, cfg, log, texts).drop("_key")
+    over = sized.filter("too_long").drop("_key").withColumns({
         "call_status": F.lit("input_too_long"), "call_reason": F.lit("input budget exceeded; nothing was truncated"), "cache_hit": F.lit(False)})
     return cut_lineage(asked.unionByName(over, allowMissingColumns=True).drop("title", "abstract", "payload"))
 
@@ -259,15 +275,15 @@ def call_in_turn(papers: DataFrame, criteria: list[dict], completer: Completer,
     A paper leaves at its first call that was not, so no call is made that cannot count. Between
     passes only the keys of the papers that go on are kept.
     """
-    calls, going = None, papers
+    calls, going, passed = None, papers, None
     for place in range(len(criteria)):
         one = complete_requests(going, criteria, cfg).filter(F.col("ord") == place)
-        asked = call_once(one, completer, cfg, log)
+        asked = call_once(one, completer, cfg, log, passed)
         calls = asked if calls is None else calls.unionByName(asked)
         passed = asked.filter("call_status = 'screened'").select(*KEYS)
         if place + 1 < len(criteria) and passed.isEmpty():
             break
-        going = papers.join(passed, KEYS, "left_semi")
+        going = papers if log else papers.join(passed, KEYS, "left_semi")
     return calls
 
 

@@ -14,7 +14,7 @@ from citesieve.operators import completion as c
 from citesieve.operators import dense as d
 from citesieve.operators import keyword as kw
 from citesieve.operators import selection as sel
-from citesieve.operators.calls import CallLog
+from citesieve.operators.calls import CallLog, answered
 from citesieve.operators.extraction import ExtractionConfig
 from citesieve.operators.manifest import StageStore, with_fingerprint
 from citesieve.operators.run import INDEX, StoredRun, run_all
@@ -64,6 +64,51 @@ def test_calls_stop_at_the_first_failure_and_are_used_again(spark, folder):
     assert CallLog(spark, f"{folder}/calls").rows().count() == 21  # opening keeps what is there
 
 
+def shuffled_bytes(spark):
+    java = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, java.new_array(java.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_of_logged_requests_are_dealt_once(spark, folder):
+    """Four papers of 300,000 random letters: a pass deals a text once, when its request is sent, and not when the log answers."""
+    letters = random.Random(1)
+    some = papers(spark, ["".join(letters.choices("abcdefghijkmnopqrstuvxyz", k=300_000)) for _ in range(4)] + ["fine", "fine"])
+    some = some.union(spark.createDataFrame([(None, 9, "t", "no batch")], some.schema))
+    cfg, log, model = c.CompletionConfig(context_tokens=10_000_000), CallLog(spark, f"{folder}/calls"), Completer(screener, "m1")
+    table = f"{folder}/papers"
+    some.write.parquet(table)
+    start = shuffled_bytes(spark)
+    _, calls = c.screen_completer(spark.read.parquet(table), CRITERIA, model, cfg, log)
+    first = shuffled_bytes(spark)
+    assert calls.count() == 6 * 2 + 1 and log.rows().count() == 5 * 2 + 1  # without a batch a paper has no second pass
+    _, again = c.screen_completer(spark.read.parquet(table), CRITERIA, model, cfg, log)
+    assert again.where("cache_hit").count() == 6 * 2 + 1
+    assert first - start < 3 * 4 * 300_000 and shuffled_bytes(spark) - first < 300_000
+
+
+def test_requests_reach_workers_in_small_batches(spark):
+    def sizes():
+        seen = []
+
+        def complete(system, user, max_tokens):
+            seen.append(user)
+            return str(len(seen))
+
+        return complete
+
+    kinds = []
+
+    class Watched(Completer):
+        def complete(self, system, user, max_tokens):
+            kinds.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+            return super().complete(system, user, max_tokens)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = answered(spark.range(3).select("id", F.col("id").cast("string").alias("u")), Watched(sizes), "", "u", 5, None, "p", None)
+    assert out.count() == 3 and int(kinds[0]) <= 200 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_store_makes_what_is_stale_only(spark, folder):
     store = StageStore(spark, f"{folder}/store", 4)
     made = []
