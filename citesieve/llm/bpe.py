@@ -119,6 +119,16 @@ def _columns(batch: pa.RecordBatch, out: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(out.values()), names=names + list(out))
 
 
+def _ids(texts: pa.Array, code) -> pa.ListArray:
+    arrays = [np.array(code(t.as_py() or ""), dtype=np.int32) for t in texts]
+    ends = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), pa.int32()))
+
+
+def _texts(ids: pa.Array, decode_one) -> pa.Array:
+    return pa.array([decode_one(() if not t.is_valid else t.values.to_numpy(zero_copy_only=False).tolist()) for t in ids], pa.string())
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with a column ``ids`` (array of int) for the whole of each text; it replaces a column of that name.
 
@@ -133,9 +143,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                arrays = [np.array(code(t.as_py() or ""), dtype=np.int32) for t in part.column(text)]
-                ends = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
-                yield _columns(part, {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), pa.int32()))})
+                yield _columns(part, {ids: _ids(part.column(text), code)})
 
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -149,12 +157,30 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                texts = [decode_one(() if not t.is_valid else t.values.to_numpy(zero_copy_only=False).tolist()) for t in part.column(ids)]
-                yield _columns(part, {text: pa.array(texts, pa.string())})
+                yield _columns(part, {text: _texts(part.column(ids), decode_one)})
 
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(text, T.StringType())]))
 
 
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with what :func:`encode` and then :func:`decode` give, in place of the text.
+
+    One step of Python, not two: Spark runs both ends of a chain of Python steps at once, and each worker would hold the vocabulary and its pieces.
+    """
+    rest = df.drop(ids, decoded)
+    fields = [f for f in rest.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = load(vocabulary)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = _ids(part.column(text), known.encode)
+                yield _columns(part.drop_columns([text]), {ids: found, decoded: _texts(found, known.decode)})
+
+    return rest.mapInArrow(run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]))
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of rows that ``encode`` and ``decode`` made."""
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")

@@ -33,8 +33,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of the text they decode to."""
     vocabulary = bpe.public_vocabulary()
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary).drop("text")
-    decoded = bpe.decode(encoded, vocabulary)
+    decoded = bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary)
     return decoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

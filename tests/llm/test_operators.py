@@ -499,3 +499,14 @@ def test_random_letters_are_scored():
     assert spans("QWxkZXJhYmNEZUZnSGlKa0xtTm") and spans("key THQZXJKBVWPLMNRCDFGYSA end")
     for word in ("CONSTANT_NAME_OF_A_THING", "someVeryLongCamelCaseNameHere", "donaudampfschifffahrtsgesellschaft", "path/to/Some/Long/file-name"):
         assert spans(word) == []
+
+
+def test_bpe_round_trip_is_one_python_step(spark, documents):
+    import corpus_pipeline
+
+    path = bpe.public_vocabulary()
+    want = bpe.digests(bpe.decode(bpe.encode(documents, path), path))
+    got = bpe.digests(bpe.round_trip(documents, path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    tokens = corpus_pipeline.tokens(spark, documents.drop("source").selectExpr("*", "'s' AS source"), "")
+    assert tokens._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
