@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +21,14 @@ LONGEST = 5
 TOP = 2000
 #: A candidate goes if a longer one has at least this percentage of its occurrences.
 COVERED = 100
-#: Words after which a task closes its shards (a longer text is one shard): small enough that costs grow with the input from the start.
-SHARD_WORDS = 250_000
-#: A union of phrases travels as a bitmap of this fixed size (4 MB), in chunks of 4 KB.
+#: Words after which a task closes its shards (a longer text is one shard).
+SHARD_WORDS = 1_000_000
+#: A union of phrases travels as a bitmap of this size (4 MB), in chunks of 4 KB. That of a local pass has more bits (32 MB at most) from 100 million words on.
 BITMAP_BITS = 25
+MOST_BITS = 28
 CHUNK_BITS = 15
+#: Counts that a local pass holds before it gives them out.
+HELD = 1_000_000
 BREAKS = re.compile(rb"[.,;:!?\n-\r]+")
 U = np.uint64
 
@@ -43,6 +47,7 @@ class Numbers(dict):
 def shards(documents: DataFrame) -> DataFrame:
     """Encoded shards (lang, n, words, length, codes): the distinct words of a shard, and its texts as word numbers from 1, with 0 between pieces.
 
+    Marks of the words stand before the numbers in ``codes``, so a local pass does not read the words.
     A task keeps one open shard per language and closes all of them together, so what it holds is
     bounded by SHARD_WORDS and its longest text. Codes are compressed: a task opens one shard at a time.
     """
@@ -53,10 +58,11 @@ def shards(documents: DataFrame) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             for lang, (words, parts) in open_.items():
-                codes = np.concatenate(parts)
+                codes, marks = np.concatenate(parts), np.fromiter(map(xxhash.xxh64_intdigest, list(words)[1:]), np.uint64, len(words) - 1)
+                packed = len(marks).to_bytes(4, "little") + pa.compress(marks.tobytes() + codes.tobytes(), codec="zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang], pa.string()), pa.array([int((codes > 0).sum())], pa.int64()), pa.array([list(words)[1:]], pa.list_(pa.binary())),
-                     pa.array([len(codes)], pa.int32()), pa.array([pa.compress(codes.tobytes(), codec="zstd", asbytes=True)], pa.binary())],
+                     pa.array([len(codes)], pa.int32()), pa.array([packed], pa.binary())],
                     names=["lang", "n", "words", "length", "codes"])
 
         for batch in batches:
@@ -82,9 +88,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def spot(marks: np.ndarray) -> np.ndarray:
-    """The bit of each mark."""
-    return (mix(marks) >> U(64 - BITMAP_BITS)).astype(np.int64)
+def spot(marks: np.ndarray, size: int | None = None) -> np.ndarray:
+    """The bit of each mark in a bitmap of ``size`` bits, as a power of two."""
+    return (mix(marks) >> U(64 - (size or BITMAP_BITS))).astype(np.int64)
 
 
 def joined(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -94,51 +100,48 @@ def joined(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 def marks_of(phrases: list[bytes]) -> np.ndarray:
     """Marks of whole phrases (words joined by spaces), as the shards make them level by level."""
-    found = {}
-
-    def mark(words: tuple) -> int:
-        if words not in found:
-            if len(words) == 1:
-                found[words] = xxhash.xxh64_intdigest(words[0])
-            else:
-                pair = np.array([mark(words[:-1])], np.uint64), np.array([mark(words[1:])], np.uint64)
-                found[words] = int(joined(*pair)[0])
-        return found[words]
-
-    return np.array([mark(tuple(p.split(b" "))) for p in phrases], np.uint64)
+    out, split = np.zeros(len(phrases), np.uint64), [p.split(b" ") for p in phrases]
+    for size in set(map(len, split)):
+        at = [i for i, w in enumerate(split) if len(w) == size]
+        found = np.array([list(map(xxhash.xxh64_intdigest, split[i])) for i in at], np.uint64)
+        while found.shape[1] > 1:
+            found = joined(found[:, :-1], found[:, 1:])
+        out[at] = found[:, 0]
+    return out
 
 
 def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def level_of(words: list[bytes], codes: np.ndarray, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct phrases of a shard one word longer than the bitmaps ``frequent`` reach: number per position (from 1, 0 for none), marks, counts, and where each first begins.
+def holds(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return is_set(bits, spot(marks, (8 * len(bits)).bit_length() - 1))
+
+
+def level_of(marks: np.ndarray, codes: np.ndarray, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where a shard has phrases one word longer than the bitmaps ``frequent`` reach, and the mark of each.
 
     A phrase of k words is made where the phrases of k - 1 words at its place and at the next both
     are marked as frequent in the language.
     """
-    places = codes.astype(np.int64)
-    marks = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    counts, starts = np.bincount(codes, minlength=len(words) + 1)[1:], np.zeros(len(words), np.int64)
-    seen, first = np.unique(codes, return_index=True)
-    starts[seen[seen > 0] - 1] = first[seen > 0]
-    for bits in frequent:
-        good = np.zeros(len(marks) + 1, bool)
-        good[1:] = is_set(bits, spot(marks))
-        both = good[places[:-1]] & good[places[1:]]
-        a, b = places[:-1][both], places[1:][both]
-        keys, first, at, counts = np.unique(a * (len(marks) + 1) + b, return_index=True, return_inverse=True, return_counts=True)
-        marks = joined(marks[keys // (len(marks) + 1) - 1], marks[keys % (len(marks) + 1) - 1])
-        starts = np.flatnonzero(both)[first]
-        places = np.zeros(len(codes), np.int64)
-        places[:-1][both] = at + 1
-    return places, marks, counts, starts
-
-
-def opened(batch: pa.RecordBatch, i: int) -> tuple[list[bytes], np.ndarray]:
-    size = 4 * batch.column("length")[i].as_py()
-    return batch.column("words")[i].as_py(), np.frombuffer(pa.decompress(batch.column("codes")[i].as_buffer(), size, codec="zstd"), np.int32)
+    known = holds(frequent[0], marks) if frequent else np.ones(len(marks), bool)
+    places = np.flatnonzero(np.r_[False, known][codes])
+    found = marks[codes[places] - 1]
+    for i in range(len(frequent)):
+        if i:
+            good = holds(frequent[i], found)
+            places, found = places[good], found[good]
+        both = np.flatnonzero(np.diff(places) == 1)
+        places, found = places[both], joined(found[both], found[both + 1])
+    return places, found
+
+
+def opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of a shard's words, and its codes."""
+    packed = batch.column("codes")[i].as_buffer()
+    words, length = int.from_bytes(packed[:4].to_pybytes(), "little"), batch.column("length")[i].as_py()
+    data = pa.decompress(packed[4:], 8 * words + 4 * length, codec="zstd")
+    return np.frombuffer(data, np.uint64, words), np.frombuffer(data, np.int32, length, 8 * words)
 
 
 class Bitmap:
@@ -156,29 +159,65 @@ class Bitmap:
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["chunk", "bits"])
 
 
-def united(marked: DataFrame) -> np.ndarray:
-    """The union of task bitmaps (chunk, bits). Its size is fixed, whatever the input."""
-    bits = np.zeros((1 << (BITMAP_BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
+def united(marked: DataFrame, size: int | None = None) -> np.ndarray:
+    """The union of task bitmaps (chunk, bits) of ``size`` bits, as a power of two."""
+    bits = np.zeros((1 << ((size or BITMAP_BITS) - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
     for row in marked.groupBy("chunk").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow().to_pylist():
         bits[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
     return bits.reshape(-1)
 
 
-def locally_frequent(encoded: DataFrame, frequent: list, support: int) -> DataFrame:
-    """Bitmaps of the phrases whose count reaches the shard's share of ``support``: support * n / total, rounded up.
+def locally_frequent(encoded: DataFrame, frequent: list, support: int, size: int | None = None) -> DataFrame:
+    """Bitmaps of the phrases whose count reaches the shard's share of ``support`` somewhere (support * n / total, rounded up) and that can reach it in all.
 
     A phrase with ``support`` occurrences reaches that share in one shard at least, so none is missed.
+    A share of one occurrence prunes nothing, so shards also give out how often they have the phrases
+    of each bit: where the sum of a bit stays below ``support``, so does each phrase of it.
     """
+    size = size or BITMAP_BITS
+    kind, shift = np.min_scalar_type(2 * support + 1), (2 * support + 1).bit_length()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Bitmap()
+        held, count = [], 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            keys = np.sort(np.concatenate(held))
+            bits, values = keys >> shift, keys & ((1 << shift) - 1)
+            starts = np.flatnonzero(np.r_[True, bits[1:] != bits[:-1]])
+            sums = np.minimum(np.add.reduceat(values >> 1, starts), support)
+            values, bits = (2 * sums + np.bitwise_or.reduceat(values & 1, starts)).astype(kind), bits[starts]
+            chunks, place = bits >> CHUNK_BITS, (bits & ((1 << CHUNK_BITS) - 1)).astype(np.uint16)
+            cuts = np.r_[np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]]), len(chunks)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks[cuts[:-1]], pa.int64()),
+                                              pa.array([place[a:b].tobytes() + values[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["chunk", "sums"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                _, marks, counts, _ = level_of(*opened(batch, i), [x.value for x in frequent])
+                found, counts = np.unique(level_of(*opened(batch, i), [x.value for x in frequent])[1], return_counts=True)
                 least = -(-support * batch.column("n")[i].as_py() // batch.column("total")[i].as_py())
-                found.set(spot(marks[counts >= least]))
-        yield found.chunks()
+                held.append(spot(found, size) << shift | 2 * np.minimum(counts, support) | (counts >= least))
+                count += len(found)
+                if count >= HELD:
+                    yield from given()
+                    held, count = [], 0
+        if count:
+            yield from given()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("sums").to_pylist()):
+                n = len(data) // (2 + kind.itemsize)
+                place, values = np.frombuffer(data, np.uint16, n), np.frombuffer(data, kind, n, 2 * n).astype(np.int64)
+                total = sums.setdefault(chunk, np.zeros((2, 1 << CHUNK_BITS), np.int32))
+                total[0, place] = np.minimum(total[0, place] + (values >> 1), support)
+                total[1, place] |= values & 1
+        for chunk, (total, local) in sums.items():
+            bits = np.packbits((total >= support) & (local > 0), bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["chunk", "bits"])
 
-    return encoded.mapInArrow(run, "chunk long, bits binary")
+    given = encoded.select("n", "total", "length", "codes").mapInArrow(run, "chunk long, sums binary")
+    return given.repartition(32 << max(0, size - BITMAP_BITS), "chunk").mapInArrow(add, "chunk long, bits binary")
 
 
 def marked(phrases: DataFrame) -> DataFrame:
@@ -199,12 +238,16 @@ def counted(encoded: DataFrame, frequent: list, union) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words, codes = opened(batch, i)
-                _, marks, counts, starts = level_of(words, codes, [x.value for x in frequent])
-                keep = np.flatnonzero(is_set(union.value, spot(marks)))
-                texts = pa.array(words, pa.binary()).take(pa.array(codes[starts[keep]] - 1)) if size == 1 else pa.array(
-                    [b" ".join([words[c - 1] for c in run_]) for run_ in codes[starts[keep][:, None] + np.arange(size)].tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("lang")[i].as_py()] * len(keep), pa.string()), texts, pa.array(counts[keep].astype(np.int64))],
+                marks, codes = opened(batch, i)
+                places, found = level_of(marks, codes, [x.value for x in frequent])
+                places = places[holds(union.value, found)]
+                keys = codes[places].astype(np.int64)
+                for k in range(1, size):  # numbers of the phrases so far, so that keys stay small
+                    keys = np.unique(keys, return_inverse=True)[1] * (len(marks) + 1) + codes[places + k]
+                _, keep, counts = np.unique(keys, return_index=True, return_counts=True)
+                words, runs = batch.column("words")[i].values, codes[places[keep][:, None] + np.arange(size)] - 1
+                texts = pc.binary_join_element_wise(*(words.take(pa.array(runs[:, k])) for k in range(size)), b" ") if size > 1 else words.take(pa.array(runs[:, 0]))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("lang")[i].as_py()] * len(keep), pa.string()), texts, pa.array(counts.astype(np.int64))],
                                                  names=["lang", "phrase", "n"])
 
     return encoded.mapInArrow(run, "lang string, phrase binary, n long").select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
@@ -220,9 +263,10 @@ def frequent_phrases(documents: DataFrame, support: int = SUPPORT, longest: int
     written = stage(shards(documents).where("n > 0"), "phrases-shards")
     totals = stage(written.groupBy("lang").agg(F.sum("n").alias("total")), "phrases-totals")
     encoded = written.join(totals, "lang").select("n", "total", "lang", "words", "length", "codes")
+    bits = max(BITMAP_BITS, min(MOST_BITS, ((totals.agg(F.sum("total")).first()[0] or 0) // 3).bit_length()))
     levels, frequent = [], []
     for size in range(1, longest + 1):
-        union = context.broadcast(united(locally_frequent(encoded, frequent, support)))
+        union = context.broadcast(united(locally_frequent(encoded, frequent, support, bits), bits))
         sums = counted(encoded, frequent, union).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
         if size == 1:
             none = F.lit(None).cast("string")
@@ -262,11 +306,12 @@ def mine_phrases(documents: DataFrame, support: int = SUPPORT, longest: int = LO
     read. ``top`` is the feature's limit; nothing else is limited.
 
     SON, level by level: every shard is mined for the k-word phrases that reach its share of the
-    support, their union (a bitmap of fixed size) goes back to all shards, and what it marks is
+    support, their union (a bitmap of bounded size) goes back to all shards, and what it marks is
     counted exactly over all of them; counts below the support fall away. A shard's share falls to
     one occurrence when a language has more shards than the support, and then a local pass prunes
     nothing; so a k-word phrase is only tried where both its (k-1)-word parts are marked as frequent
-    in the whole language, which bounds the rows of a level at any number of shards. Phrases are
+    in the whole language, and a bit is left out of the union if its sum over all shards stays below
+    the support, which bounds the rows of a level at any number of shards. Phrases are
     counted by their words; hashes only pick bits, and a bit too many costs rows, not results.
     """
     found, totals = frequent_phrases(documents, support, longest)
