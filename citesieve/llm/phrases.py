@@ -21,14 +21,14 @@ LONGEST = 5
 TOP = 2000
 #: A candidate goes if a longer one has at least this percentage of its occurrences.
 COVERED = 100
-#: Words after which a task closes its shards (a longer text is one shard).
-SHARD_WORDS = 1_000_000
+#: Words after which a task closes its shards (a longer text is one shard). Arrays of a shard of 1 million words took an executor beyond 3 GB.
+SHARD_WORDS = 250_000
 #: A union of phrases travels as a bitmap of this size (4 MB), in chunks of 4 KB. That of a local pass has more bits (32 MB at most) from 100 million words on.
 BITMAP_BITS = 25
 MOST_BITS = 28
 CHUNK_BITS = 15
 #: Counts that a local pass holds before it gives them out.
-HELD = 1_000_000
+HELD = 500_000
 BREAKS = re.compile(rb"[.,;:!?\n-\r]+")
 U = np.uint64
 
@@ -66,7 +66,8 @@ def shards(documents: DataFrame) -> DataFrame:
                     names=["lang", "n", "words", "length", "codes"])
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, text in ((lang, text) for low in range(0, batch.num_rows, 256) for part in (batch.slice(low, 256),)
+                               for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist())):
                 if lang not in open_:
                     open_[lang] = Numbers(), []
                 words, parts = open_[lang]
