@@ -21,8 +21,8 @@ LONGEST = 5
 TOP = 2000
 #: A candidate goes if a longer one has at least this percentage of its occurrences.
 COVERED = 100
-#: Words after which a task closes its shards (a longer text is one shard). Arrays of a shard of 1 million words took an executor beyond 3 GB.
-SHARD_WORDS = 250_000
+#: Words after which a task closes its shards (a longer text is one shard).
+SHARD_WORDS = 1_000_000
 #: A union of phrases travels as a bitmap of this size (4 MB), in chunks of 4 KB. That of a local pass has more bits (32 MB at most) from 100 million words on.
 BITMAP_BITS = 25
 MOST_BITS = 28
@@ -44,10 +44,18 @@ class Numbers(dict):
         return number
 
 
+def deflated(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def inflated(data: bytes) -> bytes:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
 def shards(documents: DataFrame) -> DataFrame:
     """Encoded shards (lang, n, words, length, codes): the distinct words of a shard, and its texts as word numbers from 1, with 0 between pieces.
 
-    Marks of the words stand before the numbers in ``codes``, so a local pass does not read the words.
+    Marks of the words stand before the numbers in ``codes``, so a local pass does not read the words (joined by line ends, which no word has, and compressed).
     A task keeps one open shard per language and closes all of them together, so what it holds is
     bounded by SHARD_WORDS and its longest text. Codes are compressed: a task opens one shard at a time.
     """
@@ -59,9 +67,9 @@ def shards(documents: DataFrame) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             for lang, (words, parts) in open_.items():
                 codes, marks = np.concatenate(parts), np.fromiter(map(xxhash.xxh64_intdigest, list(words)[1:]), np.uint64, len(words) - 1)
-                packed = len(marks).to_bytes(4, "little") + pa.compress(marks.tobytes() + codes.tobytes(), codec="zstd", asbytes=True)
+                packed = len(marks).to_bytes(4, "little") + pa.compress(marks.tobytes() + codes.tobytes(), codec="zstd", asbytes=True)  # as opened() reads it
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang], pa.string()), pa.array([int((codes > 0).sum())], pa.int64()), pa.array([list(words)[1:]], pa.list_(pa.binary())),
+                    [pa.array([lang], pa.string()), pa.array([int((codes > 0).sum())], pa.int64()), pa.array([deflated(b"\n".join(list(words)[1:]))], pa.binary()),
                      pa.array([len(codes)], pa.int32()), pa.array([packed], pa.binary())],
                     names=["lang", "n", "words", "length", "codes"])
 
@@ -80,7 +88,7 @@ def shards(documents: DataFrame) -> DataFrame:
                     held, open_ = 0, {}
         yield from close()
 
-    return rows.mapInArrow(run, "lang string, n long, words array<binary>, length int, codes binary")
+    return rows.mapInArrow(run, "lang string, n long, words binary, length int, codes binary")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -246,7 +254,7 @@ def counted(encoded: DataFrame, frequent: list, union) -> DataFrame:
                 for k in range(1, size):  # numbers of the phrases so far, so that keys stay small
                     keys = np.unique(keys, return_inverse=True)[1] * (len(marks) + 1) + codes[places + k]
                 _, keep, counts = np.unique(keys, return_index=True, return_counts=True)
-                words, runs = batch.column("words")[i].values, codes[places[keep][:, None] + np.arange(size)] - 1
+                words, runs = pa.array(inflated(batch.column("words")[i].as_py()).split(b"\n"), pa.binary()), codes[places[keep][:, None] + np.arange(size)] - 1
                 texts = pc.binary_join_element_wise(*(words.take(pa.array(runs[:, k])) for k in range(size)), b" ") if size > 1 else words.take(pa.array(runs[:, 0]))
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("lang")[i].as_py()] * len(keep), pa.string()), texts, pa.array(counts.astype(np.int64))],
                                                  names=["lang", "phrase", "n"])
