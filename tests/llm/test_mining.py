@@ -104,6 +104,14 @@ def test_local_pass_marks_what_is_frequent_and_little_else(spark, monkeypatch):
     assert counts["sum(n)"].sum() == totals.agg({"total": "sum"}).first()[0]
 
 
+def test_union_leaves_out_rare_phrases_where_a_share_is_one_occurrence(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_WORDS", 1)
+    docs = frame(spark, [(i, f"common rare{i}", "en") for i in range(150)])
+    encoded = stage(phrases.shards(docs), "t").selectExpr("*", "300L AS total")
+    bits = phrases.united(phrases.locally_frequent(encoded, [], 100))
+    assert np.unpackbits(bits).sum() == 1 and phrases.is_set(bits, phrases.spot(phrases.marks_of([b"common"]))).all()
+
+
 # 12 filter audit
 
 def brute_audit(rows, labels):
