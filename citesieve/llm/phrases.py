@@ -27,7 +27,8 @@ SHARD_WORDS = 1_000_000
 BITMAP_BITS = 25
 MOST_BITS = 28
 CHUNK_BITS = 15
-#: Counts that a local pass holds before it gives them out.
+#: Places of a shard that are looked up at a time, and counts that a local pass holds before it gives them out.
+SLICE = 1 << 17
 HELD = 500_000
 BREAKS = re.compile(rb"[.,;:!?\n-\r]+")
 U = np.uint64
@@ -127,22 +128,30 @@ def holds(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return is_set(bits, spot(marks, (8 * len(bits)).bit_length() - 1))
 
 
-def level_of(marks: np.ndarray, codes: np.ndarray, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Where a shard has phrases one word longer than the bitmaps ``frequent`` reach, and the mark of each.
+def level_of(marks: np.ndarray, codes: np.ndarray, frequent: list[np.ndarray], union: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where a shard has phrases one word longer than the bitmaps ``frequent`` reach, and the mark of each; of those that ``union`` marks, if there is one.
 
     A phrase of k words is made where the phrases of k - 1 words at its place and at the next both
-    are marked as frequent in the language.
+    are marked as frequent in the language. A slice of places is looked up at a time, with the words
+    that follow it, so arrays of all places hold results only.
     """
-    known = holds(frequent[0], marks) if frequent else np.ones(len(marks), bool)
-    places = np.flatnonzero(np.r_[False, known][codes])
-    found = marks[codes[places] - 1]
-    for i in range(len(frequent)):
-        if i:
-            good = holds(frequent[i], found)
-            places, found = places[good], found[good]
-        both = np.flatnonzero(np.diff(places) == 1)
-        places, found = places[both], joined(found[both], found[both + 1])
-    return places, found
+    known = np.r_[False, holds(frequent[0], marks) if frequent else np.ones(len(marks), bool)]
+    out = []
+    for low in range(0, len(codes), SLICE):
+        part = codes[low:low + SLICE + len(frequent)]
+        places = np.flatnonzero(known[part])
+        found = marks[part[places] - 1]
+        for i in range(len(frequent)):
+            if i:
+                good = holds(frequent[i], found)
+                places, found = places[good], found[good]
+            both = np.flatnonzero(np.diff(places) == 1)
+            places, found = places[both], joined(found[both], found[both + 1])
+        good = places < SLICE
+        if union is not None:
+            good &= holds(union, found)
+        out.append(((places[good] + low).astype(np.int32), found[good]))
+    return (np.concatenate([p for p, _ in out]), np.concatenate([f for _, f in out])) if out else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
 
 
 def opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +199,11 @@ def locally_frequent(encoded: DataFrame, frequent: list, support: int, size: int
         held, count = [], 0
 
         def given() -> Iterator[pa.RecordBatch]:
-            keys = np.sort(np.concatenate(held))
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
             bits, values = keys >> shift, keys & ((1 << shift) - 1)
+            del keys
             starts = np.flatnonzero(np.r_[True, bits[1:] != bits[:-1]])
             sums = np.minimum(np.add.reduceat(values >> 1, starts), support)
             values, bits = (2 * sums + np.bitwise_or.reduceat(values & 1, starts)).astype(kind), bits[starts]
@@ -208,7 +220,7 @@ def locally_frequent(encoded: DataFrame, frequent: list, support: int, size: int
                 count += len(found)
                 if count >= HELD:
                     yield from given()
-                    held, count = [], 0
+                    count = 0
         if count:
             yield from given()
 
@@ -248,8 +260,7 @@ def counted(encoded: DataFrame, frequent: list, union) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 marks, codes = opened(batch, i)
-                places, found = level_of(marks, codes, [x.value for x in frequent])
-                places = places[holds(union.value, found)]
+                places, _ = level_of(marks, codes, [x.value for x in frequent], union.value)
                 keys = codes[places].astype(np.int64)
                 for k in range(1, size):  # numbers of the phrases so far, so that keys stay small
                     keys = np.unique(keys, return_inverse=True)[1] * (len(marks) + 1) + codes[places + k]

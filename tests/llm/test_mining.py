@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import permutations
 
@@ -112,6 +113,25 @@ def test_union_leaves_out_rare_phrases_where_a_share_is_one_occurrence(spark, mo
     assert np.unpackbits(bits).sum() == 1 and phrases.is_set(bits, phrases.spot(phrases.marks_of([b"common"]))).all()
 
 
+def test_levels_of_a_shard_hold_no_arrays_of_all_places(monkeypatch):
+    rng = np.random.default_rng(5)
+    marks, codes = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 5001, 1_000_000).astype(np.int32)
+    half, few = (np.packbits(rng.random(1 << 20) < share, bitorder="little") for share in (0.7, 0.05))
+    tracemalloc.start()
+    places, found = phrases.level_of(marks, codes, [half] * 2, few)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000 and 1000 < len(places) < 30_000  # three arrays of all places alone would be 20 MB
+    monkeypatch.setattr(phrases, "SLICE", len(codes))
+    whole = phrases.level_of(marks, codes, [half] * 2)
+    keep = phrases.holds(few, whole[1])
+    assert (places == whole[0][keep]).all() and (found == whole[1][keep]).all()
+    monkeypatch.setattr(phrases, "SLICE", 3)
+    short = phrases.level_of(marks, codes[:400], [half] * 2)
+    n = np.searchsorted(whole[0], 398)
+    assert (short[0] == whole[0][:n]).all() and (short[1] == whole[1][:n]).all()
+
+
 # 12 filter audit
 
 def brute_audit(rows, labels):
