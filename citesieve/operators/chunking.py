@@ -48,42 +48,61 @@ class ChunkConfig:
 
 # --- blocks ----------------------------------------------------------------------------------
 
+def _where(text: Column, marks: str, change: Callable[[Column], Column]) -> Column:
+    """``change`` of a text that holds any of the characters ``marks``, which its pattern needs; other texts are not searched by pattern."""
+    def one(t: Column) -> Column:
+        held = F.contains(t, F.lit(marks[0]))
+        for m in marks[1:]:
+            held = held | F.contains(t, F.lit(m))
+        return F.when(held, change(t)).otherwise(t)
+
+    return F.transform(F.array(text), one)[0]
+
+
+def _replaced(text: Column, marks: str, pattern: str, keep: str) -> Column:
+    return _where(text, marks, lambda t: F.regexp_replace(t, pattern, keep))
+
+
 def inline_text(c: Column) -> Column:
     """Text of a block without inline markup; line breaks and markup edges leave the spaces of joined pieces."""
-    text = F.regexp_replace(c, r"[ \t]*\n[ \t]*", "   ")
-    for pattern, keep in [
-        (r"(`+)([^`]+)\1", " $2 "), (r"(?<!!)\[([^\]]*)\]\([^)\s]*(?:\s+\"[^\"]*\")?\)", " $1 "),
-        (r"(\*{1,3})(?=\S)([^*]*[^*\s])\1", " $2 "), (r"(?<!\w)(_{1,2})(?=\S)([^_]*[^_\s])\1(?!\w)", " $2 "),
-        (r"\\([!-/:-@\[-`{-~])", "$1"),
+    text = _replaced(c, "\n", r"[ \t]*\n[ \t]*", "   ")
+    for mark, pattern, keep in [
+        ("`", r"(`+)([^`]+)\1", " $2 "), ("[", r"(?<!!)\[([^\]]*)\]\([^)\s]*(?:\s+\"[^\"]*\")?\)", " $1 "),
+        ("*", r"(\*{1,3})(?=\S)([^*]*[^*\s])\1", " $2 "), ("_", r"(?<!\w)(_{1,2})(?=\S)([^_]*[^_\s])\1(?!\w)", " $2 "),
+        ("\\", r"\\([!-/:-@\[-`{-~])", "$1"),
     ]:
-        text = F.regexp_replace(text, pattern, keep)
+        text = _replaced(text, mark, pattern, keep)
     return F.trim(text)
 
 
 def _mark(segment: Column) -> Column:
     """Put a cut before and after every block of a segment that holds no fenced code."""
-    text = F.regexp_replace(segment, r"(?m)^([^\n#>|\-+*][^\n]*)\n {0,3}=+[ \t]*$", f"{CUT}# $1{CUT}")
-    text = F.regexp_replace(text, r"(?m)^([^\n#>|\-+*][^\n]*)\n {0,3}-+[ \t]*$", f"{CUT}## $1{CUT}")
-    text = F.regexp_replace(text, r"(?m)^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$", CUT)
-    text = F.regexp_replace(text, r"(?m)^( {0,3}#{1,6}(?:[ \t][^\n]*)?)$", f"{CUT}$1{CUT}")
+    text = _replaced(segment, "=", r"(?m)^([^\n#>|\-+*][^\n]*)\n {0,3}=+[ \t]*$", f"{CUT}# $1{CUT}")
+    text = _replaced(text, "-", r"(?m)^([^\n#>|\-+*][^\n]*)\n {0,3}-+[ \t]*$", f"{CUT}## $1{CUT}")
+    text = _replaced(text, "-*_", r"(?m)^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$", CUT)
+    text = _replaced(text, "#", r"(?m)^( {0,3}#{1,6}(?:[ \t][^\n]*)?)$", f"{CUT}$1{CUT}")
     text = F.regexp_replace(text, r"(?m)^(?=[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+\S)", CUT)
-    text = F.regexp_replace(text, rf"(?im)^(?= {{0,3}}(?:<(?:{BLOCK_TAGS})(?:[\s/>]|$)))", CUT)
-    return F.regexp_replace(text, r"\n[ \t]*\n", CUT)
+    text = _replaced(text, "<", rf"(?im)^(?= {{0,3}}(?:<(?:{BLOCK_TAGS})(?:[\s/>]|$)))", CUT)
+    return _replaced(text, "\n", r"\n[ \t]*\n", CUT)
 
 
 def _block(raw: Column, counter: Callable[[Column], Column]) -> Column:
     """Classify one piece of text; the kinds short and paragraph are told apart by tokens later."""
-    image = raw.rlike(IMAGE)
-    html, heading, item, code = raw.rlike(HTML_START), raw.rlike(HEADING), raw.rlike(ITEM), raw.rlike(r"^(?: {4}|\t)")
-    kind = (F.when(heading, "heading").when(html, F.when(F.contains(F.lower(raw), F.lit("<table")), "table").otherwise("html"))
-            .when(item, "list_item").when(code, "code").when(image, "image")
-            .when(F.trim(raw).rlike(r"^\$\$[\s\S]*\$\$$"), "formula").otherwise("paragraph"))
+    kind = (F.when(raw.rlike(HEADING), "heading").when(raw.rlike(HTML_START), F.when(F.contains(F.lower(raw), F.lit("<table")), "table").otherwise("html"))
+            .when(raw.rlike(ITEM), "list_item").when(raw.rlike(r"^(?: {4}|\t)"), "code").when(F.contains(raw, F.lit("![")) & raw.rlike(IMAGE), "image")
+            .when(F.contains(raw, F.lit("$$")) & F.trim(raw).rlike(r"^\$\$[\s\S]*\$\$$"), "formula").otherwise("paragraph"))
+    # A one-element transform names the kind, so that it is found once.
+    return F.transform(F.array(kind), lambda k: _as_kind(raw, k))[0]
+
+
+def _as_kind(raw: Column, kind: Column) -> Column:
+    heading, item, code, image = (kind == x for x in ("heading", "list_item", "code", "image"))
     alt = F.element_at(F.regexp_extract_all(raw, F.lit(IMAGE), F.lit(1)), -1)
     url = F.element_at(F.regexp_extract_all(raw, F.lit(IMAGE), F.lit(2)), -1)
     beside = inline_text(F.regexp_replace(raw, IMAGE, ""))
     squeezed = F.trim(F.regexp_replace(raw, r"\n", " "))
     text = (F.when(heading, inline_text(F.regexp_replace(F.regexp_replace(raw, r"^ {0,3}#{1,6}[ \t]*", ""), r"(?:^|[ \t]+)#+[ \t]*$", "")))
-            .when(html, squeezed).when(item, inline_text(F.regexp_replace(raw, ITEM, "")))
+            .when(kind.isin("html", "table"), squeezed).when(item, inline_text(F.regexp_replace(raw, ITEM, "")))
             .when(code, F.trim(F.regexp_replace(raw, r"(?m)^(?: {4}|\t)", "")))
             .when(image, F.array_join(F.filter(F.array(F.trim(alt), beside), lambda x: x != ""), " "))
             .when(kind == "formula", F.trim(F.regexp_replace(F.trim(raw), r"^\$\$|\$\$$", "")))
@@ -91,7 +110,7 @@ def _block(raw: Column, counter: Callable[[Column], Column]) -> Column:
     return F.struct(
         kind.alias("kind"), F.when(heading, F.length(F.regexp_extract(raw, r"^ {0,3}(#{1,6})", 1))).otherwise(0).alias("level"),
         F.when(item, F.length(F.regexp_extract(raw, r"^([ \t]*)", 1))).otherwise(0).alias("indent"), text.alias("text"),
-        F.when(kind == "table", squeezed).alias("raw"), F.when(kind == "image", url).alias("image_url"))
+        F.when(kind == "table", squeezed).alias("raw"), F.when(image, url).alias("image_url"))
 
 
 def blocks_of(text, counter: Callable[[Column], Column] = token_count) -> Column:
@@ -372,10 +391,10 @@ def chunk_documents(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), text: str
         whole = F.array(p["text"])
         if cfg.level == "sentence":
             return F.when(is_text(p), sentence_chunks(splitter(p["text"]), cfg.min_tokens, cfg.counter)).otherwise(whole)
-        sentences = splitter(p["text"])
-        packed = pack_sentences(_counted(sentences, cfg.counter), cfg.max_tokens, cfg.overlap_tokens)
-        return F.when((p["kind"] == "paragraph") & (p["tokens"] > cfg.max_tokens), F.when(
-            F.size(sentences) > 1, packed).otherwise(whole)).otherwise(whole)
+        # A one-element transform names the sentences, so that a text is split once.
+        packed = F.transform(F.array(splitter(p["text"])), lambda sentences: F.when(
+            F.size(sentences) > 1, pack_sentences(_counted(sentences, cfg.counter), cfg.max_tokens, cfg.overlap_tokens)).otherwise(whole))[0]
+        return F.when((p["kind"] == "paragraph") & (p["tokens"] > cfg.max_tokens), packed).otherwise(whole)
 
     paragraph = F.lit(None).cast("string")
     made = F.flatten(F.transform("_pieces", lambda p, i: F.transform(texts(p), lambda t: F.struct(
