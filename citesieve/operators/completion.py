@@ -170,6 +170,8 @@ def retry_invalid(requests: DataFrame, completer: Completer, cfg: CompletionConf
         asked = check_contract(ask(pending, completer, cfg, log, texts), cfg).withColumn("_fault", call_fault())
         asked = asked.withColumn("attempts", F.concat("attempts", F.array(F.struct(
             F.col("text").alias("response"), F.col("_fault").alias("error"), F.col("output_budget").alias("output_token_budget")))))
+        # Rows without their texts are written once; what follows reads them, and not the log and the papers again.
+        asked = cut_lineage(asked) if texts is not None and not cfg.extract_evidence else asked
         grown = F.least(F.floor(F.col("output_budget") * cfg.output_token_retry_multiplier).cast("int"), room.cast("int"))
         limited = F.col("completion") == "output_limit"
         again = (F.col("_fault").isNotNull() & F.col("error").isNull() & (~limited | (grown > F.col("output_budget")))
@@ -263,6 +265,7 @@ def call_once(requests: DataFrame, completer: Completer, cfg: CompletionConfig,
         # A quote is looked up in the texts, so they come along if quotes are asked for.
         sized = sized.withColumn("_key", F.sha2("payload", 256)).drop("payload", *([] if cfg.extract_evidence else ["title", "abstract"]))
         sized = sized if due is None else sized.join(due, KEYS, "left_semi")
+        sized = sized if cfg.extract_evidence else cut_lineage(sized)
     asked = retry_invalid(sized.filter("NOT too_long"), completer, cfg, log, texts).drop("_key")
     over = sized.filter("too_long").drop("_key").withColumns({
         "call_status": F.lit("input_too_long"), "call_reason": F.lit("input budget exceeded; nothing was truncated"), "cache_hit": F.lit(False)})
